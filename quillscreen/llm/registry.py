@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillscreen.llm import chat_format, quality_rules, token_counts
+from quillscreen.llm import chat_format, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_secrets": secrets.op4_secrets,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
 }
 SQL = {
     "op3_chat_format": chat_format.SQL,
