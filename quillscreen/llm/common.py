@@ -47,3 +47,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Rows up to which a side may be broadcast; a row of hashes and ids takes under 100 bytes.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles. The table must be cheap to count."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def shingle_hashes(words: str, size: int) -> Column:
+    """Hashes of the word shingles of a stored array column, null for fewer than ``size`` words."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
+    return F.when(F.size(words) >= size, F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(size)])))
+
+
+def shingle_texts(words: str, size: int) -> Column:
+    """The distinct word shingles themselves, joined by one space."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
+    return F.when(F.size(words) >= size, F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(F.col(words), i + k) for k in range(size)]))))
