@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import cut, documents
+from quillscreen.llm.common import cut, documents, small
 from quillscreen.llm.graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -89,14 +89,13 @@ def near(a: Column, b: Column, max_bits: int, least: int) -> Column:
 def link_classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """``fp, label`` for every distinct fingerprint with a link; ``max_bits`` may be 1 to 4 (sets of four to seven bytes)."""
     least = BYTES - max_bits
+    # A fingerprint becomes 70 rows, so the few bytes of the input are dealt over all cores first.
     fps = cut(fps.select("fp").distinct())
-    lists = postings(fps, least).groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    lists = cut(lists)
-    two = lists.filter("n = 2").filter(near(F.col("first"), F.col("last"), max_bits, least)).select(F.col("first").alias("a"), F.col("last").alias("b"))
-    more = lists.filter("n > 2").select(F.col("key").alias("list"), "first")
-    member = cut(postings(fps, least).join(more, F.col("key") == F.col("list")).select("key", "first", "fp"))
-    star = member.filter("fp <> first").filter(near(F.col("first"), F.col("fp"), max_bits, least)).select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    links = cut(two.union(star).distinct())
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lists = postings(dealt, least).groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last")
+    lists = cut(lists.select(F.col("key").alias("list"), "first"))
+    member = cut(postings(dealt, least).join(small(lists), F.col("key") == F.col("list")).select("key", "first", "fp"))
+    links = member.filter("fp <> first").filter(near(F.col("first"), F.col("fp"), max_bits, least)).select(F.col("first").alias("a"), F.col("fp").alias("b"))
     label = cut(components(links))
     of = lambda name, to: label.select(F.col("node").alias(name), F.col("label").alias(to))
     told = member.join(of("n1", "own"), F.col("fp") == F.col("n1"), "left").join(of("n2", "head"), F.col("first") == F.col("n2"), "left")
