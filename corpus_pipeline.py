@@ -1,12 +1,57 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, near-duplicates, decontamination, personal data, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next
+stage's documents. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillscreen.llm import decontaminate, language_id, pieces, pii, simhash
+from quillscreen.llm.common import cut, documents
+
+
+def keep_recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is not recognised. The classifiers learn from the stage's own labelled rows."""
+    return language_id.keep_known(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component of linked fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts and counts their characters anew."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Size and digest of each text's SentencePiece encoding, and whether it decodes to the text."""
+    return pieces.piece_report(docs, pieces.default_model())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", keep_recognised_language),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("sentencepiece", encode_pieces),
+]
+#: SQL can express neither the classifiers nor the transducer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from quillscreen.llm import chat_format, decontaminate, pii, quality_rules, secrets, simhash, token_counts
+from quillscreen.llm import chat_format, decontaminate, language_id, pieces, pii, quality_rules, secrets, simhash, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_secrets": secrets.op4_secrets,
     "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,

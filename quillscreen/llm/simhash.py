@@ -106,18 +106,42 @@ def link_classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return components(label.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(late)).select(F.col("node").alias("fp"), "label")
 
 
+def classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``print, label`` for every distinct fingerprint: fingerprints of one component share a label."""
+    label = link_classes(fps, max_bits).select(F.col("fp").alias("linked"), "label")
+    return cut(fps.select("fp").distinct().join(label, F.col("fp") == F.col("linked"), "left").select(F.col("fp").alias("print"), F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable by links."""
     fps = cut(fingerprints(docs, id_col, text_col))
+    cls = classes(fps, max_bits)
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = link_classes(fps, max_bits).select(F.col("fp").alias("linked"), "label")
-    cls = cut(first.join(label, F.col("fp") == F.col("linked"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
-    comp = cls.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "of")
-    cls = cls.join(comp, F.col("label") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
+    comp = first.join(cls, F.col("fp") == F.col("print")).groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "of")
+    cls = cls.join(comp, F.col("label") == F.col("of")).select("print", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(cls, F.col("fp") == F.col("print")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, then the smallest text hash, null ids last.
+
+    Rows that agree in id and text are one row. Texts are not shuffled while the keys of the kept rows can be broadcast.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("h")).alias("key"), F.col(text_col).alias("text"))
+    fps = cut(fingerprints(keyed, "key", "text"))
+    cls = classes(fps, max_bits)
+    each = fps.groupBy("fp").agg(F.min("doc_id").alias("key")).join(cls, F.col("fp") == F.col("print"))
+    kept = each.groupBy("label").agg(F.min("key").alias("key")).select(F.col("key.id").alias("__kept_id"), F.col("key.h").alias("__kept_hash"))
+    twice = fps.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id.id").alias("__twice_id"), F.col("doc_id.h").alias("__twice_hash"))
+    at = lambda name: F.col(id_col).eqNullSafe(F.col(f"__{name}_id")) & (h == F.col(f"__{name}_hash"))
+    rows = docs.join(small(cut(kept)), at("kept"), "left_semi")
+    twice = cut(twice)
+    once = rows.join(small(twice), at("twice"), "left_anti")
+    return once.union(rows.join(small(twice), at("twice"), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and link components of all documents, at four or fewer differing bits."""
     return near_duplicates(documents(spark, sf_dir))
