@@ -6,6 +6,7 @@ named like the results are replaced; a text with a literal U+2581 decodes to a s
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import sys
 from array import array
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscreen.llm.common import documents
-from quillscreen.llm.transducer import Transducer
+from quillscreen.llm.transducer import BYTES, Transducer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,13 +80,15 @@ def piece_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = load()
+        gc.disable()  # nothing below makes cycles, and collections would walk the large caches
         for part in it:
             rows = []
             for text in part["t"]:
                 text = text or ""
                 ids = t.encode(text)
-                back = t.decode(ids)
-                n_bytes = sum(map(t.id_bytes.__contains__, ids))
+                shown = "".join(map(t.shown.__getitem__, ids))
+                back = t.finish(shown)
+                n_bytes = sum(map(len, BYTES.findall(shown)))
                 rows.append((len(ids), n_bytes, digest(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
             got = pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"], index=part.index)
             yield pd.concat([part[["doc_id"]], got], axis=1)

@@ -3,7 +3,7 @@
 Three machines are compiled from a model. The normaliser writes the dummy prefix and turns each space into U+2581. The piece
 machine is a trie whose final states emit a piece; its arcs cost minus the piece's score in a unigram model. The byte machine
 reads any one character and emits the byte pieces of its UTF-8 form, at a cost beyond any path of pieces. Their union is composed with each
-input, and the shortest path in the tropical semiring (min, +) is found position by position, as every arc leads forward.
+input, and the shortest path in the tropical semiring (min, +) is taken; every arc leads forward, so one pass over the positions finds it.
 
 A BPE model has no path costs: it merges the best-ranked neighbours first. Its result is still recognised by a finite automaton
 over pieces, since merging inside a span is never influenced by the text around it until something merges across the span's edge:
@@ -28,6 +28,9 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Byte b is shown as the lone surrogate LOW + b.
+LOW = 0xDC00
+BYTES = re.compile("[\udc00-\udcff]+")
 #: Chunks, and pairs, that a worker remembers.
 CACHE = 700_000
 
@@ -55,12 +58,15 @@ class Transducer:
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE} if m.trainer_spec.byte_fallback else {}
         self.id_bytes = {i: b for b, i in self.byte_ids.items()}
         self.silent = {i for i, p in enumerate(m.pieces) if p.type == CONTROL}
-        self.trie: dict = {}
+        # A node is [piece that ends here or None, next nodes by character].
+        self.trie: list = [None, {}]
         for piece in self.ids:
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = piece
+        # Byte pieces decode to lone surrogates, which no text holds, and runs of those to UTF-8.
+        self.shown = ["" if i in self.silent else chr(LOW + self.id_bytes[i]) if i in self.id_bytes else p for i, p in enumerate(self.pieces)]
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else re.compile("(?s).+")
         worst = min(self.score.values(), default=0.0)
         self.miss = 10.0 - worst
@@ -98,39 +104,77 @@ class Transducer:
 
     def compose(self, chunk: str) -> list[str]:
         """Labels of the shortest path through the composition with ``chunk``: pieces, and characters left to the byte machine."""
-        n, bpe, inf, pairs, trie, ids = len(chunk), self.bpe, float("inf"), self.pairs, self.trie, self.ids
-        cost, back, last = [0.0] + [inf] * n, [0] * (n + 1), [""] * (n + 1)
+        return self._only_path(chunk) if self.bpe else self._cheapest_path(chunk)
+
+    def arcs(self, chunk: str, s: int) -> list[str]:
+        """Labels of the arcs that leave position ``s``, the longest last."""
+        after, found, one = self.trie[1], [], chunk[s]
+        if one not in self.ids:
+            found.append(one)
+        for c in chunk[s:]:
+            node = after.get(c)
+            if node is None:
+                break
+            piece, after = node
+            if piece is not None:
+                found.append(piece)
+        return found
+
+    def _only_path(self, chunk: str) -> list[str]:
+        """The path of a BPE model, composed lazily: arcs are tried longest first, as fewer arcs cost less, and states met again are dead.
+
+        All states at a position have the same last piece, that of the position's own result, so a position is entered once at
+        most, and the first path that reaches the end is the only one.
+        """
+        n, pairs = len(chunk), self.pairs
+        seen, at, path, open_ = bytearray(n + 1), [0], [""], [self.arcs(chunk, 0)]
+        while True:
+            s, before, arcs = at[-1], path[-1], open_[-1]
+            after = pairs.get(before) or {}
+            while arcs:
+                piece = arcs.pop()
+                e = s + len(piece)
+                if seen[e]:
+                    continue
+                ok = after.get(piece)
+                if ok is None:
+                    ok = self.admissible(before, piece)
+                if ok:
+                    path.append(piece)
+                    if e == n:
+                        return path[1:]
+                    seen[e] = 1
+                    at.append(e)
+                    open_.append(self.arcs(chunk, e))
+                    break
+            else:
+                at.pop(), path.pop(), open_.pop()
+
+    def _cheapest_path(self, chunk: str) -> list[str]:
+        """Shortest path of a unigram model, position by position."""
+        n, inf = len(chunk), float("inf")
+        cost, last = [0.0] + [inf] * n, [""] * (n + 1)
         for s in range(n):
-            base = cost[s]
-            if base == inf:
-                continue
-            before, node, e, one = last[s], trie, s, chunk[s]
-            after = pairs.get(before, {})
-            while e < n and (node := node.get(chunk[e])) is not None:
-                e += 1
-                if "" in node:
-                    piece = node[""]
-                    c = base + 1.0 if bpe else base - self.score[piece]
+            if cost[s] < inf:
+                for piece in self.arcs(chunk, s):
+                    e, c = s + len(piece), cost[s] - self.score[piece] if piece in self.score else cost[s] + self.miss
                     if c < cost[e]:
-                        ok = after.get(piece) if bpe else True
-                        if ok is None:
-                            ok = self.admissible(before, piece)
-                        if ok:
-                            cost[e], back[e], last[e] = c, s, piece
-            if one not in ids:
-                c = base + (1.0 if bpe else self.miss)
-                if c < cost[s + 1] and (not bpe or after.get(one) or self.admissible(before, one)):
-                    cost[s + 1], back[s + 1], last[s + 1] = c, s, one
+                        cost[e], last[e] = c, piece
         out, e = [], n
         while e:
             out.append(last[e])
-            e = back[e]
+            e -= len(last[e])
         return out[::-1]
 
-    def emit(self, label: str) -> Iterable[int]:
-        if label in self.ids:
-            return (self.ids[label],)
-        return [self.byte_ids[b] for b in label.encode()] if self.byte_ids else (self.unknown,)
+    def emit(self, labels: list[str]) -> tuple[int, ...]:
+        """Ids of the pieces; a character that is none becomes its bytes, or the unknown piece where the model has no bytes."""
+        ids = tuple(map(self.ids.get, labels))
+        if None not in ids:
+            return ids
+        out: list[int] = []
+        for i, label in zip(ids, labels, strict=True):
+            out += (i,) if i is not None else [self.byte_ids[b] for b in label.encode()] if self.byte_ids else (self.unknown,)
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -140,27 +184,18 @@ class Transducer:
             if ids is None:
                 if len(chunks) >= CACHE:
                     chunks.clear()
-                ids = tuple(i for label in self.compose(chunk) for i in self.emit(label))
+                ids = self.emit(self.compose(chunk))
                 if len(chunk) <= 64:
                     chunks[chunk] = ids
             out += ids
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The inverse: bytes are joined and read as UTF-8, spaces restored, the dummy prefix dropped."""
-        parts, raw = [], bytearray()
-        for i in ids:
-            if i in self.id_bytes:
-                raw.append(self.id_bytes[i])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.silent:
-                parts.append(self.pieces[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        text = "".join(parts)
+        """The inverse: runs of byte pieces are read as UTF-8, spaces restored, the dummy prefix dropped."""
+        return self.finish("".join(map(self.shown.__getitem__, ids)))
+
+    def finish(self, shown: str) -> str:
+        text = BYTES.sub(lambda m: bytes(ord(c) - LOW for c in m[0]).decode("utf-8", "replace"), shown)
         if self.dummy_prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
