@@ -103,5 +103,5 @@ def keywords(items: DataFrame, k: int = 6) -> DataFrame:
 def value_counts(d: DataFrame, column: str) -> DataFrame:
     """Counts of the values of a column, arrays exploded, blanks dropped; most frequent first, ties by value."""
     array = dict(d.dtypes)[column].startswith("array")
-    v = d.select((F.explode(column) if array else F.col(column)).cast("string").alias("value")).filter(F.trim(F.coalesce("value", F.lit(""))) != "")
+    v = d.select((F.explode(column) if array else F.col(column)).alias("value")).select(F.col("value").cast("string").alias("value")).filter(F.trim(F.coalesce("value", F.lit(""))) != "")
     return v.groupBy("value").agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "value")

@@ -312,7 +312,7 @@ def reading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("section_no", "section", "pos", "rank", "paper_id", "reading_priority")
 
 
-@query(_path_sql().replace(" UNION ALL ", "\nUNION ALL\n").join(["SELECT count(*) AS reading_path_paper_count, 0 AS reading_path_exclude_count, 0 AS reading_path_out_of_scope_count, count(*) - count(DISTINCT paper_id) AS reading_path_duplicate_count, 0 AS reading_path_negative_context_count FROM (", ")"]))
+@query(_path_sql().replace(" UNION ALL ", "\nUNION ALL\n").join(["SELECT count(*) AS reading_path_paper_count, CAST(0 AS BIGINT) AS reading_path_exclude_count, CAST(0 AS BIGINT) AS reading_path_out_of_scope_count, count(*) - count(DISTINCT paper_id) AS reading_path_duplicate_count, CAST(0 AS BIGINT) AS reading_path_negative_context_count FROM (", ")"]))
 def reading_path_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must not be on the path is not."""
     items = reading.group_papers(decided(spark, sf_dir))
@@ -355,7 +355,7 @@ def prisma_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.screening_flow(decided(spark, sf_dir), table(spark, sf_dir, "documents").count(), 0)
 
 
-@query(o.with_(pp.PAPERS, o.EVIDENCE) + "SELECT count(*) AS n_papers, count(*) FILTER (WHERE support_level = 'strict_support') AS strict_supported_count, 0 AS weak_support_count, 0 AS unverified_count, 0 AS llm_invalid_evidence_count, avg((support_level = 'missing_abstract')::INT) AS missing_abstract_ratio, avg((support_level <> 'strict_support')::INT) AS unsupported_claim_rate, CASE WHEN count(*) FILTER (WHERE support_level = 'strict_support') > 0 THEN 1.0 ELSE 0.0 END AS grounding_accuracy, avg((support_level = 'strict_support')::INT) AS strict_support_rate, 0.0 AS weak_support_rate FROM ev")
+@query(o.with_(pp.PAPERS, o.EVIDENCE) + "SELECT count(*) AS n_papers, count(*) FILTER (WHERE support_level = 'strict_support') AS strict_supported_count, CAST(0 AS BIGINT) AS weak_support_count, CAST(0 AS BIGINT) AS unverified_count, CAST(0 AS BIGINT) AS llm_invalid_evidence_count, avg((support_level = 'missing_abstract')::INT) AS missing_abstract_ratio, avg((support_level <> 'strict_support')::INT) AS unsupported_claim_rate, CAST(CASE WHEN count(*) FILTER (WHERE support_level = 'strict_support') > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS grounding_accuracy, avg((support_level = 'strict_support')::INT) AS strict_support_rate, CAST(0.0 AS DOUBLE) AS weak_support_rate FROM ev")
 def support_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: support levels and rates."""
     return metrics.support_summary(screening.evidence_tables(papers(spark, sf_dir), QUESTION)[1])
@@ -538,7 +538,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 e AS (SELECT s.input_ord AS so, s.paper_id AS sp, kind, k, pos, 'p' || ((s.input_ord * 7 + k * 3 + pos * 2 + 1) % (SELECT count(*) FROM papers)) AS dst FROM papers s, kd, range(1, 6) r(pos) WHERE s.input_ord < 3 AND pos <= 3),
 c AS (SELECT *, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN {sql_title_key('title')} <> '' THEN 'title:' || {sql_title_key('title')} END AS key FROM papers),
 x AS (SELECT e.*, c.paper_id, c.key FROM e JOIN c ON c.paper_id = e.dst WHERE c.key IS NULL OR c.key NOT IN (SELECT key FROM c WHERE input_ord % 2 = 0 AND key IS NOT NULL))
-SELECT paper_id, sp AS seed_paper_id, 'seed_' || kind AS source_stage, kind AS seed_relation, 0.8 AS seed_confidence FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(key, sp || kind || pos) ORDER BY so, k, pos) AS n FROM x) WHERE n = 1""")
+SELECT paper_id, sp AS seed_paper_id, 'seed_' || kind AS source_stage, kind AS seed_relation, CAST(0.8 AS DOUBLE) AS seed_confidence FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(key, sp || kind || pos) ORDER BY so, k, pos) AS n FROM x) WHERE n = 1""")
 def snowball_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hop expansion that skips known papers."""
     seeds, edges, p = _graph(spark, sf_dir)
@@ -567,7 +567,7 @@ _FOLD = f"translate(lower(title || ' ' || abstract), '{gaps.MARKED}', '{gaps.PLA
 SELECT paper_id, 'articles' AS k, false AS a, false AS b FROM x WHERE contains(f, 'the thorough') OR contains(f, 'el que') UNION ALL
 SELECT paper_id, 'sides', contains(f, 'that the'), contains(f, 'que la') FROM x WHERE contains(f, 'that the') OR contains(f, 'que la') UNION ALL
 SELECT paper_id, 'short', false, false FROM x WHERE regexp_matches(f, '\\bder\\b'))
-SELECT k AS tension_key, count(DISTINCT paper_id) AS n_papers, round(CASE WHEN k = 'sides' THEN CASE WHEN bool_or(a) AND bool_or(b) THEN 0.82 ELSE 0.56 END ELSE least(0.9, 0.5 + 0.1 * count(DISTINCT paper_id)) END, 2) AS confidence FROM h GROUP BY k""")
+SELECT k AS tension_key, count(DISTINCT paper_id) AS n_papers, CAST(round(CASE WHEN k = 'sides' THEN CASE WHEN bool_or(a) AND bool_or(b) THEN 0.82 ELSE 0.56 END ELSE least(0.9, 0.5 + 0.1 * count(DISTINCT paper_id)) END, 2) AS DOUBLE) AS confidence FROM h GROUP BY k""")
 def research_tensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tension rules and how sure they are."""
     return gaps.tensions(papers(spark, sf_dir), TENSIONS)
