@@ -40,7 +40,7 @@ FAMILIES = {
     "semitic": ("ar", "he", "am", "mt"),
     "sinitic": ("zh", "yue", "wuu"),
 }
-DIM, TRAIN_ROWS, EPOCHS, COST = 4096, 4000, 12, 10.0
+DIM, TRAIN_ROWS, EPOCHS, COST = 2048, 3000, 12, 10.0
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
@@ -54,18 +54,21 @@ def featurise(text: str) -> np.ndarray:
     b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
     one, two = b * np.uint32(2654435761), b[:-1] * np.uint32(2246822519) + b[1:] * np.uint32(3266489917)
     three = two[:-1] * np.uint32(31) + b[2:] * np.uint32(668265263) if len(b) > 2 else two[:0]
-    x = sum(np.bincount(h >> np.uint32(20), minlength=DIM) for h in (one, two, three))
+    x = sum(np.bincount(h >> np.uint32(21), minlength=DIM) for h in (one, two, three))
     x = np.sqrt(x).astype(np.float32)
     return x / max(np.linalg.norm(x), 1e-9)
 
 
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)])
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Linear SVM (squared hinge) by dual coordinate descent; a constant feature carries the bias. ``y`` is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    """Linear SVM (squared hinge) by dual coordinate descent; the last feature is constant and carries the bias. ``y`` is +1 or -1."""
     w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(seed)
     share = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (1, -1)}
     soft = 0.5 / (COST * np.array([share[int(s)] for s in y]))
-    norm = (x * x).sum(1) + soft
+    norm = np.einsum("ij,ij->i", x, x) + soft
     for _ in range(EPOCHS):
         for i in rng.permutation(len(x)):
             g = y[i] * (w @ x[i]) - 1 + soft[i] * alpha[i]
@@ -80,6 +83,7 @@ class Hierarchy:
     """The two levels of classifiers."""
 
     def __init__(self, x: np.ndarray, lang: np.ndarray):
+        x = with_bias(x)
         family_of = {code: name for name, codes in FAMILIES.items() for code in codes}
         self.langs = sorted(set(lang))
         fam = np.array([family_of.get(v, v) for v in lang])
@@ -97,7 +101,7 @@ class Hierarchy:
         """Languages, and scores as the product of the logistic of the deciding margins."""
         if not self.langs:
             return [UND] * len(x), np.zeros(len(x))
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+        x = with_bias(x)
         sure = lambda m: 1 / (1 + np.exp(-4.0 * m))
         score = np.ones(len(x))
         which = np.zeros(len(x), int)
@@ -141,8 +145,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = sample.mapInPandas(features, "lang string, i string, x binary").limit(2 * max_rows).collect()
     rows.sort(key=lambda r: (r["lang"], r["i"] or "", bytes(r["x"])))
-    x = np.array([np.frombuffer(bytes(r["x"]), np.float16) for r in rows], np.float32).reshape(-1, DIM)
-    return Hierarchy(x, np.array([r["lang"] for r in rows], object))
+    x, lang = np.empty((len(rows), DIM), np.float32), np.array([r["lang"] for r in rows], object)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(bytes(r["x"]), np.float16)
+    del rows
+    return Hierarchy(x, lang)
 
 
 def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
