@@ -34,14 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillscreen-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written here. Whole texts are long, and both ends hold a batch outside the heap.
+ARROW_ROWS = 1000
+ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     The lineage ends at files that outlive any executor, so a lost executor costs at most the running stage.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
+    path, rows = shared_dir(spark), spark.conf.get(ARROW_KEY)
+    spark.conf.set(ARROW_KEY, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_KEY, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, K = 400, 100
 PIECE = 1 << 22
 #: Contexts sorted together in one task, and contexts of a gram beyond which it is grouped by digests.
-BIN_CONTEXTS, MAX_CONTEXTS = 8_000, 2_000
+BIN_CONTEXTS, MAX_CONTEXTS = 2_000, 2_000
+#: Rows that are Python tuples at once.
+ROWS = 20_000
 RUN = "rid binary, gram long, context long, start long, stop long, anchor long"
 
 
@@ -90,7 +92,7 @@ def _runs_table(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for rid, t in zip(part["rid"], part["t"], strict=True):
                 rows += [(rid, *r) for r in document_runs(t.encode())]
-                if len(rows) > 100_000:
+                if len(rows) > ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names).astype({c: "int64" for c in names[1:]})
@@ -141,7 +143,7 @@ def _by_digest(contexts: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for g, c, n, lo, hi, body in zip(*(part[x] for x in ("gram", "context", "n", "low", "high", "body")), strict=True):
                 rows += [(g, c, n, d, _digest(body[hi - d : hi - d + LENGTH])) for d in range(lo, hi + 1)]
-                if len(rows) > 100_000:
+                if len(rows) > ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names).astype("int64")
@@ -156,7 +158,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``rid, spans``: for each row of ``docs`` (columns rid, t) with repeated bytes, its sorted maximal ranges [start, end)."""
     every = cut(_runs_table(docs))
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).filter("n > 1")
-    told = cut(every.join(grams.select("gram", (F.col("a") == F.col("b")).alias("alike")), "gram"))
+    # A table of its own, so that both sides of the join are plain shuffles and AQE can split a gram with very many runs.
+    grams = cut(grams.select("gram", (F.col("a") == F.col("b")).alias("alike")))
+    told = cut(every.join(grams, "gram"))
     whole = told.filter("alike").select("rid", "start", "stop")
     mixed = told.filter("NOT alike")
     contexts = cut(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "stop", "anchor")).alias("at")))
@@ -219,7 +223,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.concat([part[["doc_id"]], got], axis=1)
 
     dirty = docs.join(small(ids), "rid", "left_semi").join(spans, "rid").select("doc_id", "t", "spans")
-    return clean.union(dirty.mapInPandas(run, f"doc_id {kind}, {REPORT}"))
+    return clean.union(cut(dirty.mapInPandas(run, f"doc_id {kind}, {REPORT}")))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
