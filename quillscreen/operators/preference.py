@@ -60,9 +60,11 @@ def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str
 
     known = labels.filter(F.col("label").isin("include", "exclude")).select("paper_id", "label")
     d = texts.withColumn("__w", F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), F.lit(0)), lambda x: ~x.isin(*stop_words)))
-    pairs = F.when(F.size("__w") > 1, F.transform(F.sequence(F.lit(0), F.size("__w") - 2), lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    # Pairs from two shifted copies of the array: a lambda that indexed it would compute it for every element.
+    n_pairs = F.greatest(F.size("__w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__w", F.lit(1), n_pairs), F.slice("__w", F.lit(2), n_pairs), lambda a, b: F.concat_ws(" ", a, b))
     d = d.select("paper_id", F.concat("__w", pairs).alias("grams"))
-    train = d.join(F.broadcast(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double"))
+    train = d.join(F.broadcast(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double")).persist()
     n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if sum(n.values()) < MIN_LABELS or len(n) < 2:
         return term_scores(texts, contrast(texts, labels))
@@ -76,5 +78,8 @@ def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str
     weighted = lambda x: x.withColumn("wv", array_to_vector(F.zip_with(vector_to_array("tf"), weight, lambda a, b: a * b)))
     unit = Normalizer(p=2.0, inputCol="wv", outputCol="x")
     prepared = lambda x: unit.transform(weighted(counts.transform(x)))
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(prepared(train))
+    ready = prepared(train).select("x", "y").persist()
+    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(ready)
+    ready.unpersist()
+    train.unpersist()
     return model.transform(prepared(d)).select("paper_id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 4).alias("preference_score"))
