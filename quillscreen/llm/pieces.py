@@ -6,13 +6,13 @@ named like the results are replaced; a text with a literal U+2581 decodes to a s
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import sys
 from array import array
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _compiled: dict[str, Transducer] = {}
 MODEL = "piece_bpe_32k.model"
+#: Rows whose texts are Python strings at once.
+ROWS = 256
+NAMES = ["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
 REPORT = "n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
@@ -78,22 +82,22 @@ def piece_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """``doc_id`` with the size and digest of each document's encoding, and whether it decodes to the text; ids stay in the worker."""
     load, kind = _loader(model_path), docs.schema[id_col].dataType.simpleString()
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load()
-        gc.disable()  # nothing below makes cycles, and collections would walk the large caches
-        for part in it:
-            rows = []
-            for text in part["t"]:
-                text = text or ""
-                ids = t.encode(text)
-                shown = "".join(map(t.shown.__getitem__, ids))
-                back = t.finish(shown)
-                n_bytes = sum(map(len, BYTES.findall(shown)))
-                rows.append((len(ids), n_bytes, digest(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            got = pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"], index=part.index)
-            yield pd.concat([part[["doc_id"]], got], axis=1)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, {REPORT}")
+        for batch in it:
+            for at in range(0, batch.num_rows, ROWS):
+                part, rows = batch.slice(at, ROWS), []
+                for text in part.column(1).to_pylist():
+                    text = text or ""
+                    ids = t.encode(text)
+                    shown = "".join(map(t.shown.__getitem__, ids))
+                    back = t.finish(shown)
+                    rows.append((len(ids), sum(map(len, BYTES.findall(shown))), digest(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, KINDS, strict=True))], ["doc_id", *NAMES])
+        t.forget()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, {REPORT}")
 
 
 def default_model() -> str:

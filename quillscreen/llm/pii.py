@@ -142,7 +142,10 @@ def added_spans(docs: DataFrame, text: str = "t") -> DataFrame:
         F.when(t.rlike(r"[0-9]{2,5}\)?[\x20./-]\x20?[0-9]{2,5}[\x20./-][0-9]{2}"), _spans(t, NUMBER, "number")).otherwise(none),
     ))
     before = lambda s: F.substring(t, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    rank = F.transform("proposed", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), m.column(_features(s["value"], before(s))).alias("score")))
+    # Features first, as a struct: a tree names a feature many times, and each name would be its computation.
+    told = F.transform("proposed", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.struct(*[v.alias(k) for k, v in _features(s["value"], before(s)).items()]).alias("x")))
+    d = d.withColumn("told", F.when(F.size("proposed") > 0, told))
+    rank = F.transform("told", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), m.column({k: s["x"][k] for k in FEATURES}).alias("score")))
     d = d.withColumn("scored", F.when(F.size("proposed") > 0, rank)).withColumn("base", F.concat(*BASE))
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     d = d.withColumn("good", F.filter("scored", lambda s: (s["score"] >= m.threshold) & ~F.exists("base", lambda b: meets(s, b))))

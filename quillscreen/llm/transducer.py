@@ -31,8 +31,8 @@ UNIGRAM, BPE = 1, 2
 #: Byte b is shown as the lone surrogate LOW + b.
 LOW = 0xDC00
 BYTES = re.compile("[\udc00-\udcff]+")
-#: Chunks, and pairs, that a worker remembers.
-CACHE = 700_000
+#: Chunks in each of a worker's two generations; the young one becomes the old one when full, so frequent chunks stay; and pairs.
+CACHE, PAIRS = 200_000, 400_000
 
 
 class Transducer:
@@ -71,6 +71,7 @@ class Transducer:
         worst = min(self.score.values(), default=0.0)
         self.miss = 10.0 - worst
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.old_chunks: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
@@ -95,7 +96,7 @@ class Transducer:
 
     def admissible(self, a: str, b: str) -> bool:
         """Whether ``b`` may follow ``a`` ('' at the start); asked once per pair and cache."""
-        if self.n_pairs >= CACHE:
+        if self.n_pairs >= PAIRS:
             self.pairs.clear()
             self.n_pairs = 0
         self.n_pairs += 1
@@ -178,18 +179,23 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        chunks = self.chunks
+        young = self.chunks
         for chunk in self.cut.findall(self.normalise(text)):
-            ids = chunks.get(chunk)
+            ids = young.get(chunk)
             if ids is None:
-                if len(chunks) >= CACHE:
-                    chunks.clear()
-                ids = self.emit(self.compose(chunk))
+                ids = self.old_chunks.get(chunk) or self.emit(self.compose(chunk))
                 if len(chunk) <= 64:
-                    chunks[chunk] = ids
+                    if len(young) >= CACHE:
+                        self.old_chunks, self.chunks = young, {}
+                        young = self.chunks
+                    young[chunk] = ids
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Empty the memory of chunks and pairs; workers idle on after a task and would hold it."""
+        self.chunks, self.old_chunks, self.pairs, self.n_pairs = {}, {}, {}, 0
+
     def decode(self, ids: Iterable[int]) -> str:
         """The inverse: runs of byte pieces are read as UTF-8, spaces restored, the dummy prefix dropped."""
         return self.finish("".join(map(self.shown.__getitem__, ids)))
