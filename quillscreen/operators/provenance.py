@@ -135,3 +135,23 @@ def year_filter_audit(papers: DataFrame, from_year: int) -> DataFrame:
         F.count("*").alias("before_count"), F.count_if(seed | (year >= from_year)).alias("after_count"), F.count_if(~seed & (year == 0)).alias("dropped_missing_year"),
         F.count_if(~seed & (year != 0) & (year < from_year)).alias("dropped_too_old"), F.count_if(seed & (year < from_year)).alias("kept_seed_exempt"),
     )
+
+
+def query_flags(queries: DataFrame, query: str = "query", axes: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    """Quality flags of query texts: overbroad (under three distinct tokens), a word three times or a repeated word pair, and, with axes
+    (any-of term groups), single_axis where at most one of them is touched."""
+    d = queries.withColumn("__t", F.filter(F.split(F.lower(tx.collapsed(query)), " "), lambda x: x != ""))
+    n = F.greatest(F.size("__t") - 1, F.lit(0))
+    d = d.withColumn("__p", F.zip_with(F.slice("__t", F.lit(1), n), F.slice("__t", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    d = d.withColumn("__s", F.array_sort("__t"))
+    m = F.greatest(F.size("__s") - 2, F.lit(0))
+    thrice = F.exists(F.zip_with(F.slice("__s", F.lit(1), m), F.slice("__s", F.lit(3), m), lambda a, b: a == b), lambda x: x)
+    touched = F.lit(0)
+    for terms in axes:
+        hit = F.lit(False)
+        for t in terms:
+            hit = hit | F.lower(tx.text(query)).contains(t.lower())
+        touched = touched + hit.cast("int")
+    return d.withColumns({
+        "overbroad": F.size(F.array_distinct(tx.tokens(query))) < 3, "repeated": thrice | (F.size(F.array_distinct("__p")) < F.size("__p")), "single_axis": (touched <= 1) if axes else F.lit(False),
+    }).drop("__t", "__p", "__s")

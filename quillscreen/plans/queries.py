@@ -615,3 +615,43 @@ def _strip_sql() -> str:
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of pages, as a digest."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_html("html")).alias("text_md5"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n_keys FROM events")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of JSON payloads."""
+    e = table(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
+    return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"), F.size("m").cast("long").alias("n_keys"))
+
+
+@query(f"WITH {PLANNED} SELECT ord, provider, CASE WHEN provider = 'openalex' THEN m ELSE 'keyword' END AS search_mode, CASE WHEN provider = 'openalex' THEN 'openalex_' || m ELSE provider END AS retrieval_stage FROM planned, (VALUES ('keyword'), ('semantic')) v(m) WHERE provider = 'openalex' OR m = 'keyword'")
+def planned_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned queries by retrieval stage."""
+    return provenance.planned_stages(_planned(spark)).select("ord", "provider", "search_mode", "retrieval_stage")
+
+
+@query("SELECT 'partial_success' AS retrieval_status, true AS ranked_papers_based_on_real_retrieval, '' AS reason")
+def retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: what all provider states amount to; the events hold both results and errors."""
+    e = table(spark, sf_dir, "events")
+    b = e.select(F.col("event_type").alias("provider"), F.lit(1).cast("long").alias("returned"), F.when(F.col("user_id") % 50 == 0, 429).alias("status_code"), F.lit("").alias("error"))
+    r = e.groupBy(F.col("event_type").alias("provider")).agg(F.count("*").alias("requested"))
+    return provenance.retrieval_context(provenance.provider_status(b, r), 10, 10, 5)
+
+
+_PAIRS = "list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
+
+
+@query(o.with_(pp.PAPERS) + f""", t AS (SELECT paper_id, lower(title) AS low, list_filter(string_split({sql_collapsed('lower(title)')}, ' '), lambda x: x <> '') AS t, {sql_tokens('title')} AS k FROM papers)
+SELECT paper_id, len(list_distinct(k)) < 3 AS overbroad, len(list_distinct({_PAIRS})) < len({_PAIRS}) OR coalesce(list_max(map_values(list_histogram(t))), 0) >= 3 AS repeated, (contains(low, 'the') OR contains(low, 'que'))::INT + (contains(low, 'that'))::INT <= 1 AS single_axis FROM t""")
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality flags; titles stand for query texts."""
+    return provenance.query_flags(papers(spark, sf_dir), "title", (("the", "que"), ("that",))).select("paper_id", "overbroad", "repeated", "single_axis")
+
+
+@query(o.with_(pp.PAPERS, o.EVIDENCE, o.GUARD, o.ROLE) + "SELECT avg((support_level = 'strict_support')::INT) AS evidence_grounding_ratio, avg((g.domain_decision = 'in_scope')::INT) AS in_scope_ratio, avg((len(r.roles) > 0)::INT) AS role_assigned_ratio, CAST((SELECT count(DISTINCT x) FROM (SELECT unnest(roles) AS x FROM role) WHERE x IN ('theory_mechanism', 'material_case', 'nanoscale_readout')) / 3.0 AS DOUBLE) AS target_role_coverage FROM ev JOIN guard g USING (paper_id) JOIN role r USING (paper_id)")
+def exploration_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that describe how a run explored its field."""
+    p = papers(spark, sf_dir)
+    items = screening.with_evidence(p, QUESTION).join(guardrail.assess(p, CONTRACT).select("paper_id", "domain_decision"), "paper_id")
+    return metrics.exploration_quality(items, roles.classify(p, ROLE_RULES), ("theory_mechanism", "material_case", "nanoscale_readout"))
