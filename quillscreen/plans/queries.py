@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,51 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Results that both engines round to six decimals, as sums in another order differ in the last bits.
+FLOATS = {
+    "flagship_screen": ("keyword_overlap", "relevance", "evidence", "recency", "quality", "diversity", "final",),
+    "tokenize_overlap": ("overlap",),
+    "best_sentence": ("keyword_overlap",),
+    "tfidf_cosine": ("title_similarity", "abstract_similarity", "evidence_similarity", "field_match",),
+    "hybrid_relevance": ("api_relevance", "must_term_coverage", "hybrid_relevance",),
+    "score_components": ("evidence", "recency", "quality",),
+    "ranking_profiles": ("score",),
+    "venue_diversity_rank": ("diversity", "final0", "final",),
+    "dedup_merge_exact": ("api_relevance_score",),
+    "completeness": ("completeness",),
+    "group_coverage_guardrail": ("domain_match_score", "intent_centrality_score", "required_group_coverage_score", "topic_focus_score",),
+    "aspect_coverage": ("aspect_coverage_score",),
+    "role_multilabel": ("confidence",),
+    "full_rank": ("relevance", "diversity", "multiplier", "centrality", "final",),
+    "ranking_adjustments": ("role_adjustment", "lane_adjustment", "seed_boost", "false_positive_penalty", "final",),
+    "screening_decision": ("decision_confidence",),
+    "support_summary": ("missing_abstract_ratio", "unsupported_claim_rate", "grounding_accuracy", "strict_support_rate", "weak_support_rate",),
+    "feedback_rerank": ("final",),
+    "rank_shift": ("mean_abs_rank_delta",),
+    "ir_metrics": ("precision_at_k", "ndcg_at_k", "recall_at_k", "average_precision",),
+    "preference_terms": ("preference_score",),
+    "anchor_coverage": ("anchor_coverage",),
+    "ablation_delta": ("delta_n_events", "delta_total",),
+    "pilot_results": ("off_topic_rate_estimate",),
+    "snowball_one_hop": ("seed_confidence",),
+    "research_tensions": ("confidence",),
+    "exploration_quality": ("evidence_grounding_ratio", "in_scope_ratio", "role_assigned_ratio", "target_role_coverage",),
+}
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL if it has one."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        name, floats = f.__name__, FLOATS.get(f.__name__, ())
+
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.round(c, 6) for c in floats}) if floats else f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in floats)}) FROM ({sql})" if floats else sql
         return f
 
     return add
@@ -624,7 +664,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"), F.size("m").cast("long").alias("n_keys"))
 
 
-@query(f"WITH {PLANNED} SELECT ord, provider, CASE WHEN provider = 'openalex' THEN m ELSE 'keyword' END AS search_mode, CASE WHEN provider = 'openalex' THEN 'openalex_' || m ELSE provider END AS retrieval_stage FROM planned, (VALUES ('keyword'), ('semantic')) v(m) WHERE provider = 'openalex' OR m = 'keyword'")
+@query(f"WITH {PLANNED} SELECT CAST(ord AS BIGINT) AS ord, provider, CASE WHEN provider = 'openalex' THEN m ELSE 'keyword' END AS search_mode, CASE WHEN provider = 'openalex' THEN 'openalex_' || m ELSE provider END AS retrieval_stage FROM planned, (VALUES ('keyword'), ('semantic')) v(m) WHERE provider = 'openalex' OR m = 'keyword'")
 def planned_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned queries by retrieval stage."""
     return provenance.planned_stages(_planned(spark)).select("ord", "provider", "search_mode", "retrieval_stage")
