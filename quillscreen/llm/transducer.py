@@ -127,29 +127,41 @@ class Transducer:
         All states at a position have the same last piece, that of the position's own result, so a position is entered once at
         most, and the first path that reaches the end is the only one.
         """
-        n, pairs = len(chunk), self.pairs
-        seen, at, path, open_ = bytearray(n + 1), [0], [""], [self.arcs(chunk, 0)]
+        n, pairs, root, ids = len(chunk), self.pairs, self.trie[1], self.ids
+        path, s, before, later = [], 0, "", []
+        seen: set[int] = set()
         while True:
-            s, before, arcs = at[-1], path[-1], open_[-1]
-            after = pairs.get(before) or {}
-            while arcs:
-                piece = arcs.pop()
-                e = s + len(piece)
-                if seen[e]:
-                    continue
-                ok = after.get(piece)
-                if ok is None:
-                    ok = self.admissible(before, piece)
-                if ok:
-                    path.append(piece)
-                    if e == n:
-                        return path[1:]
-                    seen[e] = 1
-                    at.append(e)
-                    open_.append(self.arcs(chunk, e))
+            arcs, next_ = [], root
+            if chunk[s] not in ids:
+                arcs.append(chunk[s])
+            for c in chunk[s:]:
+                node = next_.get(c)
+                if node is None:
                     break
-            else:
-                at.pop(), path.pop(), open_.pop()
+                piece, next_ = node
+                if piece is not None:
+                    arcs.append(piece)
+            while True:
+                after = pairs.get(before) or {}
+                while arcs:
+                    piece = arcs.pop()
+                    e = s + len(piece)
+                    if e in seen:
+                        continue
+                    ok = after.get(piece)
+                    if ok or ok is None and self.admissible(before, piece):
+                        break
+                else:  # a dead state: back to the one before it
+                    s, before, arcs = later.pop()
+                    path.pop()
+                    continue
+                break
+            path.append(piece)
+            if e == n:
+                return path
+            seen.add(e)
+            later.append((s, before, arcs))
+            s, before = e, piece
 
     def _cheapest_path(self, chunk: str) -> list[str]:
         """Shortest path of a unigram model, position by position."""
