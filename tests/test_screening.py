@@ -99,6 +99,50 @@ def test_merge_fills_gaps_and_is_stable(spark):
     assert {(r.input_ord, r.gid) for r in dedup.groups(d.repartition(3)).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_ordered_dedup_agrees_with_a_plain_fold(spark):
+    import random
+
+    def plain(rows):
+        by_doi, by_title, state, out = {}, {}, {}, {}
+        for o, doi, title, full in rows:
+            g = by_doi.get(doi) if doi else None
+            g = by_title.get(title) if g is None and title else g
+            if g is None:
+                g, state[o] = o, (doi, title, full)
+            else:
+                base, other = ((doi, title, full), state[g]) if full > state[g][2] else (state[g], (doi, title, full))
+                state[g] = (base[0] or other[0], base[1], base[2])
+            by_doi |= {state[g][0]: g} if state[g][0] else {}
+            by_title |= {state[g][1]: g} if state[g][1] else {}
+            out[o] = g
+        return out
+
+    rng, rows = random.Random(5), []
+    for k in range(150):  # tables of their own, as their keys differ
+        n_doi, n_title = rng.randint(1, 5), rng.randint(1, 5)
+        for _ in range(rng.randint(2, 14)):
+            doi, title = rng.choice(["", f"10.{k}/{rng.randint(1, n_doi)}"]), rng.choice(["", *[f"t{k} {rng.randint(1, n_title)}"] * 3])
+            rows.append(paper(len(rows), title, doi, "x" * rng.randint(0, 900)))
+    d = spark.createDataFrame(rows, PAPER)
+    full = {r.input_ord: r.c for r in d.select("input_ord", dedup.completeness(d).alias("c")).collect()}
+    want = plain([(r[0], r[7], r[2], full[r[0]]) for r in rows])
+    assert {r.input_ord: r.gid for r in dedup.groups(d.repartition(5)).collect()} == want
+    assert {r.fold for r in dedup.with_components(d).collect()} == {True, False}
+    # Equal in both keys, yet apart: p3 takes the title over.
+    rows = [paper(1, "t"), paper(2, "u", "d"), paper(3, "t", "d", "x" * 900), paper(4, "t")]
+    assert {r.input_ord: r.gid for r in dedup.groups(spark.createDataFrame(rows, PAPER)).collect()} == {1: 1, 2: 2, 3: 2, 4: 2}
+
+
+def test_large_groups_are_not_gathered(spark):
+    rows = [paper(i, "Editorial", f"10.1/{i}" if i % 2 else "", authors=(f"A{i % 3}",)) for i in range(300)]
+    d = spark.createDataFrame(rows, PAPER).withColumn("authors", F.when(F.col("input_ord") != 4, F.col("authors")))
+    assert not any(r.fold for r in dedup.with_components(d).collect())  # one title: settled without the fold
+    m = dedup.deduplicate(d)
+    assert "FlatMapGroupsInPandas" not in m._jdf.queryExecution().toString()
+    r = m.collect()
+    assert len(r) == 1 and r[0].n_records == 300 and r[0].authors == ["A1", "A0", "A2"] and r[0].source_provider == "crossref;openalex"
+
+
 def test_evidence_levels(spark):
     p = spark.createDataFrame([("a", "t", "Cats sleep. Dogs run fast here."), ("b", "t", ""), ("c", "t", "Cats sleep all day long in the sun.")], "paper_id string, title string, abstract string")
     best = {r.paper_id: r for r in evidence.best_sentence(p, "do dogs run").collect()}
