@@ -54,12 +54,15 @@ def py_span_text(value: str) -> str:
 
 
 def best_ratio(evidence: str, abstract: str) -> tuple[float, str]:
-    """The best similarity of the evidence to a sentence; pairs whose lengths cannot reach the threshold are still compared, as the
-    best ratio below it is reported too."""
+    """The best similarity of the evidence to a sentence, below the threshold too; only pairs whose lengths cannot beat the best so far are passed over."""
     wanted, best, at = py_span_text(evidence), 0.0, ""
     for s in re.split(r"(?<=[.!?])\s+", " ".join((abstract or "").split())):
         if s.strip():
-            score = difflib.SequenceMatcher(None, wanted, py_span_text(s)).ratio()
+            text = py_span_text(s)
+            both = len(wanted) + len(text)
+            if both and 2.0 * min(len(wanted), len(text)) / both <= best:
+                continue
+            score = difflib.SequenceMatcher(None, wanted, text).ratio()
             if score > best:
                 best, at = score, s
     return best, at

@@ -106,10 +106,10 @@ def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted benchmark passages as external evidence for documents, with the similarity branch."""
+    """A benchmark passage as external evidence for every document, with the similarity branch."""
     p = papers(spark, sf_dir)
-    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("n"), F.col("text").alias("evidence_sentence"), F.lit(False).alias("llm_used"))
-    e = b.join(p.select("paper_id", F.col("input_ord").alias("n")), "n").select("paper_id", "evidence_sentence", "llm_used")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("evidence_sentence"), F.lit(False).alias("llm_used"))
+    e = b.join(p.select("paper_id", F.pmod("input_ord", F.lit(max(1, b.count()))).alias("n")), "n").select("paper_id", "evidence_sentence", "llm_used")
     return evidence.verify(e, p)
 
 

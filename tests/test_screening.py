@@ -152,6 +152,28 @@ def test_evidence_levels(spark):
     assert levels == [("a", "llm_invalid_evidence", "none"), ("a", "strict_support", "exact"), ("b", "missing_abstract", "none"), ("c", "strict_support", "fuzzy")]
 
 
+def test_fuzzy_span_verifies_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").count()
+    got = entry.queries()["fuzzy_span"](spark, d).select("paper_id").collect()
+    assert len(got) == docs == len({r.paper_id for r in got})
+
+
+def test_best_ratio_agrees_with_a_full_search():
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abc .") for _ in range(n))
+    for _ in range(300):
+        e, a = text(rng.randint(0, 20)), text(rng.randint(0, 120))
+        best, at = 0.0, ""
+        for s in re.split(r"(?<=[.!?])\s+", " ".join(a.split())):
+            r = difflib.SequenceMatcher(None, evidence.py_span_text(e), evidence.py_span_text(s)).ratio() if s.strip() else 0.0
+            best, at = (r, s) if r > best else (best, at)
+        assert evidence.best_ratio(e, a) == (best, at)
+
+
 def test_lithium_contract(spark):
     c = Contract("q", groups=(Group("core_topic", ("SEI",)), Group("lithium_context", ("lithium-ion battery",))))
     rows = [("a", "SEI growth in lithium-ion batteries", "The solid electrolyte interphase of a lithium-ion battery with a graphite anode.", "keyword"), ("b", "SEI in sodium-ion batteries", "SEI in a sodium-ion battery, unlike lithium-ion battery cells.", "keyword"), ("c", "Cooking", "Soup.", "keyword"), ("d", "Cooking", "", "seed_exact")]
