@@ -14,7 +14,10 @@ from quillscreen.llm.common import cut, documents
 
 
 def keep_recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is not recognised. The classifiers learn from the stage's own labelled rows."""
+    """Drops documents without a letter; every other text gets a learned language, and is kept if none could be learned.
+
+    The classifiers learn from the stage's own labelled rows. Text in a language that was never learned is kept.
+    """
     return language_id.keep_known(docs)
 
 

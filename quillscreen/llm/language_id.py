@@ -172,8 +172,15 @@ def predict(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFr
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with their own columns."""
+    """The rows of ``docs`` whose language is recognised, with their own columns.
+
+    Every text with a letter is said to be of a learned language, so the rows that go are those with a null text or without a
+    letter; text in a language that was never learned stays. So do all texts with a letter when nothing could be learned.
+    """
     model = fit(docs, id_col, text_col, lang_col)
+    if not model.langs:
+        has_letter = F.pandas_udf(lambda texts: pd.Series([bool(t and LETTER.search(t)) for t in texts]), "boolean")
+        return docs.filter(has_letter(F.col(text_col)))
     return predict(docs, model, text_col).filter(F.col("lang_pred") != UND).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

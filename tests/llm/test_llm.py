@@ -284,3 +284,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
     ids = {r.doc_id for r in out.collect()}
     assert 0 not in ids and 10 in ids
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {tuple(r) for r in out.collect()}
+
+
+def test_texts_stay_when_no_language_was_learned(spark):
+    d = spark.createDataFrame([(1, "plain words", None), (2, "12 34 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_known(d).collect()) == [1, 4]
