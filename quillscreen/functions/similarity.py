@@ -15,7 +15,7 @@ LONE_IDF = math.log(1.5) + 1
 
 
 def _count(array: Column, term: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == term))
+    return F.size(array) - F.size(F.array_remove(array, term))
 
 
 def count_cosine(query: str, token_array: Column) -> Column:
@@ -28,27 +28,28 @@ def count_cosine(query: str, token_array: Column) -> Column:
     return F.when(F.size(token_array) == 0, 0.0).otherwise(tx.clamp(dot / (norm * F.sqrt(_square_sum(token_array)))))
 
 
-def _runs(token_array: Column) -> Column:
-    """Number of tokens up to each position with the same token, over the sorted tokens; see _square_sum()."""
-    zero = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("lone"))
+def _square_sum(token_array: Column) -> Column:
+    """Sum of squared counts over the sorted tokens: the k-th equal token adds 2k - 1. One pass instead of one per distinct token."""
+    zero = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, x: Column) -> Column:
         n = F.when(acc["t"] == x, acc["n"] + 1).otherwise(F.lit(1.0))
-        return F.struct(x.alias("t"), n.alias("n"), (acc["total"] + 2 * n - 1).alias("total"), acc["lone"].alias("lone"))
+        return F.struct(x.alias("t"), n.alias("n"), (acc["total"] + 2 * n - 1).alias("total"))
 
-    return F.aggregate(F.array_sort(token_array), zero, step)
+    return F.aggregate(F.sort_array(token_array), zero, step, lambda acc: acc["total"])
 
 
-def _square_sum(token_array: Column) -> Column:
-    """Sum of squared counts: the k-th equal token adds 2k - 1. Sorting makes this one pass instead of one per distinct token."""
-    return _runs(token_array)["total"]
+def square_sum(words: Column) -> Column:
+    """What tfidf_cosine() needs of a text beside the counts of the query's terms; store it where several queries meet one text."""
+    return _square_sum(words)
 
 
-def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = ()) -> Column:
+def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), squares: Column | None = None) -> Column:
     """TF-IDF cosine fitted on just the query and the text, in closed form.
 
     With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored array of the text's
-    lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter.
+    lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter. ``squares`` is
+    their stored square_sum().
     """
     q = Counter(w for w in _py_words(query) if w not in stop_words)
     if not q:
@@ -58,14 +59,14 @@ def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = ()) ->
     dot = sum((q[t] * count[t] for t in terms), F.lit(0.0))
     in_query = sum((F.when(count[t] > 0, float(q[t] ** 2)).otherwise(q[t] ** 2 * LONE_IDF**2) for t in terms), F.lit(0.0))
     shared_sq = sum((count[t] * count[t] for t in terms), F.lit(0.0))
-    in_text = shared_sq + LONE_IDF**2 * (_square_sum(words) - shared_sq)
+    in_text = shared_sq + LONE_IDF**2 * ((_square_sum(words) if squares is None else squares) - shared_sq)
     return F.when(F.size(words) == 0, 0.0).otherwise(tx.clamp(dot / (F.sqrt(in_query) * F.sqrt(in_text))))
 
 
 def words(c: str | Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped."""
-    found = F.regexp_extract_all(F.lower(tx.text(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return F.filter(found, lambda x: ~x.isin(*stop_words)) if stop_words else found
+    skip = "(?!(?:" + "|".join(map(tx.java_quote, stop_words)) + r")\b)" if stop_words else ""
+    return F.regexp_extract_all(F.lower(tx.text(c)), F.lit(rf"(?U)\b{skip}\w\w+\b"), F.lit(0))
 
 
 def _py_words(value: str) -> list[str]:

@@ -23,23 +23,23 @@ def parse(aspect: str) -> tuple[str, list[str]]:
     return " ".join(label.split()), [t for t in (" ".join(x.split()) for x in re.split(r"[;,|]", rest)) if t]
 
 
-def coverage(papers: DataFrame, aspects: tuple[str, ...], stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
-    """``paper_id, title, covered_aspects, missing_aspects, aspect_coverage_score`` in one projection.
+def coverage(papers: DataFrame, aspects: tuple[str, ...], stop_words: tuple[str, ...] = tx.STOPWORDS, keep: bool = False) -> DataFrame:
+    """``paper_id, title, covered_aspects, missing_aspects, aspect_coverage_score`` in one projection; ``keep`` adds them to the paper's own columns.
 
     An aspect is covered if one of its terms occurs as a phrase or with all its tokens, or resembles the text by 0.18 or more.
     Columns ``claim`` and ``evidence_sentence`` are used where they exist.
     """
     wanted = [a for a in aspects if a]
     d = papers.withColumn("__x", joined_text(papers, ("title", "abstract", "tldr", "fields_of_study", "claim", "evidence_sentence")))
-    d = d.withColumns({"__low": F.lower("__x"), "__tok": tx.tokens("__x"), "__words": sim.words("__x", stop_words)})
+    d = d.withColumns({"__low": F.lower("__x"), "__tok": tx.tokens("__x"), "__words": sim.words("__x", stop_words)}).withColumn("__sq", sim.square_sum(F.col("__words")))
     flags = {}
     for i, a in enumerate(wanted):
         label, terms = parse(a)
         hit = F.lit(False)
         for t in terms or [label]:
-            hit = hit | tx.has_term(F.col("__low"), F.col("__tok"), t) | (sim.tfidf_cosine(t, F.col("__words"), stop_words) >= SIMILAR)
+            hit = hit | tx.has_term(F.col("__low"), F.col("__tok"), t) | (sim.tfidf_cosine(t, F.col("__words"), stop_words, F.col("__sq")) >= SIMILAR)
         flags[f"__a{i}"] = hit
     d = d.withColumns(flags) if flags else d
     pick = lambda want: F.filter(F.array(*[F.when(F.col(f"__a{i}") == want, F.lit(parse(a)[0])) for i, a in enumerate(wanted)]), lambda v: v.isNotNull()) if wanted else F.array().cast("array<string>")
-    d = d.select("paper_id", "title", pick(True).alias("covered_aspects"), pick(False).alias("missing_aspects"))
+    d = d.select(*(papers.columns if keep else ("paper_id", "title")), pick(True).alias("covered_aspects"), pick(False).alias("missing_aspects"))
     return d.withColumn("aspect_coverage_score", F.size("covered_aspects") / F.lit(float(len(wanted))) if wanted else F.lit(0.0))

@@ -28,14 +28,15 @@ def reason_of_aspect(aspect: Column) -> Column:
     )
 
 
-def decide(items: DataFrame) -> DataFrame:
-    """One decision per ranked paper.
+def decide(items: DataFrame, keep: bool = False) -> DataFrame:
+    """One decision per ranked paper; ``keep`` adds it to the paper's own columns, whose assessment stays as it is.
 
     ``items`` has paper_id, rank, final, evidence, multiplier, abstract, support_level, the assessment's columns, and the aspect
-    columns missing_aspects, aspect_coverage_score; ``is_duplicate`` is optional.
+    columns missing_aspects, aspect_coverage_score; ``is_duplicate`` is optional, and ``no_abstract`` stands for the abstract where it exists.
     """
     none = F.array().cast("array<string>")
     dup = F.coalesce("is_duplicate", F.lit(False)) if "is_duplicate" in items.columns else F.lit(False)
+    blank = F.col("no_abstract") if "no_abstract" in items.columns else tx.text("abstract") == ""
     d = items.withColumns({"__dup": dup, "__seed": is_user_seed(items), "__limited": priority_limited(items)})
     score, level, scope = F.col("final"), F.col("support_level"), F.col("domain_decision")
     code = lambda v: F.regexp_replace(F.lower(F.trim(v)), r"\s+", "_")
@@ -44,7 +45,7 @@ def decide(items: DataFrame) -> DataFrame:
         one(F.col("__dup"), "duplicate"), one(scope == "out_of_scope", "off_topic_domain"), F.transform("forbidden_concepts_found", reason_of_forbidden),
         one(F.size("missing_required_concepts") > 0, "missing_required_concept"), one(F.col("missing_required_group_count") > 0, "missing_required_group"),
         one(F.col("__limited"), "missing_context_or_non_target_context"), one(F.col("peripheral_context_reason") != "", F.col("peripheral_context_reason")),
-        one(tx.text("abstract") == "", "missing_abstract"), one(level.isin(*WEAK), "weak_evidence_grounding"), F.transform("missing_aspects", reason_of_aspect), one(score < 0.2, "low_metadata_quality"),
+        one(blank, "missing_abstract"), one(level.isin(*WEAK), "weak_evidence_grounding"), F.transform("missing_aspects", reason_of_aspect), one(score < 0.2, "low_metadata_quality"),
     )
     d = d.withColumn("__reasons", F.array_distinct(F.filter(F.transform(reasons, code), lambda r: r != "")))
     maybe = lambda when: F.when(when, "maybe").otherwise("exclude")
@@ -80,12 +81,14 @@ def decide(items: DataFrame) -> DataFrame:
         F.when(F.col("decision") == "exclude", "exclude").when((F.col("missing_required_group_count") > 0) | F.col("__limited"), "optional")
         .when((F.col("decision") == "include") & top, "must_read").when(F.col("decision") == "include", "read_later").when(scope == "borderline", "optional").otherwise("read_later")
     )
-    action = F.when(F.col("decision").isin("include", "exclude"), F.col("decision")).when((tx.text("abstract") == "") | level.isin("missing_abstract", "unverified", "weak_support"), "inspect_full_text").otherwise("uncertain")
+    action = F.when(F.col("decision").isin("include", "exclude"), F.col("decision")).when(blank | level.isin("missing_abstract", "unverified", "weak_support"), "inspect_full_text").otherwise("uncertain")
     exact = F.array_contains(F.transform(F.split(tx.text("source_stage"), ";"), F.trim), "seed_exact") if "source_stage" in items.columns else F.lit(False)
     own = {
         "decision": (F.col("decision"), F.lit("include")), "decision_confidence": (tx.clamp(sure), F.lit(0.98)), "primary_reason": (F.col("primary_reason"), F.when(exact, "seed_exact_match").otherwise("user_seed")),
         "exclusion_reasons": (reasons, none), "domain_match_score": (match, F.lit(1.0)), "domain_decision": (scope, F.lit("in_scope")), "reading_priority": (priority, F.lit("must_read")), "suggested_action": (action, F.lit("include")),
     }
+    if keep:
+        return d.select(*items.columns, *[F.when(F.col("__seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items() if k not in items.columns])
     return d.select("question_id", "paper_id", *[F.when(F.col("__seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items()])
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
+from quillscreen.operators.store import checkpointed
 
 #: The stages that mark a seed, in the order in which one outweighs all others.
 SEED_STAGES = ("manual_seed", "seed_exact", "seed_reference", "seed_citation", "seed_recommendation")
@@ -84,10 +85,7 @@ def components(rows: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def with_components(papers: DataFrame) -> DataFrame:
     """The rows of ``encoded`` with ``cid`` and whether the fold is needed: in a component of one title, or of one DOI, all join the first record."""
-    spark = papers.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    rows = encoded(papers).checkpoint()
+    rows = checkpointed(encoded(papers))
     rows = rows.join(components(rows), "input_ord", "left").withColumn("cid", F.coalesce("cid", "input_ord"))
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) >= 0)
     mixed = rows.groupBy("cid").agg(F.count("*").alias("n"), (one("did") | one("tid")).alias("one")).filter("n > 1 AND NOT one").select("cid", F.lit(True).alias("fold"))

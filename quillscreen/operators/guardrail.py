@@ -52,15 +52,15 @@ def _share(flags: list[Column], empty: Column | float) -> Column:
 
 
 def _strict_marker(where: Column, marker: str) -> Column:
-    return _any([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4], lambda v: where.contains(v) & ~tx.all_negated(where, v))
+    return _any([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4], lambda v: tx.stands(where, v))
 
 
-def _chemistry_marker(where: Column, folded: Column, marker: str) -> Column:
+def _chemistry_marker(where: Column, token_array: Column, marker: str) -> Column:
     """Element symbols need boundaries, element names are concepts, other markers need one of their spellings."""
     cleaned = tx.py_domain_text(marker)
     if cleaned in ct.SYMBOLS:
         return where.rlike(f"(?<![a-z0-9]){cleaned}(?![a-z0-9])")
-    return tx.has_concept(where, folded, cleaned) if cleaned in ct.ELEMENTS else _strict_marker(where, cleaned)
+    return tx.has_concept(where, token_array, cleaned) if cleaned in ct.ELEMENTS else _strict_marker(where, cleaned)
 
 
 def _broad_overview(title: Column) -> Column:
@@ -70,13 +70,14 @@ def _broad_overview(title: Column) -> Column:
     return compact.isin("lithium-ion batteries", "lithium ion batteries", "lithium batteries") | compact.startswith("beyond lithium-ion") | compact.startswith("beyond lithium ion") | (names & ~own & (F.size(tx.tokens(compact)) <= 6))
 
 
-def assess(papers: DataFrame, contract: Contract) -> DataFrame:
-    """The assessment of every paper, with all scores at four decimals."""
+def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFrame:
+    """The assessment of every paper, with all scores at four decimals; ``keep`` adds it to the paper's own columns."""
     base = papers.select(
+        *([F.struct(*[F.col(c) for c in papers.columns]).alias("__row")] if keep else []),
         "paper_id", is_user_seed(papers).alias("is_seed"), tx.domain_text(joined_text(papers, TEXT_FIELDS)).alias("x"), tx.domain_text(joined_text(papers, ("title",))).alias("xt"),
         tx.domain_text(joined_text(papers, ("abstract", "tldr"))).alias("xa"),
     )
-    base = base.select("*", *[tx.folded_tokens(tx.tokens(c)).alias(f"{c}_tok") for c in ("x", "xt", "xa")])
+    base = base.select("*", *[tx.tokens(c).alias(f"{c}_tok") for c in ("x", "xt", "xa")])
     has = lambda term, c="x": tx.has_concept(F.col(c), F.col(f"{c}_tok"), term)
     must, optional = contract.required_groups(), contract.optional_groups()
     flags = {f"req_{i}": _any(terms, has) for i, (_, terms) in enumerate(must)} | {f"opt_{i}": _any(terms, has) for i, (_, terms) in enumerate(optional)}
@@ -163,7 +164,7 @@ def assess(papers: DataFrame, contract: Contract) -> DataFrame:
         "negative_context_match": (F.col("beside"), nothing), "topic_focus_score": (four("focus"), F.lit(1.0)), "aspect_match_score": (four("aspects"), F.lit(1.0)), "target_context_score": (four("context"), F.lit(1.0)),
         "negative_context_penalty": (four("penalty"), F.lit(0.0)), "peripheral_context_reason": (F.col("peripheral"), F.lit("")),
     }
-    return d.select("paper_id", *[F.when(F.col("is_seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items()])
+    return d.select("__row.*" if keep else "paper_id", *[F.when(F.col("is_seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items()])
 
 
 def neutral(papers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscreen.operators.store import checkpointed
+
 LOW_CONFIDENCE = ("missing_abstract", "missing_evidence", "unverified", "llm_invalid_evidence")
 
 
@@ -21,7 +23,9 @@ def ir_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """
     labels = gold.select("paper_id", F.lower(F.trim("label")).alias("gold")).filter("gold <> ''")
     n_gold = labels.agg(F.count("*").alias("n_gold"), F.count_if(F.col("gold") == "include").alias("n_rel"))
-    judged = ranked.select("question_id", "paper_id", "rank").join(labels, "paper_id")
+    # Three branches read the ranking, so its keys are evaluated once.
+    ranked = checkpointed(ranked.select("question_id", "paper_id", "rank"))
+    judged = ranked.join(labels, "paper_id")
     rel = judged.filter(F.col("gold") == "include").withColumn("hits", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
     top = F.col("rank") <= k
     by_rel = rel.groupBy("question_id").agg(F.sum(F.when(top, F.lit(1.0) / F.log2(F.col("rank") + 1))).alias("dcg"), F.count_if(top).alias("hits_k"), F.sum(F.col("hits") / F.col("rank")).alias("ap"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillscreen.functions import scoring as sc
 from quillscreen.functions import text as tx
 from quillscreen.operators.guardrail import is_user_seed
+from quillscreen.operators.store import checkpointed
 
 EXACT_FLOOR, MANUAL_FLOOR = 0.995, 0.985
 #: Additions by role, for questions without a domain of their own.
@@ -40,7 +41,8 @@ def rank_in_blocks(d: DataFrame, score: str, tie: str, to: str = "rank") -> Data
     and the sizes of the earlier ranges of the question, one row per range, added to it."""
     spark = d.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = d.repartitionByRange(n, F.col("question_id"), F.col(score).desc(), F.col(tie)).withColumn("__p", F.spark_partition_id())
+    # A checkpoint, as the bounds of a range shuffle are sampled and two evaluations need not agree.
+    dealt = checkpointed(d.repartitionByRange(n, F.col("question_id"), F.col(score).desc(), F.col(tie)).withColumn("__p", F.spark_partition_id()))
     sizes = dealt.groupBy("question_id", "__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("question_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     inner = F.row_number().over(Window.partitionBy("question_id", "__p").orderBy(F.col(score).desc(), F.col(tie)))
@@ -133,12 +135,18 @@ def false_positive_penalty(d: DataFrame, domain: str = "") -> Column:
     return out.when(F.col("domain_decision") == "out_of_scope", 0.05).when(F.col("domain_decision") == "borderline", 0.015).otherwise(0.0)
 
 
-def adjust(ranked: DataFrame, roles: DataFrame, seed_titles: tuple[str, ...] = (), domain: str = "") -> DataFrame:
-    """Adds the role, lane, seed and false-positive adjustments, clamps, and ranks again, ties by the rank before."""
-    d = ranked.join(roles.select("paper_id", "roles", "primary_role", (F.col("overbroad_role_warning") != "").alias("__broad")), "paper_id", "left")
+def adjust(ranked: DataFrame, roles: DataFrame | None = None, seed_titles: tuple[str, ...] = (), domain: str = "") -> DataFrame:
+    """Adds the role, lane, seed and false-positive adjustments, clamps, and ranks again, ties by the rank before.
+
+    Without ``roles`` the papers carry their own ``roles, primary_role, overbroad_role_warning``.
+    """
+    broad = F.coalesce(F.col("overbroad_role_warning") != "", F.lit(False))
+    if roles is not None:
+        ranked = ranked.join(roles.select("paper_id", "roles", "primary_role", "overbroad_role_warning"), "paper_id", "left")
+    d = ranked.withColumn("__broad", broad).drop("overbroad_role_warning")
     d = d.withColumn("lane", lane(d))
     d = d.withColumns({
-        "role_adjustment": role_adjustment(F.col("roles"), F.col("primary_role"), F.coalesce("__broad", F.lit(False)), domain), "lane_adjustment": lane_adjustment(F.col("lane"), domain),
+        "role_adjustment": role_adjustment(F.col("roles"), F.col("primary_role"), F.col("__broad"), domain), "lane_adjustment": lane_adjustment(F.col("lane"), domain),
         "seed_boost": title_boost(d, seed_titles), "false_positive_penalty": false_positive_penalty(d, domain), "rank_before": F.col("rank"),
     })
     d = d.withColumn("final", tx.clamp(F.col("final") + F.col("role_adjustment") + F.col("lane_adjustment") + F.col("seed_boost") - F.col("false_positive_penalty")))

@@ -1,6 +1,7 @@
 """The screening plan: from papers and a contract to ranked, explained decisions, as one lazy DataFrame.
 
-All per-paper steps are one projection after another over the papers; the shuffles are the ranks' windows and nothing else.
+Every per-paper step adds columns to the same row, so a paper is read and assessed once; the shuffles are the ranks' windows. Only the shares
+of the roles are counted over all papers first, from a narrow pass of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def with_evidence(papers: DataFrame, question: str) -> DataFrame:
     level = F.when(tx.text("abstract") == "", "missing_abstract").when(F.size("__s") == 0, "missing_evidence").otherwise("strict_support")
     return d.withColumns({
         "evidence_sentence": F.coalesce("__b.s", F.lit("")), "claim": F.coalesce("__b.s", F.lit("")), "keyword_overlap": F.coalesce("__b.ov", F.lit(0.0)), "sentence_no": -F.col("__b.neg"), "support_level": level,
-        "supported": level == "strict_support", "confidence": (level == "strict_support").cast("double"),
+        "supported": level == "strict_support", "no_abstract": tx.text("abstract") == "", "confidence": (level == "strict_support").cast("double"),
     }).drop("__s", "__b")
 
 
@@ -55,23 +56,20 @@ def screen(papers: DataFrame, contract: Contract, now_year: int, profile: str =
     """Ranked papers with all assessments; switches turn the guardrail or the aspects off for ablations."""
     d = with_evidence(papers, contract.question)
     if use_aspects:
-        d = d.join(aspects.coverage(d, contract.aspects).drop("title"), "paper_id")
+        d = aspects.coverage(d, contract.aspects, keep=True)
     else:
         d = d.withColumns({"covered_aspects": F.array().cast("array<string>"), "missing_aspects": F.array().cast("array<string>"), "aspect_coverage_score": F.lit(0.0)})
     if use_guardrail:
-        g = guardrail.assess(papers, contract)
-        d = d.join(g, "paper_id").withColumns({"centrality": F.col("intent_centrality_score"), "multiplier": sc.domain_multiplier(F.col("domain_decision"))})
+        d = guardrail.assess(d, contract, keep=True).withColumns({"centrality": F.col("intent_centrality_score"), "multiplier": sc.domain_multiplier(F.col("domain_decision"))})
     d = components(relevance(d, contract), now_year)
     return ranking.rank(d, contract.weights or sc.weights(profile))
 
 
 def screen_and_decide(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> DataFrame:
     """screen(), the research adjustments, and the decisions, in one row per paper."""
-    ranked = screen(papers, contract, now_year, profile)
-    r = roles.mark_overbroad(roles.classify(papers, role_rules))
-    items = ranking.adjust(ranked, r, contract.seed_titles, contract.domain)
-    told = decisions.decide(items).drop("domain_match_score", "domain_decision")
-    return items.join(told, ["question_id", "paper_id"])
+    d = roles.classify(papers, role_rules, into="__role").withColumns({c: F.col(f"__role.{c}") for c in ("roles", "primary_role")}).drop("__role")
+    ranked = screen(roles.mark_overbroad(d).drop("overbroad_roles"), contract, now_year, profile)
+    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True)
 
 
 def flagship(papers: DataFrame, question: str, now_year: int, k: int = 20) -> DataFrame:
