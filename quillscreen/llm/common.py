@@ -27,10 +27,13 @@ def words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is set; only where it is unset, as in tests,
-    a folder under the warehouse takes its place.
+    The folder named by ``spark.checkpoint.dir`` is used as it is set. Where it is unset, as in tests, a folder under the warehouse
+    takes its place on a local master; on a cluster that folder could be one machine's own, so it is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{base.rstrip('/')}/quillscreen-{uuid.uuid4().hex}"
 
 
@@ -51,20 +54,46 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_KEY, rows)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and that nothing lazy reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows up to which a side may be broadcast; a row of hashes and ids takes under 100 bytes.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast up to so many rows and so many bytes, by the default sizes of its column types.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
+
+
+def fits(table: DataFrame) -> bool:
+    """Whether ``table``, which must be cheap to count, may be broadcast."""
+    rows = min(BROADCAST_ROWS, BROADCAST_BYTES // table._jdf.schema().defaultSize())
+    return table.limit(rows + 1).count() <= rows
 
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles. The table must be cheap to count."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if it is within both bounds; beyond them the join shuffles."""
+    return F.broadcast(table) if fits(table) else table
+
+
+def join_aggregate(rows: DataFrame, totals: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``totals``, which holds one row per key of ``on``, so that AQE can split a hot key of ``rows``.
+
+    An aggregate arrives partitioned on its key and would be joined in the stage that made it, which AQE never splits. A second key, derived from
+    the first, asks for a shuffle of its own of the few aggregated rows.
+    """
+    salted = [t.withColumn("__again", F.hash(*on)) for t in (rows, totals)]
+    return salted[0].join(salted[1], [*on, "__again"], how).drop("__again")
 
 
 def shingle_hashes(words: str, size: int) -> Column:

@@ -9,7 +9,9 @@ in a list if and only if their tally is four or more. The tally and then the Ham
 Only connectivity is needed, so a list with many members is never expanded into its pairs. Every member is first compared
 with the smallest one of its list; after the components of those links are known, only members outside the component of
 that smallest one are compared with the rest of the list. A pair that is skipped is connected already, so no link between
-components is lost.
+components is lost. A list of more than ``LIST`` members is searched by the same counting once more for that: two members that differ in at most
+four bits share at least four of the eight half-bytes outside the list's bytes, so the list is split under its 70 sets of four half-bytes,
+and a sublist holds at most 2^16 fingerprints however many the list has.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any other; fewer than four words are one shingle;
 repeated rows and equal ids each get a row; a null id never becomes a component id unless no member has an id; an empty table
@@ -28,12 +30,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import cut, documents, small
+from quillscreen.llm.common import cut, discard, documents, join_aggregate, small
 from quillscreen.llm.graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS, SEED, BYTES = 4, 42, 8
+#: Members of a list beyond which the comparison with the rest of the list goes by sublists.
+LIST = 64
 #: Hashes whose bits are unpacked at once.
 CHUNK = 1 << 15
 
@@ -80,6 +84,24 @@ def postings(fps: DataFrame, least: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def sublists(table: DataFrame, least: int) -> DataFrame:
+    """``table`` with a column ``sub``: 0 in lists of up to LIST members, else one row per set of half-bytes outside the list's bytes.
+
+    A list of ``least`` equal bytes leaves 8 - least of them, that is twice as many half-bytes; as ``8 - least`` bits at most may differ,
+    as many half-bytes at least agree.
+    """
+    rest = BYTES - least
+    outside = F.lit([[i for i in range(BYTES) if i not in at] for at in itertools.combinations(range(BYTES), least)])
+    picks = F.lit([list(p) for p in itertools.combinations(range(2 * rest), rest)])
+    number = F.shiftright("key", 8 * least).cast("int")
+    sets = F.when(F.col("n") > LIST, F.sequence(F.lit(1), F.size(picks))).otherwise(F.array(F.lit(0)))
+    # One row per set before its key is made, so that the key is one small expression and not seventy.
+    rows = table.withColumn("__set", F.explode(sets))
+    half = lambda i: F.call_function("shiftrightunsigned", F.col("fp"), F.get(F.get(outside, number), F.floor(i / 2).cast("int")) * 8 + F.pmod(i, F.lit(2)) * 4).bitwiseAND(F.lit(15))
+    key = F.aggregate(F.get(picks, F.col("__set") - 1), F.col("__set").cast("long"), lambda acc, i: F.shiftleft(acc, 4).bitwiseOR(half(i)))
+    return rows.withColumn("sub", F.when(F.col("__set") > 0, key).otherwise(F.lit(0).cast("long"))).drop("__set")
+
+
 def near(a: Column, b: Column, max_bits: int, least: int) -> Column:
     """The tally of shared positional bytes reaches ``least`` and at most ``max_bits`` bits differ."""
     shared = sum((F.when(_byte(a, i) == _byte(b, i), 1).otherwise(0) for i in range(BYTES)), F.lit(0))
@@ -92,16 +114,22 @@ def link_classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     # A fingerprint becomes 70 rows, so the few bytes of the input are dealt over all cores first.
     fps = cut(fps.select("fp").distinct())
     dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lists = postings(dealt, least).groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last")
-    lists = cut(lists.select(F.col("key").alias("list"), "first"))
-    member = cut(postings(dealt, least).join(small(lists), F.col("key") == F.col("list")).select("key", "first", "fp"))
+    lists = postings(dealt, least).groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    lists = cut(lists.select(F.col("key").alias("list"), "first", "n"))
+    member = cut(postings(dealt, least).join(small(lists), F.col("key") == F.col("list")).select("key", "first", "n", "fp"))
+    discard(lists)
     links = member.filter("fp <> first").filter(near(F.col("first"), F.col("fp"), max_bits, least)).select(F.col("first").alias("a"), F.col("fp").alias("b"))
     label = cut(components(links))
     of = lambda name, to: label.select(F.col("node").alias(name), F.col("label").alias(to))
     told = member.join(of("n1", "own"), F.col("fp") == F.col("n1"), "left").join(of("n2", "head"), F.col("first") == F.col("n2"), "left")
-    told = cut(told.select("key", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("head", "first").alias("head")))
-    out = told.filter("own <> head").select(F.col("key").alias("k"), F.col("fp").alias("x"), F.col("own").alias("x_own"))
-    late = out.join(told, (F.col("k") == F.col("key")) & (F.col("own") != F.col("x_own")) & near(F.col("x"), F.col("fp"), max_bits, least))
+    told = cut(told.select("key", "n", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("head", "first").alias("head")))
+    discard(member)
+    # Only lists with a member outside the head's component have anything left to compare.
+    open_ = cut(told.filter("own <> head").select("key").distinct())
+    told = sublists(told.join(small(open_), "key", "left_semi"), least)
+    out = told.filter("own <> head").select(F.col("key").alias("k"), F.col("sub").alias("s"), F.col("fp").alias("x"), F.col("own").alias("x_own"))
+    met = (F.col("k") == F.col("key")) & (F.col("s") == F.col("sub"))
+    late = out.join(told, met & (F.col("own") != F.col("x_own")) & near(F.col("x"), F.col("fp"), max_bits, least))
     late = late.select(F.col("x_own").alias("a"), F.col("own").alias("b")).distinct()
     return components(label.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(late)).select(F.col("node").alias("fp"), "label")
 
@@ -117,10 +145,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(fingerprints(docs, id_col, text_col))
     cls = classes(fps, max_bits)
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = first.join(cls, F.col("fp") == F.col("print")).groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "of")
-    cls = cls.join(comp, F.col("label") == F.col("of")).select("print", "component_id")
+    comp = first.join(cls, F.col("fp") == F.col("print")).groupBy("label").agg(F.min("least").alias("component_id"))
+    cls = join_aggregate(cls, comp, ["label"]).select(F.col("print").alias("fp"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(cls, F.col("fp") == F.col("print")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_aggregate(fps, cls, ["fp"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
