@@ -2,8 +2,9 @@
 
 Prefix polynomial hashes give the hash of any substring in two look-ups; binary search on them finds the common extension of
 two suffixes in a logarithmic number of comparisons, and a bottom-up mergesort orders the suffixes of each group with that
-comparison. All groups are sorted at once, one vector operation per step. Every equality that decides something is verified
-on the bytes themselves; should a hash have lied, the group is sorted on its bytes instead.
+comparison. All groups are sorted at once, one vector operation per step. Hashes only steer: every pair of neighbours in a sorted order is
+compared on the bytes themselves, which proves both the order and each equality; should a hash have lied, that order is made again on
+the bytes.
 
 The contexts of a group share an anchor at known offsets. A context stands for the window starts anchor - d, lo <= d <= hi,
 and what is asked is for which d the window of ``length`` bytes also starts at another context of the group. The range of d is
@@ -120,24 +121,31 @@ class Suffixes:
         if not len(use):
             return out
         p, e, g, n = pos[use], end[use], group[use], length[use]
-        order = self.sort(p, p + n, g, int(n.max()))
-        x, y = order[:-1], order[1:]
-        near = g[x] == g[y]
-        same = np.zeros(len(x), bool)
-        at = np.flatnonzero(near)
-        same[at] = self.lcp(p[x[at]], p[y[at]], n[x[at]]) >= n[x[at]]
         raw = self.raw
-        lied = [i for i in np.flatnonzero(same) if raw[p[x[i]] : p[x[i]] + n[x[i]]] != raw[p[y[i]] : p[y[i]] + n[y[i]]]]
-        ids = np.concatenate([[0], np.cumsum(~same)])
-        out[use[order]] = ids
-        if lied:
-            seen: dict[tuple, int] = {}
-            for i, k in enumerate(use):
-                out[k] = seen.setdefault((int(g[i]), raw[p[i] : p[i] + n[i]]), len(seen))
-        del e
+        bodies = [raw[i : i + k] for i, k in zip(p.tolist(), n.tolist(), strict=True)]
+        order = self.sort(p, p + n, g, int(n.max()))
+        same = _proved(bodies, g, order)
+        if same is None:
+            order = np.array(sorted(range(len(p)), key=lambda i: (g[i], bodies[i])))
+            same = _proved(bodies, g, order)
+        out[use[order]] = np.concatenate([[0], np.cumsum(~same)])
         return out
 
 
+def _proved(bodies: list[bytes], group: np.ndarray, order: np.ndarray) -> np.ndarray | None:
+    """Which neighbours of ``order`` are of one group and equal; None if the order is not that of the bytes."""
+    same = np.zeros(max(0, len(order) - 1), bool)
+    g, at = group[order].tolist(), order.tolist()
+    for i in range(len(same)):
+        if g[i] == g[i + 1]:
+            x, y = bodies[at[i]], bodies[at[i + 1]]
+            if x == y:
+                same[i] = True
+            elif x > y:
+                return None
+    return same
+
+
 def repeated_starts(group: np.ndarray, bodies: list[bytes], low: np.ndarray, high: np.ndarray, settled: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For each context the ranges of d whose window starts in another context of its group too.
 
