@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import cut, documents
+from quillscreen.llm.common import cut, documents, join_aggregate
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -104,8 +104,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = each.select(F.col("x.value").alias("value"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
     per_owner = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
     own = per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
-    own = own.select(F.col("value").alias("v"), ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
-    told = each.drop("repo").distinct().join(own, F.col("x.value") == F.col("v"))
+    own = own.select("value", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    told = join_aggregate(each.drop("repo").distinct().withColumn("value", F.col("x.value")), own, ["value"])
     span = F.struct(F.col("x.start").alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind")).alias("k"), F.concat_ws(":", "x.kind", "x.start", "x.end").alias("s"))
     shown = (F.col("x.kind") != "token") | F.col("live")
     per_doc = told.groupBy("doc_id", "owner", "text_hash").agg(
