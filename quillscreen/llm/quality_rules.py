@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import BLANKS, cut, documents, text_of, words_of
+from quillscreen.llm.common import BLANKS, cut, documents, join_aggregate, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -63,13 +63,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The base figures with ``base_failed``, ``n_removed_words`` (words on lines above the limit) and ``kept``."""
     rows = cut(base_rules(docs, id_col, text_col, host_col))
     counted = F.filter("lines", lambda x: x["n"] >= min_line_words)
-    per_doc = rows.select("host", F.explode(F.array_distinct(F.transform(counted, lambda x: x["h"]))).alias("h"))
-    frequent = per_doc.groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
-    frequent = frequent.select(F.col("host").alias("in_host"), F.col("h").alias("line"))
-    lines = rows.select("doc_id", "host", "text_hash", F.explode(counted).alias("x")).select("doc_id", "host", "text_hash", "x.h", "x.n")
+    # A null host is an empty one here, told apart by a flag, so that plain equality joins.
+    host = [F.coalesce("host", F.lit("")).alias("in_host"), F.col("host").isNull().alias("no_host")]
+    at = ["h", "in_host", "no_host"]
+    per_doc = rows.select(*host, F.explode(F.array_distinct(F.transform(counted, lambda x: x["h"]))).alias("h"))
+    frequent = per_doc.groupBy(*at).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
+    lines = rows.select("doc_id", "host", "text_hash", *host, F.explode(counted).alias("x")).select("doc_id", "host", "text_hash", "in_host", "no_host", "x.h", "x.n")
     key = ["doc_id", "host", "text_hash"]
     # Rows that agree in the whole key would add up, so the sum is divided by their number below.
-    removed = lines.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("in_host"))).groupBy(*key).agg(F.sum("n").alias("sum_words"))
+    removed = join_aggregate(lines, frequent, at).groupBy(*key).agg(F.sum("n").alias("sum_words"))
     copies = rows.groupBy(*key).agg(F.count("*").alias("n_rows"))
     removed = removed.select(*[F.col(k).alias(f"r_{k}") for k in key], "sum_words")
     same = lambda prefix: F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id")) & F.col("host").eqNullSafe(F.col(f"{prefix}host")) & (F.col("text_hash") == F.col(f"{prefix}text_hash"))
