@@ -3,7 +3,7 @@
 Features are hashed byte n-grams (one to three bytes) of the lower-cased whole text, as square roots of counts scaled to
 length one. Families are told apart by one linear SVM each against the rest; the languages of a family by one linear SVM per pair, with
 votes and then margins deciding. Both are trained on the driver with dual coordinate descent from a bounded sample of the learnable
-rows, at most ``TRAIN_ROWS`` in all, spread evenly over the languages by a hash of id and text. The sample bounds the training
+rows, about ``TRAIN_ROWS`` in all, spread evenly over the languages (the ``TRAIN_ROWS`` most frequent ones, if there are more) by a hash of id and text. The sample bounds the training
 only: every document is predicted from its whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a language are never learned from; a
@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import documents
+from quillscreen.llm.common import cut, documents
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -130,13 +130,11 @@ class Hierarchy:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS) -> Hierarchy:
     """Train on at most about ``max_rows`` rows that are not held out and have a language and a letter."""
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    each = max_rows // max(1, len(n))
-    spread = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, each / count) * 1_000_000)).otherwise(share)
-    sample = usable.filter(spread < share).select("lang", "i", "t")
+    # A table of max_rows languages at most: each needs a row of the sample, so no more could be learned.
+    counts = cut(usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows))
+    each = max(1, max_rows // max(1, counts.count()))
+    spread = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_000)) / 1_000_000
+    sample = usable.join(F.broadcast(counts), "lang").filter(spread < F.lit(each) / F.col("n")).select("lang", "i", "t")
 
     def features(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
