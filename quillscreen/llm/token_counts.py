@@ -3,6 +3,10 @@
 ``count_tokens`` joins (content digest, tokenizer digest) to a Parquet cache of stored counts, encodes only the distinct
 misses, appends them, and reads every count back from the cache.
 
+Only digests and row keys are shuffled: each missing content is given to one row, and encoded where that row's text lies. Which rows
+those are travels as the shorter of two lists, the rows to encode or the contents that most rows holding them must skip. Only if both are too
+long to broadcast are the texts shuffled to the rows' list, to the same end.
+
 Defined cases: a null text is the empty text (0 bytes, 0 tokens); repeated rows each get their row; an empty table gives no
 rows; extra columns are left out of the result; a null document id stays null. The content is normalised only by turning
 null into the empty string, as any other rewriting could change the count the tokenizer gives.
@@ -20,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.llm.common import documents, shared_dir, text_of
+from quillscreen.llm.common import cut, discard, documents, fits, join_aggregate, shared_dir, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -80,26 +84,39 @@ def counter(path: str, version: str) -> Callable[[list[str]], list[int]]:
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` of every row of ``docs``.
 
-    ``cache_path`` is a Parquet folder in a store that all executors share; it is created when missing. Only one content
-    per digest is encoded: equal texts meet in a map-side aggregate first, so a text with any number of copies reaches
-    the shuffle once per task.
+    ``cache_path`` is a Parquet folder in a store that all executors share; it is created when missing. Only one row per digest is
+    encoded; rows that agree in id and text count as one row there and are each encoded.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     count = counter(tokenizer_path, version)
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
+    rows = cut(docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content")))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key")
+    held = rows.groupBy("content").agg(F.min(key).alias("key"), F.count("*").alias("n"))
     cache = _cache(spark, cache_path).filter(F.col("tokenizer") == version)
-    contents = docs.select(F.sha2(text, 256).alias("content"), text.alias("t"))
+    held = cut(held.join(cache.select("content", F.lit(True).alias("known")).distinct(), "content", "left"))
+    misses = held.filter("known IS NULL").select("content", "key")
+    # Contents with one row that misses are encoded without being listed.
+    skip = held.filter("known OR n > 1").select("content", F.when(F.col("known").isNull(), F.col("key")).alias("keeper"))
+    contents = docs.select(key, F.sha2(text, 256).alias("content"), text.alias("t"))
+    if fits(misses):
+        chosen = contents.join(F.broadcast(misses), ["content", "key"], "left_semi")
+    elif fits(skip):
+        listed = F.broadcast(skip.withColumnRenamed("content", "listed"))
+        chosen = contents.join(listed, F.col("content") == F.col("listed"), "left").filter("listed IS NULL OR keeper = key").select("content", "t")
+    else:
+        chosen = contents.join(misses, ["content", "key"], "left_semi")
 
     def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
             yield pd.DataFrame({"content": part["content"], "tokenizer": version, "n_tokens": count(part["t"].tolist())})
 
-    misses = contents.dropDuplicates(["content"]).join(cache.select("content"), "content", "left_anti")
-    misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    found = chosen.select("content", "t").mapInPandas(encode, CACHE_SCHEMA)
+    found.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
+    discard(held)
     known = _cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(known, "content", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return join_aggregate(rows, known, ["content"], "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _cache(spark: SparkSession, path: str) -> DataFrame:
