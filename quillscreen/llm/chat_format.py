@@ -6,7 +6,7 @@ segment in the dialogue and the trained range [mask_start, mask_end) in dialogue
 the order of ``seg_start`` gives the dialogue. So a conversation of any length is never gathered into one row, and a
 conversation with a third of all rows is laid out block by block.
 
-Defined cases: speakers are trimmed; a null or blank speaker is ``unknown``; speakers named ``system`` are rendered as system text and get
+Defined cases: line breaks in a speaker's name become spaces, so that it cannot forge a header, and speakers are trimmed; a null or blank speaker is ``unknown``; speakers named ``system`` are rendered as system text and get
 no perspective of their own; a null text is empty; null turns come first; turns that tie are ordered by speaker and then
 text, and identical rows are rendered once each; rows without a conversation id form one conversation; a conversation
 with only system turns has no perspective and no rows; markers of the template inside texts and names are defused by
@@ -29,7 +29,7 @@ def defused(c: Column) -> Column:
 
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """``conv_id, perspective, turn, speaker, chat_role, rendered, seg_start, mask_start, mask_end``; masks are null for untrained turns."""
-    name = F.trim(F.coalesce(F.col(speaker_col), F.lit("")))
+    name = F.trim(F.translate(F.coalesce(F.col(speaker_col), F.lit("")), "\r\n", "  "))
     base = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.when(name == "", "unknown").otherwise(defused(name)).alias("speaker"),
         defused(F.coalesce(F.col(text_col), F.lit(""))).alias("body"),
@@ -66,7 +66,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH base AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn,
-         CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE replace(replace(trim(role), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') END AS speaker,
+         CASE WHEN trim(translate(coalesce(role, ''), chr(13) || chr(10), '  ')) = '' THEN 'unknown'
+              ELSE replace(replace(trim(translate(role, chr(13) || chr(10), '  ')), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') END AS speaker,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS body
   FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base WHERE speaker <> 'system'),
