@@ -235,6 +235,26 @@ def test_simhash_components(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(linked(pairs(docs))[1]))
 
 
+def test_long_posting_lists_are_split_without_losing_a_link(spark, monkeypatch):
+    rng = random.Random(9)
+    fps = [sum(1 << b for b in rng.sample(range(32), 6)) | 0x1234 << 40 for _ in range(150)]
+    monkeypatch.setattr(simhash, "LIST", 3)
+    got = simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    group = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4 and group[a] != group[b]:
+                old, new = sorted((group[a], group[b]), reverse=True)
+                group = {f: new if g == old else g for f, g in group.items()}
+    want = {}
+    for f, g in group.items():
+        want.setdefault(g, set()).add(f)
+    have = {}
+    for r in got:
+        have.setdefault(r.label, set()).add(r.print)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values())) and len(have) > 1
+
+
 def test_fingerprint_follows_its_definition():
     import xxhash
 
@@ -267,8 +287,33 @@ def test_repeated_strings(spark, docs, empty, monkeypatch):
     many = spark.createDataFrame([(n, prose(40) + " " + passage + " " + prose(40)) for n in range(60)], "doc_id long, text string")
     want = removed(pairs(many), 400)
     same(suffix_dedup.dedup_report(many).collect(), want)
+    # Groups beyond MAX_CONTEXTS are split over the cluster, and long texts are worked on in overlapping pieces, to the same end.
     monkeypatch.setattr(suffix_dedup, "MAX_CONTEXTS", 5)
     same(suffix_dedup.dedup_report(many).collect(), want)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    long = [(n, prose(200) + passage + prose(150) + (passage[:450] if n % 2 else "") + prose(120)) for n in range(8)]
+    pieces_ = spark.createDataFrame(long, "doc_id long, text string")
+    same(suffix_dedup.dedup_report(pieces_).collect(), removed(pairs(pieces_), 400))
+
+
+def test_a_lying_digest_ends_the_job(spark, monkeypatch):
+    d = spark.createDataFrame([(1, prose(100)), (2, prose(100))], "doc_id long, text string")
+    both = spark.createDataFrame([((b"1", 0, 0, 0), (b"2", 0, 0, 0))], "at struct<rid:binary,start:long,stop:long,anchor:long>, to struct<rid:binary,start:long,stop:long,anchor:long>")
+    texts = d.select(suffix_dedup.F.col("doc_id").cast("string").cast("binary").alias("rid"), suffix_dedup.F.col("text").alias("t"))
+    with pytest.raises(RuntimeError):
+        suffix_dedup._verify(texts, both)
+
+
+def test_suffix_order_survives_colliding_hashes(monkeypatch):
+    from quillscreen.llm import suffix_sort
+
+    monkeypatch.setattr(suffix_sort, "VALUES", np.ones(256, np.uint64))
+    rng = random.Random(2)
+    bodies = [bytes(rng.choice(b"ab") for _ in range(6)) + b"anchor" + bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(60)]
+    found = suffix_sort.repeated_starts(np.zeros(60, np.int64), bodies, np.zeros(60, np.int64), np.full(60, 6), np.zeros(60, bool), 14)
+    for i, (x, f) in enumerate(zip(bodies, found)):
+        got = {d for lo, hi in f for d in range(lo, hi + 1)}
+        assert got == {d for d in range(7) if any(k != i and y[6 - d : 20 - d] == x[6 - d : 20 - d] for k, y in enumerate(bodies))}
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
