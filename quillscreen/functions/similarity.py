@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
@@ -19,57 +20,59 @@ def _count(array: Column, term: str) -> Column:
 
 
 def count_cosine(query: str, token_array: Column) -> Column:
-    """Cosine of raw token counts; 0 if either side has no token. ``token_array`` must be a stored column."""
+    """Cosine of raw token counts; 0 if either side has no token. ``token_array`` must be a stored, sorted column."""
     q = Counter(tx.py_tokens(query))
     if not q:
         return F.lit(0.0)
     norm = math.sqrt(sum(v * v for v in q.values()))
     dot = sum((F.lit(float(n)) * _count(token_array, t) for t, n in sorted(q.items())), F.lit(0.0))
-    return F.when(F.size(token_array) == 0, 0.0).otherwise(tx.clamp(dot / (norm * F.sqrt(_square_sum(token_array)))))
-
-
-def _square_sum(token_array: Column) -> Column:
-    """Sum of squared counts over the sorted tokens: the k-th equal token adds 2k - 1. One pass instead of one per distinct token."""
-    zero = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc["t"] == x, acc["n"] + 1).otherwise(F.lit(1.0))
-        return F.struct(x.alias("t"), n.alias("n"), (acc["total"] + 2 * n - 1).alias("total"))
-
-    return F.aggregate(F.sort_array(token_array), zero, step, lambda acc: acc["total"])
+    return F.when(F.size(token_array) == 0, 0.0).otherwise(tx.clamp(dot / (norm * F.sqrt(square_sum(token_array)))))
 
 
 def square_sum(words: Column) -> Column:
-    """What tfidf_cosine() needs of a text beside the counts of the query's terms; store it where several queries meet one text."""
-    return _square_sum(words)
+    """Sum of squared counts of a stored, sorted array: what a cosine needs of a text beside the counts of the query's terms.
+
+    Each word is marked by whether the next one is the same; a run of k marks is a word that occurs k + 1 times, and adds k (k + 1) to the
+    number of words. Only repeated words reach the fold.
+    """
+    marks = F.array_join(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    runs = F.split(marks, "0+")
+    more = F.aggregate(runs, F.lit(0.0), lambda acc, r: acc + F.length(r) * (F.length(r) + 1))
+    return F.size(words) + more
 
 
-def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), squares: Column | None = None) -> Column:
+def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), squares: Column | None = None, counts: dict[str, Column] | None = None) -> Column:
     """TF-IDF cosine fitted on just the query and the text, in closed form.
 
-    With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored array of the text's
+    With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored, sorted array of the text's
     lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter. ``squares`` is
-    their stored square_sum().
+    their stored square_sum() and ``counts`` their stored counts of the query's words, as a formula names each several times.
     """
-    q = Counter(w for w in _py_words(query) if w not in stop_words)
+    q = Counter(query_words(query, stop_words))
     if not q:
         return F.lit(0.0)
     terms = sorted(q)
-    count = {t: _count(words, t).cast("double") for t in terms}
+    count = {t: (counts[t] if counts else _count(words, t)).cast("double") for t in terms}
     dot = sum((q[t] * count[t] for t in terms), F.lit(0.0))
     in_query = sum((F.when(count[t] > 0, float(q[t] ** 2)).otherwise(q[t] ** 2 * LONE_IDF**2) for t in terms), F.lit(0.0))
     shared_sq = sum((count[t] * count[t] for t in terms), F.lit(0.0))
-    in_text = shared_sq + LONE_IDF**2 * ((_square_sum(words) if squares is None else squares) - shared_sq)
+    in_text = shared_sq + LONE_IDF**2 * ((square_sum(words) if squares is None else squares) - shared_sq)
     return F.when(F.size(words) == 0, 0.0).otherwise(tx.clamp(dot / (F.sqrt(in_query) * F.sqrt(in_text))))
 
 
 def words(c: str | Column, stop_words: tuple[str, ...] = ()) -> Column:
-    """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped."""
+    """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped, sorted."""
     skip = "(?!(?:" + "|".join(map(tx.java_quote, stop_words)) + r")\b)" if stop_words else ""
-    return F.regexp_extract_all(F.lower(tx.text(c)), F.lit(rf"(?U)\b{skip}\w\w+\b"), F.lit(0))
+    return F.sort_array(F.regexp_extract_all(F.lower(tx.text(c)), F.lit(rf"(?U)\b{skip}\w\w+\b"), F.lit(0)))
+
 
+def query_words(query: str, stop_words: tuple[str, ...] = ()) -> list[str]:
+    """The words of a driver-side query."""
+    return [w for w in re.findall(r"\b\w\w+\b", query.lower()) if w not in stop_words]
 
-def _py_words(value: str) -> list[str]:
-    import re
 
-    return re.findall(r"\b\w\w+\b", value.lower())
+def with_counts(d: DataFrame, words: str, queries: list[str], stop_words: tuple[str, ...], to: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``d`` with the counts of all words of the queries as columns named after ``to``, and these columns by word."""
+    every = sorted({w for q in queries for w in query_words(q, stop_words)})
+    names = {w: f"{to}{i}" for i, w in enumerate(every)}
+    return d.withColumns({n: _count(F.col(words), w) for w, n in names.items()}), {w: F.col(n) for w, n in names.items()}

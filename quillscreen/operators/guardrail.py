@@ -78,7 +78,12 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
         tx.domain_text(joined_text(papers, ("abstract", "tldr"))).alias("xa"),
     )
     base = base.select("*", *[tx.tokens(c).alias(f"{c}_tok") for c in ("x", "xt", "xa")])
-    has = lambda term, c="x": tx.has_concept(F.col(c), F.col(f"{c}_tok"), term)
+    asked: dict[tuple[str, str], str] = {}
+
+    def has(term: str, c: str = "x") -> Column:
+        """A concept that several lists name is searched once, as a column."""
+        return F.col(asked.setdefault((c, " ".join(term.lower().split())), f"__has{len(asked)}"))
+
     must, optional = contract.required_groups(), contract.optional_groups()
     flags = {f"req_{i}": _any(terms, has) for i, (_, terms) in enumerate(must)} | {f"opt_{i}": _any(terms, has) for i, (_, terms) in enumerate(optional)}
     flags |= {f"reqt_{i}": _any(terms, lambda t: has(t, "xt")) for i, (_, terms) in enumerate(must)} | {f"reqa_{i}": _any(terms, lambda t: has(t, "xa")) for i, (_, terms) in enumerate(must)}
@@ -88,14 +93,16 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
     nothing = F.array().cast("array<string>")
     target = tx.unique([*contract.terms_of("target_chemistry_group"), *ct.TARGET_CONTEXT])
     beside = tx.unique([*contract.terms_of("negative_context_group"), *ct.BESIDE_CONTEXT])
-    d = base.withColumns(flags).withColumns({
+    lists = {
         "missing": F.filter(F.array(*[F.when(~F.col(f"req_{i}"), F.lit(required[i])) for i in range(len(must))]), lambda v: v.isNotNull()) if must else _found(required, lambda t: ~has(t)),
         "target": _found(target, has) if lithium else nothing,
         "beside": F.array_distinct(F.concat(_found(beside, chem), F.when(F.col("x").rlike(r"\bbeyond\s+li\s*-?\s*ion\b"), F.array(F.lit("beyond li-ion"))).otherwise(nothing))) if lithium else nothing,
         "negative": _found(tx.unique(list(contract.negative), 20), has), "forbidden": _found(tx.unique([*contract.must_exclude, *contract.forbidden], 20), has),
         "positive": _found(tx.unique([*contract.positive, *required, *(t for _, terms in must for t in terms), *contract.synonyms], 40), has),
         "markers": _found(list(ct.DRIFT), chem) if lithium else nothing,
-    })
+    }
+    found = {name: tx.has_concept(F.col(c), F.col(f"{c}_tok"), term) for (c, term), name in asked.items()}
+    d = base.withColumns(found).withColumns(flags).withColumns(lists) if found else base.withColumns(flags | lists)
     reqs, opts = [F.col(f"req_{i}") for i in range(len(must))], [F.col(f"opt_{i}") for i in range(len(optional))]
     drift = F.array_distinct(F.concat("markers", "beside"))
     coverage = (len(required) - F.size("missing")) / F.lit(float(len(required))) if required else F.lit(0.5)

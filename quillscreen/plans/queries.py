@@ -389,10 +389,19 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.value_counts(decided(spark, sf_dir), "exclusion_reasons")
 
 
-@query(o.DECISIONS + "SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS records_identified, CAST(0 AS BIGINT) AS duplicates_removed, count(*) FILTER (WHERE abstract = '') AS missing_abstracts, count(*) AS records_screened, count(*) FILTER (WHERE decision = 'include') AS records_included, count(*) FILTER (WHERE decision = 'maybe') AS records_maybe, count(*) FILTER (WHERE decision = 'exclude') AS records_excluded, count(*) FILTER (WHERE domain_decision = 'out_of_scope') AS out_of_domain_records, least(count(*), 10) AS records_in_top_ranked, count(*) FILTER (WHERE support_level IN ('missing_abstract', 'missing_evidence')) AS records_low_confidence FROM decided")
+#: The first paper of each exact key: what is left once duplicates are removed.
+_FIRST = pp.PAPERS.replace("papers AS (", "papers0 AS (", 1) + f""",
+papers AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doi <> '' THEN 'd:' || doi WHEN {sql_title_key('title')} <> '' THEN 't:' || {sql_title_key('title')} ELSE 'o:' || input_ord END ORDER BY input_ord) AS n FROM papers0) WHERE n = 1)"""
+
+
+@query(o.DECISIONS.replace(pp.PAPERS.strip(), _FIRST.strip()) + "SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS records_identified, (SELECT count(*) FROM papers0) - count(*) AS duplicates_removed, count(*) FILTER (WHERE abstract = '') AS missing_abstracts, count(*) AS records_screened, count(*) FILTER (WHERE decision = 'include') AS records_included, count(*) FILTER (WHERE decision = 'maybe') AS records_maybe, count(*) FILTER (WHERE decision = 'exclude') AS records_excluded, count(*) FILTER (WHERE domain_decision = 'out_of_scope') AS out_of_domain_records, least(count(*), 10) AS records_in_top_ranked, count(*) FILTER (WHERE support_level IN ('missing_abstract', 'missing_evidence')) AS records_low_confidence FROM decided")
 def prisma_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: screening flow."""
-    return metrics.screening_flow(decided(spark, sf_dir), table(spark, sf_dir, "documents").count(), 0)
+    """A5: screening flow over the papers that are left after records of one exact key are merged to the first."""
+    p = papers(spark, sf_dir)
+    first = dedup.exact_key_groups(p).select(F.col("gid").alias("input_ord"))
+    raw, left = p.count(), first.count()
+    d = screening.screen_and_decide(p.join(first, "input_ord", "left_semi"), CONTRACT, NOW_YEAR, role_rules=ROLE_RULES)
+    return metrics.screening_flow(d, raw, raw - left)
 
 
 @query(o.with_(pp.PAPERS, o.EVIDENCE) + "SELECT count(*) AS n_papers, count(*) FILTER (WHERE support_level = 'strict_support') AS strict_supported_count, CAST(0 AS BIGINT) AS weak_support_count, CAST(0 AS BIGINT) AS unverified_count, CAST(0 AS BIGINT) AS llm_invalid_evidence_count, avg((support_level = 'missing_abstract')::INT) AS missing_abstract_ratio, avg((support_level <> 'strict_support')::INT) AS unsupported_claim_rate, CAST(CASE WHEN count(*) FILTER (WHERE support_level = 'strict_support') > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS grounding_accuracy, avg((support_level = 'strict_support')::INT) AS strict_support_rate, CAST(0.0 AS DOUBLE) AS weak_support_rate FROM ev")
@@ -586,14 +595,14 @@ def snowball_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snowball.expand(seeds, edges, p.select("paper_id", "input_ord", "title", "doi"), known).select("paper_id", "seed_paper_id", "source_stage", "seed_relation", "seed_confidence")
 
 
-@query(o.with_(pp.PAPERS) + f""", s AS (SELECT input_ord AS seed_ord, CASE WHEN input_ord % 2 = 0 THEN doi ELSE '' END AS doi, upper(title) AS title FROM papers WHERE input_ord % 10 = 3 OR input_ord % 10 = 6),
+@query(o.with_(pp.PAPERS) + f""", s AS (SELECT input_ord AS seed_ord, CASE WHEN input_ord % 2 = 0 THEN doi ELSE '' END AS doi, upper(title) AS title FROM papers),
 c AS (SELECT paper_id, input_ord, doi, {sql_title_key('title')} AS t FROM papers),
 d AS (SELECT doi, arg_min(paper_id, input_ord) AS p FROM c WHERE doi <> '' GROUP BY doi), u AS (SELECT t, arg_min(paper_id, input_ord) AS p FROM c WHERE t <> '' GROUP BY t)
 SELECT seed_ord, coalesce(d.p, u.p) AS paper_id, CASE WHEN coalesce(d.p, u.p) IS NULL THEN 'manual_seed' ELSE 'seed_exact' END AS source_stage FROM s LEFT JOIN d ON d.doi = s.doi LEFT JOIN u ON u.t = {sql_title_key('s.title')}""")
 def seed_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds resolved by DOI, then title."""
+    """Every paper as a seed, resolved by DOI, then title."""
     p = papers(spark, sf_dir)
-    s = p.filter((F.col("input_ord") % 10).isin(3, 6)).select(F.col("input_ord").alias("seed_ord"), F.when(F.col("input_ord") % 2 == 0, F.col("doi")).otherwise("").alias("doi"), F.upper("title").alias("title"))
+    s = p.select(F.col("input_ord").alias("seed_ord"), F.when(F.col("input_ord") % 2 == 0, F.col("doi")).otherwise("").alias("doi"), F.upper("title").alias("title"))
     return snowball.resolve(s, p).select("seed_ord", "paper_id", "source_stage")
 
 

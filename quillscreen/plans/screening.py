@@ -32,18 +32,21 @@ def relevance(d: DataFrame, contract: Contract, stop_words: tuple[str, ...] = tx
     """Adds the parts of hybrid relevance and ``hybrid_relevance``."""
     q = contract.question
     d = d.withColumns({"__wt": sim.words("title", stop_words), "__wa": sim.words("abstract", stop_words), "__we": sim.words(F.concat_ws(" ", "claim", "evidence_sentence"), stop_words), "__wf": sim.words(F.array_join("fields_of_study", " "), stop_words), "__tok": tx.tokens(F.concat_ws(" ", "title", "abstract", "claim", "evidence_sentence"))})
+    field = " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
+    cosine = {}
+    for name, words, query in (("title_similarity", "__wt", q), ("abstract_similarity", "__wa", q), ("evidence_similarity", "__we", q), ("field_match", "__wf", field)):
+        d, counts = sim.with_counts(d, words, [query], stop_words, f"{words}_n")
+        cosine[name] = sim.tfidf_cosine(query, F.col(words), stop_words, None, counts)
+    own = d.columns
     groups = list(contract.must_term_groups) or [(t,) for t in contract.must_terms]
     hits = [F.lit(False) for _ in groups]
     for i, terms in enumerate(groups):
         for t in terms:
             hits[i] = hits[i] | tx.has_tokens(F.col("__tok"), t)
     must = sum((h.cast("int") for h in hits), F.lit(0)) / F.lit(float(len(groups))) if groups else F.lit(1.0)
-    field = " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
-    d = d.withColumns({
-        "title_similarity": sim.tfidf_cosine(q, F.col("__wt"), stop_words), "abstract_similarity": sim.tfidf_cosine(q, F.col("__wa"), stop_words), "evidence_similarity": sim.tfidf_cosine(q, F.col("__we"), stop_words),
-        "api_relevance": sc.api_relevance(F.col("api_relevance_score")), "must_term_coverage": must, "field_match": sim.tfidf_cosine(field, F.col("__wf"), stop_words),
-    })
-    return d.withColumn("hybrid_relevance", sc.hybrid({k: F.col(k) for k in sc.HYBRID})).drop("__wt", "__wa", "__we", "__wf", "__tok")
+    d = d.withColumns({**cosine, "api_relevance": sc.api_relevance(F.col("api_relevance_score")), "must_term_coverage": must})
+    d = d.withColumn("hybrid_relevance", sc.hybrid({k: F.col(k) for k in sc.HYBRID}))
+    return d.drop(*[c for c in own if c == "__tok" or c.startswith("__w")])
 
 
 def components(d: DataFrame, now_year: int, relevance_col: str = "hybrid_relevance") -> DataFrame:

@@ -30,9 +30,10 @@ def misses(wanted: DataFrame, cached: DataFrame, key: str = "cache_key") -> Data
 def abstract_of(index: Column) -> Column:
     """Text of an inverted index: words by position, gaps dropped; of several words at one position the last entry stands."""
     entries = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    order = F.array_sort(entries)
-    last = F.filter(order, lambda x, i: F.coalesce(F.get(order, i + 1)["p"] != x["p"], F.lit(True)))
-    return F.coalesce(F.array_join(F.transform(last, lambda x: x["w"]), " "), F.lit(""))
+    order = F.sort_array(entries)
+    # Each entry beside the next one: a look-up of the array inside a lambda would sort it anew for every entry.
+    last = F.zip_with(order, F.slice(order, F.lit(2), F.size(order)), lambda x, y: F.when(y["p"].eqNullSafe(x["p"]), None).otherwise(x["w"]))
+    return F.coalesce(F.array_join(last, " "), F.lit(""))
 
 
 def _names(array: Column, field: str) -> Column:
