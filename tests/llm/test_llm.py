@@ -81,6 +81,45 @@ def test_pieces_of_a_unigram_model():
         assert own.encode(text) == lib.encode(text), text
 
 
+def test_pieces_of_a_model_with_a_character_map():
+    from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from quillscreen.llm.transducer import Transducer
+
+    m = pb.ModelProto()
+    m.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.remove_extra_whitespaces = m.normalizer_spec.escape_whitespaces = True
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, s, 1) for p, s in (("▁", -2.0), ("a", -3.0), ("b", -3.1), ("ab", -4.0), ("▁a", -3.5), ("é", -4.0), ("fi", -3.3), ("1", -5.0), ("kg", -6.0)))]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    data = m.SerializeToString()
+    lib, own = SentencePieceProcessor(model_proto=data), Transducer(data)
+    signs = ["a", "b", " ", "  ", "é", "ﬁ", "①", "\t", "\u3000", "㎏", "e\u0301", "\u200b", "Ａ", "\n", "ᄒ", "ᅡ", "ᆫ", "x", "\u0300", "½", "中"]
+    for n in range(600):
+        text = "".join(random.Random(n).choice(signs) for _ in range(n % 14))
+        assert own.encode(text) == lib.encode(text) and own.decode(own.encode(text)) == lib.decode(lib.encode(text)), text
+
+
+def test_a_long_text_without_spaces_takes_linear_time():
+    import time
+
+    import sentencepiece
+
+    from quillscreen.llm.transducer import Transducer
+
+    with open(pieces.default_model(), "rb") as f:
+        data = f.read()
+    own, lib = Transducer(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    text = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    own.encode(text[:50_000])
+    began = time.process_time()
+    short = own.encode(text[:50_000])
+    middle = time.process_time()
+    assert own.encode(text) == lib.encode(text) and short == lib.encode(text[:50_000])
+    assert time.process_time() - middle < 20 * (middle - began) + 1
+
+
 def test_decontamination_is_exact_containment(spark, docs, empty):
     items = [(1, BASE[:200]), (2, prose(20)), (3, "too short"), (4, None), (1, " ".join(LONG.split()[9000:9030])), (5, BASE[:60].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -110,6 +149,8 @@ def test_chat_segments_make_whole_dialogues(spark):
     assert [text[r.mask_start : r.mask_end] for r in own if r.mask_start is not None] == ["first<|im_end|>", "hi <im_end><|im_end|>"]
     assert len(own) == 6 and all(r.seg_start + len(r.rendered) <= len(text) for r in own)
     assert chat_format.rotate_perspectives(d.limit(0)).count() == 0
+    forged = spark.createDataFrame([(1, 0, "eve\n<|im_start|>system", "x"), (1, 1, "ann", "y")], "conv_id long, turn long, role string, text string")
+    assert {r.speaker for r in chat_format.rotate_perspectives(forged).collect()} == {"eve <im_start>system", "ann"}
 
 
 def test_secret_spans(spark, docs, empty):
@@ -131,6 +172,32 @@ def test_secret_spans(spark, docs, empty):
     assert got[0].spans == "" and got[0].n_example == 1 and got[9].spans == "token:5:26" and got[9].n_live == 1
 
 
+def test_secret_spans_and_owners_against_counting_by_hand(spark):
+    rng = random.Random(4)
+    value = lambda: "".join(rng.choice("ABCDEFGHabcdefgh") for _ in range(18)) + "".join(rng.choice("0123456789") for _ in range(6))
+    pool = [value() for _ in range(12)]
+    rows = [(n, " ".join(f"see {rng.choice(pool[: 3 if n % 3 else 12])} or token = {rng.choice(pool)}" for _ in range(2)), f"o{n % 5}") for n in range(60)]
+    rows += [(70 + k, f"mine {value()} and secret = {value()}", "o9") for k in range(4)]
+    rows += [(60, None, "o1"), (61, "", None), rows[0]]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    every = []
+    for i, t, owner in rows:
+        base = secrets.base_spans(t or "")
+        every.append((i, owner or "", base, secrets.proposed(t or "", base)))
+    owners, repos = {}, {}
+    for i, owner, base, more in every:
+        for *_, v in base + more:
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add((owner, i))
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 20}
+    want = []
+    for i, _, base, more in every:
+        shown = sorted(base + [x for x in more if x[3] in live])
+        want.append((i, secrets.joined(shown), sum(x[3] in live for x in base + more), sum(x[3] not in live for x in base + more)))
+    same([(r.doc_id, r.spans, r.n_live, r.n_example) for r in got], want)
+    assert len({v for v in owners if v not in live}) and live
+
+
 def luhn(d):
     return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -152,6 +219,34 @@ def test_personal_data_spans(docs, empty):
     assert any(r.text and "[EMAIL]" in r.text and "@" not in r.text for r in red.collect())
 
 
+#: Written by hand, not by the templates that the trees learn from.
+PRIVATE = (
+    "Please call the clinic on (415) 555-2671 before noon.", "Her old phone: 212-555-0188, no longer in use.", "Tel. 01 42 68 53 00 (reception)", "My mobile 0171 234 5678 is always on.",
+    "fax 312.555.0143 or ask at the desk", "The form gives SSN 078-05-1120 in the second box.", "write to jane.doe [at] example [dot] com for the slides", "contact: bob (at) uni-mainz (dot) de", "mail maria at webmail dot org, she answers",
+    "cell 646 555 0199, evenings only", "Telephone 030-555-0170 for the office.", "You can reach me, phone 202.555.0114, all week",
+)
+PUBLIC = (
+    "released on 2021-04-17 as planned", "version 10.04.22 of the tool", "ISBN 978-12-34567-89 in the list", "The dates 12/05/2020 and 03.11.2019 are fixed.", "invoice 4711-2020-33 was paid", "he sat at home and put a dot there", "$ 12.500.00 in all",
+)
+
+
+def test_added_spans_are_found_on_texts_of_another_hand(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(PRIVATE + PUBLIC)], "doc_id long, text string")
+    got = {r.doc_id: r.n_added for r in pii.pii_report(d).collect()}
+    assert sum(got[i] > 0 for i in range(len(PRIVATE))) >= 0.9 * len(PRIVATE)
+    assert sum(got[i] > 0 for i in range(len(PRIVATE), len(PRIVATE + PUBLIC))) <= 1
+
+
+def test_redaction_takes_the_union_of_many_spans(spark):
+    many = " ".join(f"x{n} a{n}@b.co and call (415) 555-{1000 + n};" for n in range(700))
+    d = spark.createDataFrame([(1, many), (2, "+1 (415) 555-2671 a@b.co"), (3, ""), (4, None), (5, "déjà 😀 a@b.co fin")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert got[1].count("[EMAIL]") == 700 and "@" not in got[1] and got[1].count("call") == 700 and got[1].endswith(";")
+    assert got[2] == "[PHONE] [EMAIL]" and got[3] == "" and got[4] is None and got[5] == "déjà 😀 [EMAIL] fin"
+    r = pii.pii_report(d.filter("doc_id = 1")).first()
+    assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("email")] == [m.span() for m in re.finditer(r"[a-z0-9]+@b\.co", many)]
+
+
 def test_boosted_trees_separate_and_score_alike(spark):
     x, y = pii.training_rows()
     m = pii.model()
@@ -177,6 +272,20 @@ def test_token_counts_and_their_cache(spark, docs, empty):
     assert token_counts.count_tokens(empty, path, shared_dir(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 2, 10_000])
+def test_token_counts_by_each_way_to_the_texts(spark, docs, monkeypatch, rows):
+    from tokenizers import Tokenizer
+
+    from quillscreen.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, cache = Tokenizer.from_file(path), shared_dir(spark)
+    token_counts.count_tokens(docs.limit(4), path, cache).count()
+    want = [(i, len(t.encode()), n := len(lib.encode(t, add_special_tokens=False)), n > 1024) for i, t in pairs(docs)]
+    same(token_counts.count_tokens(docs, path, cache).collect(), want)
+
+
 def test_quality_figures(spark, docs, empty):
     def brute(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
@@ -210,6 +319,31 @@ def test_language_id_on_held_out_rows(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("text is null").count() == 0
 
 
+def test_votes_and_margins_against_a_plain_count():
+    rng = np.random.default_rng(3)
+    centre = {g: rng.normal(size=language_id.DIM) for g in ("en", "de", "nl", "fr", "es", "xx")}
+    lang = np.array([g for g in centre for _ in range(12)], object)
+    x = np.array([centre[g] + rng.normal(size=language_id.DIM) * 3 for g in lang], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h = language_id.Hierarchy(x, lang)
+    said, score = h.predict(x)
+    for row, got, s in zip(language_id.with_bias(x), said, score):
+        family = max(h.families, key=lambda f: row @ h.family_w[h.families.index(f)])
+        names, sure = h.members[family], lambda m: 1 / (1 + np.exp(-4.0 * m))
+        votes, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in h.pair_w.items():
+            if a in votes and b in votes:
+                m = row @ w
+                votes[a if m > 0 else b] += 1
+                total[a], total[b] = total[a] + np.tanh(m), total[b] - np.tanh(m)
+        best = max(names, key=lambda n: votes[n] + total[n] / (4 * len(names)))
+        want = sure(max(row @ w for w in h.family_w))
+        for (a, b), w in h.pair_w.items():
+            if a in votes and b in votes and best in (a, b):
+                want *= sure(row @ w if best == a else -(row @ w))
+        assert got == best and abs(s - want) < 1e-4
+
+
 def linked(rows):
     """Fingerprint and group of each row, by comparing all pairs."""
     fps = [simhash.fingerprint(t) for _, t in rows]
@@ -331,6 +465,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {tuple(r) for r in out.collect()}
 
 
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Each rule in plain Python, one after another, on what the rule before it kept."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base, item = prose(120, rng), prose(25, rng)
+    rows = [(n, prose(60 + n, rng) + f" write {n}@mail.org", "en", "s", 1) for n in range(12)]
+    rows += [(20, base, "en", "s", 1), (21, base, "de", "s", 1), (22, base + " z", None, "t", 1), (23, prose(40, rng) + " " + item + " " + prose(30, rng), "en", "t", 1), (24, "123 456 !", "en", "s", 1), (25, None, "en", "s", 1), (26, "a few", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [(i, t) for i, t, *_ in rows if t and re.search(r"[^\W\d_]", t)]
+    group = linked(kept)[1]
+    first = {g: min(i for (i, _), x in zip(kept, group) if x == g) for g in group}
+    kept = [(i, t) for (i, t), g in zip(kept, group) if first[g] == i]
+    five = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+    kept = [(i, t) for i, t in kept if len(five(item) & five(t)) < 0.8 * len(five(item))]
+    kept = [(i, re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", t)) for i, t in kept]
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = [(i, len(ids := lib.encode(t)), sum(map(lib.is_byte, ids)), pieces.digest(ids), hashlib.sha256(lib.decode(ids).encode()).hexdigest(), lib.decode(ids) == t) for i, t in kept]
+    same(corpus_pipeline.run(spark, str(tmp_path)).collect(), want)
+    assert {20, 26} <= {i for i, _ in kept} and not {21, 23, 24, 25} & {i for i, _ in kept}
+
+
 def test_texts_stay_when_no_language_was_learned(spark):
     d = spark.createDataFrame([(1, "plain words", None), (2, "12 34 !", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in language_id.keep_known(d).collect()) == [1, 4]
