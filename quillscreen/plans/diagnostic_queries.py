@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
 from quillscreen.operators import diagnostics, provenance, snowball
+from quillscreen.operators.store import checkpoint_dir
 from quillscreen.plans import oracle as o
 from quillscreen.plans import papers as pp
 from quillscreen.plans import queries as q
 from quillscreen.plans.papers import papers, quoted, sql_collapsed, sql_title_key, sql_tokens
-from quillscreen.sources import providers
+from quillscreen.sources import importers, providers, sinks
 
 FROM_PAPERS, query, table = q.FROM_PAPERS, q.query, q.table
 PATTERNS = ("public license", "de la", "that-the", "der", "la", "2024")
@@ -226,3 +229,41 @@ def retrieval_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("doi") == "", F.col("paper_id")).otherwise(F.col("doi"))
     merged = papers(spark, sf_dir).agg(F.count_distinct(key)).first()[0]
     return provenance.retrieval_context(provenance.provider_status(*_bundles(spark, sf_dir)), merged, merged, 5)
+
+
+# ---- libraries and label files: written by the query, read back by the importers ------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/imports-{uuid.uuid4().hex}"
+
+
+_PLAIN_SQL = "trim(regexp_replace(regexp_replace(title, '[{}\"\\\\]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(FROM_PAPERS + f""", t AS (SELECT {_PLAIN_SQL} AS title, year, venue, doi FROM papers), s AS (SELECT * FROM (VALUES ('imported_bibtex'), ('imported_ris'), ('imported_csv')) v(source_provider))
+SELECT source_provider, title, year, venue, doi FROM t, s WHERE title <> ''""")
+def library_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test papers as BibTeX, RIS and CSV libraries, read back."""
+    p = papers(spark, sf_dir).select(tx.collapsed(F.regexp_replace("title", r'[{}"\\]', "")).alias("title"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"), "venue", "doi", "input_ord")
+    base, out = _folder(spark), []
+    bib = F.concat(F.lit("@article{k"), F.col("input_ord").cast("string"), *[x for f, c in (("title", "title"), ("year", "year"), ("journal", "venue"), ("doi", "doi")) for x in (F.lit(f",\n  {f} = {{"), F.col(c), F.lit("}"))], F.lit("\n}"))
+    ris = F.concat(F.lit("TY  - JOUR"), *[x for f, c in (("TI", "title"), ("PY", "year"), ("JO", "venue"), ("DO", "doi")) for x in (F.lit(f"\n{f}  - "), F.col(c))], F.lit("\nER  - "))
+    for name, value in (("bib", bib), ("ris", ris)):
+        p.select(value.alias("value")).write.text(f"{base}/{name}")
+    sinks.write_csv(p, f"{base}/csv", ["title", "year", "venue", "doi"])
+    for read, name in ((importers.read_bibtex, "bib"), (importers.read_ris, "ris"), (importers.read_csv, "csv")):
+        out.append(read(spark, f"{base}/{name}")[0].select("source_provider", "title", "year", "venue", "doi"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id)
+SELECT 'p' || doc_id AS paper_id, CASE WHEN t = 1 THEN 'exclude' WHEN q = 1 THEN 'include' ELSE 'uncertain' END AS label, CAST(CASE WHEN doc_id % 5 = 0 THEN 0.25 WHEN t = 1 THEN -0.20 WHEN q = 1 THEN 0.10 ELSE 0.0 END AS DOUBLE) AS adjustment, CASE WHEN t = 1 THEN 'exclude' WHEN q = 1 THEN 'include' ELSE 'odd, "label"' END AS note FROM l""")
+def feedback_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feedback file with labels in mixed case, unknown labels and some adjustments, written and read back."""
+    l = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))  # noqa: E741
+    label = F.when(F.col("t") == 1, " Exclude ").when(F.col("q") == 1, "INCLUDE").otherwise('odd, "label"')
+    d = l.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("paper_id"), label.alias("label"), F.when(F.col("doc_id") % 5 == 0, "0.25").otherwise("").alias("adjustment"), F.lower(F.trim(label)).alias("note"))
+    path = _folder(spark)
+    sinks.write_csv(d, path, ["paper_id", "label", "adjustment", "note"])
+    return importers.read_feedback(spark, path)

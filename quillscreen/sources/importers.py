@@ -154,7 +154,7 @@ def _last_per_paper(rows: DataFrame) -> DataFrame:
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """``paper_id, label, adjustment, note``; unknown labels are uncertain, missing adjustments follow the label."""
-    d = spark.read.schema("paper_id string, label string, adjustment string, note string").csv(path, header=True, enforceSchema=False)
+    d = spark.read.schema("paper_id string, label string, adjustment string, note string").csv(path, header=True, enforceSchema=False, multiLine=True, escape='"')
     label = F.lower(F.trim(tx.text("label")))
     label = F.when(label.isin("include", "exclude", "uncertain"), label).otherwise("uncertain")
     given = F.trim(tx.text("adjustment")).try_cast("double")
@@ -164,13 +164,13 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """``paper_id, label``, lower-cased, blanks dropped."""
-    d = spark.read.schema("paper_id string, label string").csv(path, header=True, enforceSchema=False)
+    d = spark.read.schema("paper_id string, label string").csv(path, header=True, enforceSchema=False, multiLine=True, escape='"')
     return _last_per_paper(d.withColumn("label", F.lower(F.trim(tx.text("label")))).filter("label <> ''")).select("paper_id", "label")
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """``seed_id, seed_type, title, doi, note``; a missing type follows the look of the DOI or id."""
-    d = spark.read.schema("seed_id string, seed_type string, title string, doi string, note string").csv(path, header=True, enforceSchema=False)
+    d = spark.read.schema("seed_id string, seed_type string, title string, doi string, note string").csv(path, header=True, enforceSchema=False, multiLine=True, escape='"')
     look = F.coalesce(F.nullif(F.trim(tx.text("doi")), F.lit("")), F.col("seed_id"))
     kind = F.when(F.trim(tx.text("seed_type")) != "", F.lower(F.trim("seed_type"))).otherwise(seed_type(look))
     return d.select("seed_id", kind.alias("seed_type"), tx.text("title").alias("title"), tx.doi_key("doi").alias("doi"), tx.text("note").alias("note"))
