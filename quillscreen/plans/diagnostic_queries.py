@@ -13,8 +13,9 @@ from quillscreen.operators.store import checkpoint_dir
 from quillscreen.plans import oracle as o
 from quillscreen.plans import papers as pp
 from quillscreen.plans import queries as q
+from quillscreen.plans import screening
 from quillscreen.plans.papers import papers, quoted, sql_collapsed, sql_title_key, sql_tokens
-from quillscreen.sources import importers, providers, sinks
+from quillscreen.sources import importers, providers, rows, sinks
 
 FROM_PAPERS, query, table = q.FROM_PAPERS, q.query, q.table
 PATTERNS = ("public license", "de la", "that-the", "der", "la", "2024")
@@ -267,3 +268,17 @@ def feedback_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     sinks.write_csv(d, path, ["paper_id", "label", "adjustment", "note"])
     return importers.read_feedback(spark, path)
+
+
+@query(FROM_PAPERS + """SELECT paper_id, title, '' AS authors, coalesce(CAST(year AS VARCHAR), '') AS year, venue, doi, '' AS url, source_provider, '' AS retrieval_provider, '' AS retrieval_stage, retrieval_query, source_stage, '' AS seed_paper_id, '' AS seed_title, '' AS seed_reason, '' AS seed_relation,
+CASE WHEN input_ord % 4 = 0 THEN '' ELSE printf('%.4f', (input_ord % 4) / 8.0) END AS seed_confidence, CAST(citation_count AS VARCHAR) AS citation_count FROM papers""")
+def paper_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: papers as flat rows of the CSV set."""
+    return rows.paper_rows(papers(spark, sf_dir).withColumn("seed_confidence", (F.col("input_ord") % 4) / 8.0))
+
+
+@query(o.with_(pp.PAPERS, o.EVIDENCE) + """SELECT paper_id, title, evidence_sentence AS claim, evidence_sentence, printf('%.4f', keyword_overlap) AS keyword_overlap, support_level, CASE WHEN support_level = 'strict_support' THEN 'true' ELSE 'false' END AS strict_span_validated, CASE WHEN support_level = 'missing_abstract' THEN 'true' ELSE 'false' END AS missing_abstract FROM ev""")
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: evidence and verification as flat rows."""
+    d = rows.evidence_rows(screening.with_evidence(papers(spark, sf_dir), q.QUESTION))
+    return d.select("paper_id", "title", "claim", "evidence_sentence", "keyword_overlap", "support_level", "strict_span_validated", "missing_abstract")

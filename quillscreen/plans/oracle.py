@@ -151,6 +151,10 @@ def guard() -> str:
     missing = "list_filter([" + ", ".join(f"CASE WHEN NOT r{i} THEN {lit(required[i])} END" for i in range(n)) + "], lambda v: v IS NOT NULL)"
     seed = "(source_stage IN ('seed_exact', 'manual_seed'))"
     r4 = lambda e: f"round({e}, 4)"
+    five = lambda text, c: f"'{text}: ' || array_to_string({c}[1:5], ', ') || '.'"
+    reason = f"""CASE WHEN {seed} THEN 'User-provided seed paper retained as an in-scope anchor.' WHEN len(forbidden) > 0 THEN {five(f'Forbidden concept(s) found for {CONTRACT.domain}', 'forbidden')}
+       WHEN len(negative) > 0 THEN {five(f'Negative domain signal(s) found for {CONTRACT.domain}', 'negative')} WHEN decision = 'borderline' AND len(missing) > 0 THEN {five('Missing some required concept(s)', 'missing')}
+       WHEN decision = 'out_of_scope' AND len(missing) > 0 THEN {five('Insufficient domain evidence; missing required concept(s)', 'missing')} WHEN decision = 'in_scope' THEN 'Paper matches the search contract domain.' ELSE 'Weak domain match.' END"""
     return f"""
 g0 AS (SELECT paper_id, source_stage, {sql_domain_text("title || ' ' || abstract || ' ' || venue || ' ' || lang || ' ' || source_provider")} AS x, {sql_domain_text('title')} AS xt, {sql_domain_text("abstract")} AS xa FROM papers),
 g1 AS (SELECT *, {sql_folded('x_k')} AS x_f, {sql_folded('xt_k')} AS xt_f, {sql_folded('xa_k')} AS xa_f FROM (SELECT *, {sql_tokens('x')} AS x_k, {sql_tokens('xt')} AS xt_k, {sql_tokens('xa')} AS xa_k FROM g0)),
@@ -167,7 +171,7 @@ g7 AS (SELECT *,
 guard AS (SELECT paper_id, {seed} AS is_seed, CASE WHEN {seed} THEN 1.0 ELSE {r4('score')} END AS domain_match_score, CASE WHEN {seed} THEN 'in_scope' ELSE decision END AS domain_decision,
   CASE WHEN {seed} THEN 1.0 ELSE {r4('central')} END AS intent_centrality_score, CASE WHEN {seed} THEN 1.0 ELSE {r4('cov')} END AS required_group_coverage_score, CASE WHEN {seed} THEN 1.0 ELSE {r4('focus')} END AS topic_focus_score,
   CAST(CASE WHEN {seed} THEN 0 ELSE len(missing) END AS INT) AS missing_required_group_count, CASE WHEN {seed} THEN '' ELSE peripheral END AS peripheral_context_reason, CASE WHEN {seed} THEN 'user_seed' ELSE array_to_string(positive, ';') END AS positive_matches,
-  CASE WHEN {seed} THEN '' ELSE array_to_string(negative, ';') END AS negative_matches, CASE WHEN {seed} THEN '' ELSE array_to_string(forbidden, ';') END AS forbidden_found, CASE WHEN {seed} THEN 0 ELSE len(missing) END AS n_missing,
+  CASE WHEN {seed} THEN '' ELSE array_to_string(negative, ';') END AS negative_matches, CASE WHEN {seed} THEN '' ELSE array_to_string(forbidden, ';') END AS forbidden_found, {reason} AS off_topic_reason, CASE WHEN {seed} THEN 0 ELSE len(missing) END AS n_missing,
   NOT {seed} AND ({' OR '.join(f"NOT r{i}" for i, (g, _) in enumerate(must) if any(w in g for w in ("context", "spin", "oer"))) or 'false'} OR peripheral <> '') AS limited
   FROM g7)"""
 

@@ -238,12 +238,12 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scope, aspects, roles ----------------------------------------------------------------------------------------------
 
 
-@query(o.with_(pp.PAPERS, o.GUARD) + "SELECT paper_id, domain_match_score, domain_decision, intent_centrality_score, required_group_coverage_score, topic_focus_score, missing_required_group_count, peripheral_context_reason, positive_matches, negative_matches, forbidden_found FROM guard")
+@query(o.with_(pp.PAPERS, o.GUARD) + "SELECT paper_id, domain_match_score, domain_decision, intent_centrality_score, required_group_coverage_score, topic_focus_score, missing_required_group_count, peripheral_context_reason, positive_matches, negative_matches, forbidden_found, off_topic_reason FROM guard")
 def group_coverage_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scope of each paper under the contract, with negation."""
+    """Scope of each paper under the contract, with negation, and the reason."""
     g = guardrail.assess(papers(spark, sf_dir), CONTRACT)
     j = lambda c: F.array_join(c, ";")
-    return g.select("paper_id", "domain_match_score", "domain_decision", "intent_centrality_score", "required_group_coverage_score", "topic_focus_score", "missing_required_group_count", "peripheral_context_reason", j("positive_domain_matches").alias("positive_matches"), j("negative_domain_matches").alias("negative_matches"), j("forbidden_concepts_found").alias("forbidden_found"))
+    return g.select("paper_id", "domain_match_score", "domain_decision", "intent_centrality_score", "required_group_coverage_score", "topic_focus_score", "missing_required_group_count", "peripheral_context_reason", j("positive_domain_matches").alias("positive_matches"), j("negative_domain_matches").alias("negative_matches"), j("forbidden_concepts_found").alias("forbidden_found"), "off_topic_reason")
 
 
 @query(o.with_(pp.PAPERS, o.GUARD) + "SELECT domain_decision, count(*) AS n_papers FROM guard GROUP BY 1")
