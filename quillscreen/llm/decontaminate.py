@@ -4,7 +4,8 @@ Test items are short and documents may be long, so containment is asked for, not
 five-word shingles that the document holds. Items are partitioned by their number of shingles into sizes (2^(p-1), 2^p], and
 each is sketched by its k smallest shingle hashes, with k = floor((1 - t) * 2^p) + 1 for its partition and the threshold t. A document
 that holds a share t of the item misses at most (1 - t) * n of its shingles, so it holds at least one of the sketch:
-the search has no false negatives, whatever the length of the document. (A banded MinHash of the documents has none to offer
+the search has no false negatives, whatever the length of the document. A document meets the sketches of a partition only if it has as many
+shingles as the share t of the partition's smallest item. (A banded MinHash of the documents has none to offer
 here: an item of 30 shingles in a document of 20,000 words has a resemblance of 0.0015.) Candidates are then verified
 by exact containment of the shingle texts.
 
@@ -24,11 +25,15 @@ SIZE, THRESHOLD = 5, 0.8
 
 
 def item_sketches(items: DataFrame, item_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """``hash``: the distinct hashes in the sketches of all items."""
+    """``hash, need``: the distinct hashes in the sketches of all items, with the fewest shingles a document may have that holds one of their items.
+
+    That number follows from the partition: its items have over half of its upper size.
+    """
     d = items.select(words_of(F.lower(text_of(text_col))).alias("w")).withColumn("h", F.sort_array(F.array_distinct(shingle_hashes("w", size)))).filter("h IS NOT NULL")
     upper = F.pow(F.lit(2), F.ceil(F.log2(F.size("h"))))
     k = F.floor(F.round((1 - threshold) * upper, 6)).cast("int") + 1
-    return d.select(F.explode(F.slice("h", F.lit(1), k)).alias("hash")).distinct()
+    need = F.ceil(F.round(threshold * (F.floor(upper / 2) + 1), 6)).cast("int")
+    return d.select(F.explode(F.slice("h", F.lit(1), k)).alias("hash"), need.alias("need")).groupBy("hash").agg(F.min("need").alias("need"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
@@ -36,8 +41,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     sketch = cut(item_sketches(items, item_col, item_text_col, size, threshold))
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
     probe = d.select("doc_id", F.xxhash64("t").alias("text_hash"), words_of(F.lower("t")).alias("w"))
-    probe = probe.select("doc_id", "text_hash", F.explode(shingle_hashes("w", size)).alias("hash"))
-    hit = cut(probe.join(small(sketch), "hash", "left_semi").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
+    probe = probe.select("doc_id", "text_hash", (F.size("w") - size + 1).alias("have"), F.explode(shingle_hashes("w", size)).alias("held"))
+    hit = cut(probe.join(small(sketch), (F.col("held") == F.col("hash")) & (F.col("have") >= F.col("need")), "left_semi").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("t") == F.col("hit_hash"))
     found = d.join(small(hit), key, "left_semi").dropDuplicates(["doc_id", "t"])
     held = found.select("doc_id", F.xxhash64("t").alias("text_hash"), words_of(F.lower("t")).alias("w")).select("doc_id", "text_hash", F.explode(shingle_texts("w", size)).alias("shingle"))
