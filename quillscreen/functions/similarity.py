@@ -20,7 +20,7 @@ def _count(array: Column, term: str) -> Column:
 
 
 def count_cosine(query: str, token_array: Column) -> Column:
-    """Cosine of raw token counts; 0 if either side has no token. ``token_array`` must be a stored, sorted column."""
+    """Cosine of raw token counts; 0 if either side has no token. ``token_array`` must be a stored column."""
     q = Counter(tx.py_tokens(query))
     if not q:
         return F.lit(0.0)
@@ -30,12 +30,13 @@ def count_cosine(query: str, token_array: Column) -> Column:
 
 
 def square_sum(words: Column) -> Column:
-    """Sum of squared counts of a stored, sorted array: what a cosine needs of a text beside the counts of the query's terms.
+    """Sum of squared counts of a stored array: what a cosine needs of a text beside the counts of the query's terms.
 
-    Each word is marked by whether the next one is the same; a run of k marks is a word that occurs k + 1 times, and adds k (k + 1) to the
+    Each word in order is marked by whether the next one is the same; a run of k marks is a word that occurs k + 1 times, and adds k (k + 1) to the
     number of words. Only repeated words reach the fold.
     """
-    marks = F.array_join(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    order = F.sort_array(words)
+    marks = F.array_join(F.zip_with(order, F.slice(order, F.lit(2), F.size(words)), lambda x, y: F.when(x == y, "1").otherwise("0")), "")
     runs = F.split(marks, "0+")
     more = F.aggregate(runs, F.lit(0.0), lambda acc, r: acc + F.length(r) * (F.length(r) + 1))
     return F.size(words) + more
@@ -44,7 +45,7 @@ def square_sum(words: Column) -> Column:
 def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), squares: Column | None = None, counts: dict[str, Column] | None = None) -> Column:
     """TF-IDF cosine fitted on just the query and the text, in closed form.
 
-    With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored, sorted array of the text's
+    With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored array of the text's
     lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter. ``squares`` is
     their stored square_sum() and ``counts`` their stored counts of the query's words, as a formula names each several times.
     """

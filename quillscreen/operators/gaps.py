@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
+from quillscreen.operators.store import small
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def gap_matrix(aspects: DataFrame, reasons: DataFrame, required: DataFrame, keys
     a = aspects.select(F.explode("missing_aspects").alias("phrase"), F.lit(1).cast("long").alias("n"), F.lit("aspect").alias("kind"))
     r = reasons.select(F.col("reason").alias("phrase"), F.col("n_papers").alias("n"), F.lit("reason").alias("kind"))
     q = required.select(F.col("aspect").alias("phrase"), F.when(F.col("supported"), 0).otherwise(1).cast("long").alias("n"), F.lit("required").alias("kind"))
-    d = a.union(r).union(q).join(F.broadcast(keys), "phrase", "left").withColumn("gap_key", F.coalesce("gap_key", F.lit("general_relevance")))
+    d = a.union(r).union(q).join(small(keys), "phrase", "left").withColumn("gap_key", F.coalesce("gap_key", F.lit("general_relevance")))
     d = d.filter("gap_key <> 'general_relevance'").groupBy("gap_key").agg(F.sum("n").alias("signals"), F.array_join(F.sort_array(F.collect_set("phrase")), "; ").alias("related_aspects"))
     return d.filter("signals > 0").orderBy(F.col("signals").desc(), "gap_key").limit(k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscreen.operators.store import checkpointed
+from quillscreen.operators.store import checkpointed, small
 
 LOW_CONFIDENCE = ("missing_abstract", "missing_evidence", "unverified", "llm_invalid_evidence")
 
@@ -83,7 +83,7 @@ def screening_flow(items: DataFrame, raw_count: int, duplicate_count: int, top_k
 def ablation_deltas(runs: DataFrame, metrics: tuple[str, ...], baseline: str = "full_system") -> DataFrame:
     """Each run's metrics less those of its case's baseline; null where either is not a number."""
     base = runs.filter(F.col("config") == baseline).select("case_id", *[F.col(m).try_cast("double").alias(f"__{m}") for m in metrics])
-    d = runs.join(F.broadcast(base), "case_id", "left")
+    d = runs.join(small(base), "case_id", "left")
     return d.select("case_id", "config", *[(F.col(m).try_cast("double") - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics])
 
 

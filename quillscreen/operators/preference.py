@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
+from quillscreen.operators.store import small
 
 MIN_LABELS, TERMS, FEATURES = 4, 12, 500
 
@@ -25,7 +26,7 @@ def contrast(texts: DataFrame, labels: DataFrame, k: int = TERMS) -> DataFrame:
     Only labelled papers are counted, with map-side combine. A term needs three characters and a surplus; it scores the surplus
     plus a hundredth of its count, ties in descending order of the term.
     """
-    d = texts.join(F.broadcast(labels.filter(F.col("label").isin("include", "exclude")).select("paper_id", "label")), "paper_id")
+    d = texts.join(small(labels.filter(F.col("label").isin("include", "exclude")).select("paper_id", "label")), "paper_id")
     d = d.withColumn("__t", tx.tokens("text")).select("label", F.explode(terms("__t")).alias("term")).filter(F.length("term") >= 3)
     n = d.groupBy("term").agg(F.count_if(F.col("label") == "include").alias("inc"), F.count_if(F.col("label") == "exclude").alias("exc"))
     out = None
@@ -64,9 +65,10 @@ def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str
     n_pairs = F.greatest(F.size("__w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__w", F.lit(1), n_pairs), F.slice("__w", F.lit(2), n_pairs), lambda a, b: F.concat_ws(" ", a, b))
     d = d.select("paper_id", F.concat("__w", pairs).alias("grams"))
-    train = d.join(F.broadcast(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double")).persist()
+    train = d.join(small(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double")).persist()
     n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if sum(n.values()) < MIN_LABELS or len(n) < 2:
+        train.unpersist()
         return term_scores(texts, contrast(texts, labels))
     total = sum(n.values())
     counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=FEATURES, minDF=1.0).fit(train)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast up to so many rows and bytes, by the default sizes of its column types.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -19,3 +23,9 @@ def checkpointed(table: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return table.checkpoint()
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if it is within both bounds; beyond them the join shuffles. The table must be cheap to count."""
+    rows = min(BROADCAST_ROWS, BROADCAST_BYTES // table._jdf.schema().defaultSize())
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

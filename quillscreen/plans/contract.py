@@ -33,6 +33,7 @@ BESIDE_CONTEXT = (
     "na-ion battery", "potassium-ion battery", "potassium ion battery", "potassium battery", "k-ion battery", "magnesium-ion battery", "magnesium ion battery", "magnesium battery",
     "mg-ion battery",
 )
+#: Names of other chemistries, element symbols, and elements that count as concepts.
 DRIFT = (
     "sodium", "potassium", "zinc", "zn", "azib", "azibs", "magnesium", "beyond lithium-ion", "beyond lithium ion", "aqueous zinc-ion", "aqueous zinc ion", "sodium-ion battery",
     "sodium ion battery", "potassium-ion battery", "potassium ion battery", "zinc-ion battery", "zinc ion battery", "zinc-based battery", "zinc based battery", "zinc battery",
