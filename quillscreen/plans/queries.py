@@ -11,6 +11,7 @@ from quillscreen.functions import scoring as sc
 from quillscreen.functions import similarity as sim
 from quillscreen.functions import text as tx
 from quillscreen.operators import aspects, decisions, dedup, evidence, gaps, guardrail, metrics, preference, provenance, ranking, reading, roles, snowball
+from quillscreen.operators.store import checkpointed
 from quillscreen.plans import oracle as o
 from quillscreen.plans import papers as pp
 from quillscreen.plans import screening
@@ -629,8 +630,8 @@ _KEYS = {"articles": "language", "links": "language", "numbers": "evaluation", "
 sig AS (SELECT unnest(string_split(missing_aspects, ';')) AS phrase, 1 AS n FROM decided WHERE missing_aspects <> '' UNION ALL SELECT * FROM (SELECT r, count(*) AS c FROM (SELECT unnest(reasons) AS r FROM decided) GROUP BY r ORDER BY 2 DESC, 1 LIMIT 12) UNION ALL SELECT * FROM (VALUES ('numbers', 1), ('articles', 0)) v(a, b))
 SELECT gap_key, CAST(sum(n) AS BIGINT) AS signals, array_to_string(list_sort(list_distinct(list(phrase))), '; ') AS related_aspects FROM sig JOIN keys USING (phrase) GROUP BY gap_key ORDER BY 2 DESC, 1 LIMIT 8""")
 def gap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted gaps."""
-    d = decided(spark, sf_dir)
+    """Counted gaps. Two branches read the decisions, so their columns are evaluated once."""
+    d = checkpointed(decided(spark, sf_dir).select("missing_aspects", "exclusion_reasons"))
     required = spark.createDataFrame([("numbers", False), ("articles", True)], "aspect string, supported boolean")
     keys = spark.createDataFrame(list(_KEYS.items()), "phrase string, gap_key string")
     return gaps.gap_matrix(d.select("missing_aspects"), decisions.top_reasons(d), required, keys)
