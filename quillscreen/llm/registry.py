@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillscreen.llm import chat_format, decontaminate, language_id, pieces, pii, quality_rules, secrets, simhash, suffix_dedup, token_counts
+from quillscreen.llm import ball_trees, byte_pairs, chat_format, decontaminate, language_id, pieces, pii, quality_rules, secrets, simhash, suffix_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_ball_trees": ball_trees.op11_ball_trees,
+    "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
