@@ -13,7 +13,6 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -24,7 +23,9 @@ from quillscreen.functions import text as tx
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HITS = "array<struct<term:int,start:int>>"
-STANDING = "struct<found:array<int>,clear:array<int>>"
+STANDING = "struct<found:array<int>,clear:array<int>,words:array<int>>"
+#: What makes a neighbour part of the same token.
+ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: Automata of this process by their terms; a worker meets few lists.
 _built: dict[tuple[str, ...], ahocorasick.Automaton | None] = {}
 
@@ -132,12 +133,13 @@ def longest_first(text: Column, terms: Sequence[str]) -> Column:
 
 
 def standing(text: Column, needles: Sequence[str]) -> Column:
-    """``found``: the needles that occur; ``clear``: those with an occurrence that no word before or after it negates.
+    """``found``: the needles that occur; ``clear``: those with an occurrence that no word before or after it negates; ``words``: those that
+    occur between characters that are no lower-case ASCII letters or digits, as tokens do.
 
     The words of negation are looked for around hits only.
     """
     listed = tuple(needles)
-    sizes = np.array([len(n) for n in listed], int)
+    sizes = [len(n) for n in listed]
 
     def negated(t: str, start: int, end: int) -> bool:
         before, after = t[max(0, start - tx.BEFORE_CHARS) : start], t[end : end + tx.AFTER_CHARS]
@@ -145,16 +147,18 @@ def standing(text: Column, needles: Sequence[str]) -> Column:
 
     @F.arrow_udf(STANDING)
     def run(texts: pa.Array) -> pa.Array:
-        found, clear = [], []
+        parts: list[list[list[int]]] = [[], [], []]
         for t in texts:
-            t, met, free = t.as_py() or "", set(), set()
+            t, found, clear, words = t.as_py() or "", set(), set(), set()
             for n, start in occurrences(t, listed):
-                met.add(n)
-                if n not in free and not negated(t, start, start + int(sizes[n])):
-                    free.add(n)
-            found.append(sorted(met))
-            clear.append(sorted(free))
-        ints = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays([pa.array(found, ints), pa.array(clear, ints)], ["found", "clear"])
+                found.add(n)
+                end = start + sizes[n]
+                if n not in clear and not negated(t, start, end):
+                    clear.add(n)
+                if n not in words and t[start - 1 : start] not in ALNUM and t[end : end + 1] not in ALNUM:
+                    words.add(n)
+            for part, numbers in zip(parts, (found, clear, words), strict=True):
+                part.append(sorted(numbers))
+        return pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int32())) for p in parts], ["found", "clear", "words"])
 
     return run(text)

@@ -1,6 +1,7 @@
 """Domain guardrail: whether a paper is in scope of a contract, with the reasons, as one projection over the papers.
 
-Term groups are literals of the plan, so matching them is a narrow, shuffle-free expression whatever the number of papers.
+All spellings of all terms are found in one automaton pass over each text (``functions.matcher``), and negation is looked for around the hits
+only; the conditions then test small arrays of numbers. The projection is narrow: it never shuffles, whatever the number of papers.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
 from quillscreen.plans import contract as ct
 from quillscreen.plans.contract import Contract
@@ -51,16 +53,46 @@ def _share(flags: list[Column], empty: Column | float) -> Column:
     return sum((f.cast("int") for f in flags), F.lit(0)) / F.lit(float(len(flags))) if flags else (F.lit(empty) if isinstance(empty, float) else empty)
 
 
-def _strict_marker(where: Column, marker: str) -> Column:
-    return _any([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4], lambda v: tx.stands(where, v))
+class Spellings:
+    """What the guardrail looks for in one text column: every needle gets a number, and one pass of an automaton finds them all."""
 
+    def __init__(self, where: str) -> None:
+        self.where, self.numbers = where, {}
 
-def _chemistry_marker(where: Column, token_array: Column, marker: str) -> Column:
-    """Element symbols need boundaries, element names are concepts, other markers need one of their spellings."""
-    cleaned = tx.py_domain_text(marker)
-    if cleaned in ct.SYMBOLS:
-        return where.rlike(f"(?<![a-z0-9]){cleaned}(?![a-z0-9])")
-    return tx.has_concept(where, token_array, cleaned) if cleaned in ct.ELEMENTS else _strict_marker(where, cleaned)
+    def _hit(self, part: str, needles: list[str]) -> Column:
+        ids = [self.numbers.setdefault(n, len(self.numbers)) for n in needles]
+        return F.arrays_overlap(F.col(f"{self.where}_s.{part}"), F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
+
+    def clear(self, needles: list[str]) -> Column:
+        """A needle stands somewhere without a negation around it."""
+        return self._hit("clear", needles)
+
+    def concept(self, term: str) -> Column:
+        """tx.has_concept() on the numbers of the hits."""
+        cleaned = " ".join(term.lower().split())
+        if not cleaned:
+            return F.lit(False)
+        spelled, words = tx.variants(cleaned), sorted(set(tx.py_tokens(cleaned)))
+        if not words:
+            return self.clear(spelled)
+        loose = F.lit(True)
+        for w in words if len(words) == 1 else tx.py_folded(cleaned):
+            loose = loose & self._hit("words", tx.forms(w)) & (self.clear([w]) | ~self._hit("found", [w]))
+        return F.when(self._hit("found", spelled), self.clear(spelled)).otherwise(loose)
+
+    def strict(self, marker: str) -> Column:
+        return self.clear([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4])
+
+    def chemistry(self, marker: str) -> Column:
+        """Element symbols need boundaries, element names are concepts, other markers need one of their spellings."""
+        cleaned = tx.py_domain_text(marker)
+        if cleaned in ct.SYMBOLS:
+            return F.col(self.where).rlike(f"(?<![a-z0-9]){cleaned}(?![a-z0-9])")
+        return self.concept(cleaned) if cleaned in ct.ELEMENTS else self.strict(cleaned)
+
+    def column(self) -> Column:
+        """The hits, once all needles are known."""
+        return matcher.standing(F.col(self.where), list(self.numbers))
 
 
 def _broad_overview(title: Column) -> Column:
@@ -77,8 +109,8 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
         "paper_id", is_user_seed(papers).alias("is_seed"), tx.domain_text(joined_text(papers, TEXT_FIELDS)).alias("x"), tx.domain_text(joined_text(papers, ("title",))).alias("xt"),
         tx.domain_text(joined_text(papers, ("abstract", "tldr"))).alias("xa"),
     )
-    base = base.select("*", *[tx.tokens(c).alias(f"{c}_tok") for c in ("x", "xt", "xa")])
     asked: dict[tuple[str, str], str] = {}
+    spelled = {c: Spellings(c) for c in ("x", "xt", "xa")}
 
     def has(term: str, c: str = "x") -> Column:
         """A concept that several lists name is searched once, as a column."""
@@ -89,7 +121,7 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
     flags |= {f"reqt_{i}": _any(terms, lambda t: has(t, "xt")) for i, (_, terms) in enumerate(must)} | {f"reqa_{i}": _any(terms, lambda t: has(t, "xa")) for i, (_, terms) in enumerate(must)}
     required = [f"{name}: " + " OR ".join(terms) for name, terms in must] or tx.unique([*contract.must_include, *contract.required_concepts, *contract.must_terms], 14)
     lithium = contract.wants_lithium()
-    chem = lambda t: _chemistry_marker(F.col("x"), F.col("x_tok"), t)
+    chem = spelled["x"].chemistry
     nothing = F.array().cast("array<string>")
     target = tx.unique([*contract.terms_of("target_chemistry_group"), *ct.TARGET_CONTEXT])
     beside = tx.unique([*contract.terms_of("negative_context_group"), *ct.BESIDE_CONTEXT])
@@ -101,7 +133,8 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
         "positive": _found(tx.unique([*contract.positive, *required, *(t for _, terms in must for t in terms), *contract.synonyms], 40), has),
         "markers": _found(list(ct.DRIFT), chem) if lithium else nothing,
     }
-    found = {name: tx.has_concept(F.col(c), F.col(f"{c}_tok"), term) for (c, term), name in asked.items()}
+    found = {name: spelled[c].concept(term) for (c, term), name in asked.items()}
+    base = base.withColumns({f"{c}_s": s.column() for c, s in spelled.items() if s.numbers})
     d = base.withColumns(found).withColumns(flags).withColumns(lists) if found else base.withColumns(flags | lists)
     reqs, opts = [F.col(f"req_{i}") for i in range(len(must))], [F.col(f"opt_{i}") for i in range(len(optional))]
     drift = F.array_distinct(F.concat("markers", "beside"))

@@ -64,7 +64,9 @@ def classify(papers: DataFrame, rules=GENERIC_RULES, links: DataFrame | None = N
 
 
 def role_counts(roles: DataFrame) -> DataFrame:
-    return roles.select(F.explode("roles").alias("role")).groupBy("role").agg(F.count("*").alias("n_papers"))
+    # explode() would infer a filter on the array's size and push it to the scan, with all rules evaluated there a second time.
+    each = roles.select(F.explode_outer("roles").alias("role")).filter("role IS NOT NULL")
+    return each.groupBy("role").agg(F.count("*").alias("n_papers"))
 
 
 def mark_overbroad(roles: DataFrame) -> DataFrame:

@@ -39,3 +39,18 @@ def join_aggregate(rows: DataFrame, totals: DataFrame, on: list[str], how: str =
     """
     salted = [t.withColumn("__again", F.hash(*on)) for t in (rows, totals)]
     return salted[0].join(salted[1], [*on, "__again"], how).drop("__again")
+
+
+#: What one core reads of a file in one piece: about a row group.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, and of at most a row group for each, with its rows dealt over all cores.
+
+    A row group is read by one task, so the work on a small file would be serial. Larger tables have enough of them and are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = int(str(size)) <= cores * ROW_GROUP_BYTES and len(table.inputFiles()) < cores
+    return table.repartition(cores) if few else table

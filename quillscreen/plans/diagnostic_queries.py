@@ -16,6 +16,7 @@ from quillscreen.plans import queries as q
 from quillscreen.plans import screening
 from quillscreen.plans.papers import papers, quoted, sql_collapsed, sql_title_key, sql_tokens
 from quillscreen.sources import importers, providers, rows, sinks
+from quillscreen.streaming import run_log
 
 FROM_PAPERS, query, table = q.FROM_PAPERS, q.query, q.table
 PATTERNS = ("public license", "de la", "that-the", "der", "la", "2024")
@@ -282,3 +283,24 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: evidence and verification as flat rows."""
     d = rows.evidence_rows(screening.with_evidence(papers(spark, sf_dir), q.QUESTION))
     return d.select("paper_id", "title", "claim", "evidence_sentence", "keyword_overlap", "support_level", "strict_span_validated", "missing_abstract")
+
+
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), s AS (SELECT user_id, string_agg(event_type || '=' || n, ';' ORDER BY event_type) AS stages FROM n GROUP BY 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events WHERE ts IS NOT NULL)
+SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors, count(*) AS n_masked, any_value(stages) AS stages, min(ts) AS first_ts, max(ts) AS last_ts,
+       max('{"event":"' || event_id || '","session_token":"[redacted]"}') FILTER (WHERE k = 1) AS last_details FROM l JOIN s USING (user_id) GROUP BY user_id""")
+def run_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.11, K9, S25, A25: the event log as a stateful stream, stopped in the middle and continued; every tenth event is delivered twice."""
+    e = table(spark, sf_dir, "events")
+    log = e.select(
+        F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("string").alias("event_id"), "ts", F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.col("event_type").alias("stage"),
+        F.lit("message").alias("message"), F.create_map(F.lit("session_token"), F.concat(F.lit("secret"), F.col("user_id").cast("string")), F.lit("event"), F.col("event_id").cast("string")).alias("details"), (F.col("event_id") % 10 == 0).alias("twice"),
+    )
+    log = log.withColumn("copy", F.explode(F.when(F.col("twice"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("twice", "copy")
+    middle = e.select(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5))).first()[0]
+    base = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
+    for part in (log.filter(F.col("ts") < F.lit(middle)), log.filter(F.col("ts") >= F.lit(middle))) if middle else (log,):
+        part.write.mode("append").json(f"{base}/log")
+        run_log.follow(run_log.read(spark, f"{base}/log"), f"{base}/summaries", f"{base}/state")
+    d = run_log.latest(spark, f"{base}/summaries")
+    return d.withColumn("stages", F.array_join(F.transform(F.array_sort(F.map_entries("stages")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";"))

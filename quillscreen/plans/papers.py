@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
+from quillscreen.operators.store import dealt
 from quillscreen.plans.contract import Contract, Group
 
 NOW_YEAR = 2026
@@ -32,7 +33,7 @@ ROLE_RULES = (
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
     i, whole = F.col("doc_id"), tx.collapsed("text")
     other = F.lit("")
     return d.select(

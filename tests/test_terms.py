@@ -59,8 +59,8 @@ def test_standing_equals_the_expressions(spark):
     needles = ["sei", "oxide", "sei film", "absent"]
     d = texts(spark, values).withColumn("s", matcher.standing(F.col("text"), needles))
     each = [F.coalesce(F.col("text"), F.lit("")).contains(n).alias(f"f{i}") for i, n in enumerate(needles)] + [tx.stands(F.coalesce(F.col("text"), F.lit("")), n).alias(f"c{i}") for i, n in enumerate(needles)]
-    for r in d.select("s", *each).collect():
-        assert r.s.found == [i for i in range(4) if r[f"f{i}"]] and r.s.clear == [i for i in range(4) if r[f"c{i}"]]
+    for r in d.select("s", tx.tokens("text").alias("t"), *each).collect():
+        assert r.s.found == [i for i in range(4) if r[f"f{i}"]] and r.s.clear == [i for i in range(4) if r[f"c{i}"]] and {needles[i] for i in r.s.words} - {"sei film"} == {"sei", "oxide", "absent"} & set(r.t)
 
 
 # ---- glossary
