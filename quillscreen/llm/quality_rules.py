@@ -5,12 +5,11 @@ hold it, removes lines held by more than ``max_docs`` documents of the host, and
 ``min_left`` of its words.
 
 A normalised line is lower-cased, its ASCII digits are dropped and its words are joined by one space, so numbered variants of
-a footer count as one line. Only lines of at least ``min_line_words`` words count, as a line of a word or two repeats by
-chance.
+a footer count as one line. Every line with a word counts, however short.
 
-Defined cases: a null text has no words and fails the base rules; documents without a host share one; every row is a document,
-so repeated rows count and each get the same verdict; rows that share an id but not the text are told apart; an empty table
-gives no rows; extra columns are ignored.
+Defined cases: a null text has no words and fails the base rules; documents without a host share one; a document is an id with
+its text, so rows that repeat it count once towards the frequency of a line and each get the same verdict, and rows that share
+an id but not the text are told apart; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,15 +58,16 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_left: float = 0.5, min_line_words: int = 3) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_left: float = 0.5) -> DataFrame:
     """The base figures with ``base_failed``, ``n_removed_words`` (words on lines above the limit) and ``kept``."""
     rows = cut(base_rules(docs, id_col, text_col, host_col))
-    counted = F.filter("lines", lambda x: x["n"] >= min_line_words)
+    counted = F.filter("lines", lambda x: x["n"] > 0)
     # A null host is an empty one here, told apart by a flag, so that plain equality joins.
     host = [F.coalesce("host", F.lit("")).alias("in_host"), F.col("host").isNull().alias("no_host")]
     at = ["h", "in_host", "no_host"]
-    per_doc = rows.select(*host, F.explode(F.array_distinct(F.transform(counted, lambda x: x["h"]))).alias("h"))
-    frequent = per_doc.groupBy(*at).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
+    document = F.xxhash64("doc_id", "text_hash").alias("document")
+    per_doc = rows.select(*host, document, F.explode(F.array_distinct(F.transform(counted, lambda x: x["h"]))).alias("h"))
+    frequent = per_doc.groupBy(*at).agg(F.count_distinct("document").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
     lines = rows.select("doc_id", "host", "text_hash", *host, F.explode(counted).alias("x")).select("doc_id", "host", "text_hash", "in_host", "no_host", "x.h", "x.n")
     key = ["doc_id", "host", "text_hash"]
     # Rows that agree in the whole key would add up, so the sum is divided by their number below.
@@ -90,17 +90,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS m FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT rid, i, list_slice(w, i, i + 4) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c >= 2),
 rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM dup) GROUP BY rid),
-ln AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS l FROM d),
-lw AS (SELECT rid, source, l, list_filter(string_split_regex(lower(translate(l, '0123456789', '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS nw
+ln AS (SELECT rid, doc_id, m, source, unnest(string_split(t, chr(10))) AS l FROM d),
+lw AS (SELECT rid, doc_id, m, source, l, list_filter(string_split_regex(lower(translate(l, '0123456789', '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS nw
        FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dl AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lw GROUP BY rid),
-k AS (SELECT rid, source, len(nw) AS n, array_to_string(nw, ' ') AS s FROM lw WHERE len(nw) >= 3),
-freq AS (SELECT source, s FROM k GROUP BY source, s HAVING count(DISTINCT rid) > 20),
+k AS (SELECT rid, doc_id, m, source, len(nw) AS n, array_to_string(nw, ' ') AS s FROM lw WHERE len(nw) > 0),
+freq AS (SELECT source, s FROM k GROUP BY source, s HAVING count(DISTINCT {'i': doc_id, 'm': m}) > 20),
 rem AS (SELECT k.rid, sum(k.n) AS n FROM k JOIN freq f ON k.s = f.s AND k.source IS NOT DISTINCT FROM f.source GROUP BY k.rid),
 f AS (
   SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

@@ -286,6 +286,38 @@ def test_token_counts_by_each_way_to_the_texts(spark, docs, monkeypatch, rows):
     same(token_counts.count_tokens(docs, path, cache).collect(), want)
 
 
+def test_short_footers_and_repeated_rows(spark):
+    """Lines of one or two words count like any other; a document that is read twenty times over is one document."""
+    footers = "\n".join(f"{a} {b}" for a, b in zip(WORDS[:8], WORDS[8:16], strict=True))
+    shared = [(i, f"{footers}\n{prose(8, random.Random(i))} {i}x", "h") for i in range(60)]
+    once = [(1000, "\n".join(f"{w} line of its own" for w in WORDS[:12]), "h")] * 25
+    alone = [(2000 + i, "\n".join([*(f"{w}{w} {i}y" for w in WORDS[:12]), "menu"]), None) for i in range(20)]
+    got = {}
+    for r in quality_rules.quality_rules(spark.createDataFrame(shared + once + alone, "doc_id long, text string, source string").repartition(5)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert all(not got[i][0].kept and not got[i][0].base_failed and got[i][0].n_removed_words == 16 for i in range(60))
+    assert len(got[1000]) == 25 and all(r.kept and r.n_removed_words == 0 for r in got[1000])
+    assert all(got[2000 + i][0].n_removed_words == 0 for i in range(20))
+
+
+def test_quality_sql_on_frequent_lines(spark, tmp_path):
+    """The SQL agrees where lines pass the limit, with nulls, repeated rows and short lines."""
+    import duckdb
+
+    rng = random.Random(3)
+    lines = [*WORDS[:6], "home 1", "home 2", "about us", "", "99", "all rights kept 2024"]
+    rows = [(rng.choice([None, *range(90)]), "\n".join([*rng.sample(lines, 6), prose(rng.randint(1, 14), rng)]), rng.choice(["a", "b", None])) for _ in range(300)] + [(1, None, "a"), (2, "", None)]
+    rows += rows[:40]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({quality_rules.SQL})").fetchall()
+    got = quality_rules.op7_quality_rules(spark, str(tmp_path)).select(*names).collect()
+    same(got, want)
+    assert {(r.base_failed, r.kept) for r in got} == {(True, False), (False, True), (False, False)}
+
+
 def test_quality_figures(spark, docs, empty):
     def brute(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
