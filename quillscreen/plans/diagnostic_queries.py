@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
@@ -15,7 +15,7 @@ from quillscreen.plans import papers as pp
 from quillscreen.plans import queries as q
 from quillscreen.plans import screening
 from quillscreen.plans.papers import papers, quoted, sql_collapsed, sql_title_key, sql_tokens
-from quillscreen.sources import importers, providers, rows, sinks
+from quillscreen.sources import importers, providers, retrieval, rows, sinks
 from quillscreen.streaming import run_log
 
 FROM_PAPERS, query, table = q.FROM_PAPERS, q.query, q.table
@@ -291,7 +291,7 @@ SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS n_events, count(*) FILTER (W
        max('{"event":"' || event_id || '","session_token":"[redacted]"}') FILTER (WHERE k = 1) AS last_details FROM l JOIN s USING (user_id) GROUP BY user_id""")
 def run_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.11, K9, S25, A25: the event log as a stateful stream, stopped in the middle and continued; every tenth event is delivered twice."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     log = e.select(
         F.col("user_id").cast("string").alias("run"), F.col("event_id").cast("string").alias("event_id"), "ts", F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.col("event_type").alias("stage"),
         F.lit("message").alias("message"), F.create_map(F.lit("session_token"), F.concat(F.lit("secret"), F.col("user_id").cast("string")), F.lit("event"), F.col("event_id").cast("string")).alias("details"), (F.col("event_id") % 10 == 0).alias("twice"),
@@ -300,7 +300,41 @@ def run_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = e.select(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5))).first()[0]
     base = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
     for part in (log.filter(F.col("ts") < F.lit(middle)), log.filter(F.col("ts") >= F.lit(middle))) if middle else (log,):
-        part.write.mode("append").json(f"{base}/log")
+        run_log.write(part, f"{base}/log")
         run_log.follow(run_log.read(spark, f"{base}/log"), f"{base}/summaries", f"{base}/state")
-    d = run_log.latest(spark, f"{base}/summaries")
+    d = run_log.latest(spark, f"{base}/summaries").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
     return d.withColumn("stages", F.array_join(F.transform(F.array_sort(F.map_entries("stages")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";"))
+
+
+_ASKED = """a AS (SELECT DISTINCT coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents), r AS (SELECT s, l, trim(s || ' ' || l) AS q, unnest([{'p': 'openalex', 'm': 'keyword', 'g': 'openalex_keyword'}, {'p': 'openalex', 'm': 'semantic', 'g': 'openalex_semantic'}, {'p': 'semantic_scholar', 'm': 'keyword', 'g': 'semantic_scholar'}]) AS x FROM a)"""
+
+
+@query(f"""WITH {_ASKED}, d AS (SELECT coalesce(source, '') AS s, coalesce(lang, '') AS l, doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL),
+k AS (SELECT s, l, x.p AS p, string_agg(CASE x.p WHEN 'openalex' THEN 'openalex:W' ELSE 's2:' END || doc_id, ';' ORDER BY doc_id) AS ids, count(*) AS n_papers, count(*) FILTER (WHERE x.p = 'openalex' OR n % 2 = 0) AS n_missing_abstract FROM d JOIN r USING (s, l) WHERE n <= 25 AND x.m = 'keyword' AND l <> 'es' GROUP BY 1, 2, 3)
+SELECT x.p AS provider, x.g AS stage, q AS query, x.m = 'keyword' AND r.l <> 'es' AS cached, CASE WHEN x.m = 'keyword' AND r.l <> 'es' THEN '' ELSE 'ConnectionError' END AS error, coalesce(CASE WHEN x.m = 'keyword' THEN n_papers END, 0) AS n_papers, coalesce(CASE WHEN x.m = 'keyword' THEN n_missing_abstract END, 0) AS n_missing_abstract,
+       CASE WHEN x.m = 'keyword' THEN ids END AS ids, CASE WHEN x.m = 'keyword' AND n_papers > 0 THEN x.p || '|' || x.g || '|' || q || '|keyword' END AS stamped FROM r LEFT JOIN k ON r.s = k.s AND r.l = k.l AND r.x.p = k.p WHERE q <> ''""")
+def retrieval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests planned from the hosts and languages of documents, answered from recorded payloads of 25 results at most.
+
+    The recorded answers leave out semantic searches and one language, whose requests reach the data source and come back as error rows.
+    """
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), "doc_id", F.col("text").isNotNull().alias("some"))
+    each = F.explode(F.array(*[F.lit(p) for p in ("openalex", "semantic_scholar")])).alias("provider")
+    asked = d.select("s", "l").distinct().select("s", "l", each, F.trim(F.concat_ws(" ", "s", "l")).alias("query"), F.lit(25).alias("max_results"), F.lit(None).cast("int").alias("from_year"))
+    first = d.filter("some").withColumn("n", F.row_number().over(Window.partitionBy("s", "l").orderBy("doc_id"))).filter("n <= 25")
+    i = F.col("doc_id").cast("string")
+    openalex = F.to_json(F.struct(F.concat(F.lit("W"), i).alias("id"), F.concat(F.lit("Title "), i).alias("title")))
+    scholar = F.to_json(F.struct(i.alias("paperId"), F.concat(F.lit("Title "), i).alias("title"), F.when(F.col("n") % 2 == 1, "text").alias("abstract")))
+    items = lambda item: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda x: x["x"]), ",")
+    answers = first.groupBy("s", "l").agg(items(openalex).alias("o"), items(scholar).alias("h"))
+    keyed = retrieval.plan(asked).filter("search_mode = 'keyword' AND query NOT LIKE '% es' AND query <> 'es'")
+    named = asked.select("s", "l", "provider", "query").join(answers, ["s", "l"]).drop("s", "l")
+    payload = F.when(F.col("provider") == "openalex", F.concat(F.lit('{"results":['), "o", F.lit("]}"))).otherwise(F.concat(F.lit('{"data":['), "h", F.lit("]}")))
+    path = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
+    keyed.join(named, ["provider", "query"]).withColumn("payload", payload).select(*retrieval.REQUEST, "payload").write.parquet(path)
+    papers_, told = retrieval.retrieve(asked, path, {"openalex": retrieval.Offline(), "semantic_scholar": retrieval.Offline()})
+    stamped = F.concat_ws("|", "retrieval_provider", "retrieval_stage", "retrieval_query", "source_stage")
+    number = F.regexp_extract("paper_id", "[0-9]+$", 0).cast("long")
+    ids = papers_.groupBy("cache_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("k"), "paper_id"))), lambda x: x["paper_id"]), ";").alias("ids"), F.max(stamped).alias("stamped"))
+    out = told.filter("query <> ''").join(ids, "cache_key", "left")
+    return out.select("provider", F.col("retrieval_stage").alias("stage"), "query", "cached", "error", "n_papers", "n_missing_abstract", "ids", "stamped")

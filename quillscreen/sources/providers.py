@@ -1,7 +1,7 @@
 """Normalisation of provider payloads to papers: four services, each a projection over its JSON or XML.
 
-Payloads are columns, so a bronze table of raw responses becomes a silver table of papers in one scan. No network is used
-here; a fetcher writes the bronze table, keyed by ``cache_key``.
+Payloads are columns, so a bronze table of raw responses becomes a silver table of papers in one scan; ``keep`` names columns of the bronze table
+that each paper carries on. No network is used here; a fetcher (``sources.retrieval``) writes the bronze table, keyed by ``cache_key``.
 """
 
 from __future__ import annotations
@@ -44,26 +44,26 @@ def _first(*cols: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c) for c in cols], F.lit(""))
 
 
-def openalex(bronze: DataFrame, payload: str = "payload") -> DataFrame:
-    r = bronze.select(F.posexplode(F.from_json(payload, OPENALEX)["results"]).alias("hit", "r"))
+def openalex(bronze: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    r = bronze.select(*keep, F.posexplode(F.from_json(payload, OPENALEX)["results"]).alias("hit", "r"))
     c = lambda p: F.col(f"r.{p}")
     authors = F.filter(F.transform(F.coalesce(c("authorships"), F.array()), lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), lambda x: x != "")
     return r.select(
-        F.concat(F.lit("openalex:"), c("id")).alias("paper_id"), _first(c("title"), c("display_name")).alias("title"), abstract_of(c("abstract_inverted_index")).alias("abstract"), authors.alias("authors"), c("publication_year").alias("year"),
+        *keep, F.concat(F.lit("openalex:"), c("id")).alias("paper_id"), _first(c("title"), c("display_name")).alias("title"), abstract_of(c("abstract_inverted_index")).alias("abstract"), authors.alias("authors"), c("publication_year").alias("year"),
         _first(c("primary_location.source.display_name"), c("host_venue.display_name")).alias("venue"), tx.doi_key(c("doi")).alias("doi"), _first(c("primary_location.landing_page_url"), c("id")).alias("url"), F.lit("openalex").alias("source_provider"),
         F.create_map(F.lit("openalex"), c("id")).alias("provider_ids"), F.coalesce(c("cited_by_count"), F.lit(0)).alias("citation_count"), F.coalesce(c("relevance_score"), F.lit(0.0)).alias("api_relevance_score"), F.coalesce(c("relevance_score"), F.lit(0.0)).alias("openalex_relevance_score"),
         F.coalesce(c("publication_date"), F.lit("")).alias("publication_date"), F.array_distinct(F.concat(_names(c("concepts"), "display_name"), _names(c("topics"), "display_name"))).alias("fields_of_study"), _first(c("open_access.oa_url"), c("primary_location.pdf_url")).alias("open_access_pdf_url"),
     ).filter("title <> ''")
 
 
-def semantic_scholar(bronze: DataFrame, payload: str = "payload") -> DataFrame:
+def semantic_scholar(bronze: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """The relevance of a hit is one over its rank."""
-    r = bronze.select(F.posexplode(F.from_json(payload, SEMANTIC_SCHOLAR)["data"]).alias("hit", "r"))
+    r = bronze.select(*keep, F.posexplode(F.from_json(payload, SEMANTIC_SCHOLAR)["data"]).alias("hit", "r"))
     c = lambda p: F.col(f"r.{p}")
     none = F.array().cast("array<string>")
     ids = F.map_concat(F.create_map(F.lit("semantic_scholar"), c("paperId")), F.coalesce(F.transform_keys(c("externalIds"), lambda k, v: F.lower(k)), F.create_map().cast("map<string,string>")))
     return r.select(
-        F.concat(F.lit("s2:"), c("paperId")).alias("paper_id"), F.coalesce(c("title"), F.lit("")).alias("title"), F.coalesce(c("abstract"), F.lit("")).alias("abstract"), _names(c("authors"), "name").alias("authors"), c("year").alias("year"), F.coalesce(c("venue"), F.lit("")).alias("venue"),
+        *keep, F.concat(F.lit("s2:"), c("paperId")).alias("paper_id"), F.coalesce(c("title"), F.lit("")).alias("title"), F.coalesce(c("abstract"), F.lit("")).alias("abstract"), _names(c("authors"), "name").alias("authors"), c("year").alias("year"), F.coalesce(c("venue"), F.lit("")).alias("venue"),
         tx.doi_key(F.element_at(F.coalesce(c("externalIds"), F.create_map().cast("map<string,string>")), "DOI")).alias("doi"), F.coalesce(c("url"), F.lit("")).alias("url"), F.lit("semantic_scholar").alias("source_provider"), ids.alias("provider_ids"), F.coalesce(c("citationCount"), F.lit(0)).alias("citation_count"),
         (F.lit(1.0) / (F.col("hit") + 1)).alias("api_relevance_score"), (F.col("hit") + 1).alias("semantic_scholar_rank"), F.coalesce(c("publicationDate"), F.lit("")).alias("publication_date"), F.coalesce(c("publicationTypes"), none).alias("publication_types"),
         F.array_distinct(F.concat(F.coalesce(c("fieldsOfStudy"), none), _names(c("s2FieldsOfStudy"), "category"))).alias("fields_of_study"), F.coalesce(c("influentialCitationCount"), F.lit(0)).alias("influential_citation_count"), F.coalesce(c("referenceCount"), F.lit(0)).alias("reference_count"),
@@ -71,13 +71,13 @@ def semantic_scholar(bronze: DataFrame, payload: str = "payload") -> DataFrame:
     ).filter("title <> ''")
 
 
-def crossref(bronze: DataFrame, payload: str = "payload") -> DataFrame:
-    r = bronze.select(F.posexplode(F.from_json(payload, CROSSREF)["message"]["items"]).alias("hit", "r"))
+def crossref(bronze: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    r = bronze.select(*keep, F.posexplode(F.from_json(payload, CROSSREF)["message"]["items"]).alias("hit", "r"))
     c = lambda p: F.col(f"r.{p}")
     year = F.coalesce(*[F.get(F.get(c(f"`{p}`.`date-parts`"), F.lit(0)), F.lit(0)) for p in ("published-print", "published-online", "published", "issued")])
     authors = F.filter(F.transform(F.coalesce(c("author"), F.array()), lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), lambda x: x != "")
     return r.select(
-        F.concat(F.lit("crossref:"), tx.doi_key(c("DOI"))).alias("paper_id"), F.coalesce(F.get(c("title"), F.lit(0)), F.lit("")).alias("title"), tx.strip_html(c("abstract")).alias("abstract"), authors.alias("authors"), year.alias("year"), F.coalesce(F.get(c("`container-title`"), F.lit(0)), F.lit("")).alias("venue"),
+        *keep, F.concat(F.lit("crossref:"), tx.doi_key(c("DOI"))).alias("paper_id"), F.coalesce(F.get(c("title"), F.lit(0)), F.lit("")).alias("title"), tx.strip_html(c("abstract")).alias("abstract"), authors.alias("authors"), year.alias("year"), F.coalesce(F.get(c("`container-title`"), F.lit(0)), F.lit("")).alias("venue"),
         tx.doi_key(c("DOI")).alias("doi"), F.coalesce(c("URL"), F.lit("")).alias("url"), F.lit("crossref").alias("source_provider"), F.coalesce(c("`is-referenced-by-count`"), F.lit(0)).alias("citation_count"), F.coalesce(c("subject"), F.array().cast("array<string>")).alias("fields_of_study"),
     ).filter("title <> ''")
 

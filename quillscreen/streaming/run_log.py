@@ -42,6 +42,11 @@ def mask(value: Any) -> Any:
     return [mask(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
+def write(events: DataFrame, path: str) -> None:
+    """Adds events to a log as JSON files, to the microsecond."""
+    events.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
 def append(spark: SparkSession, path: str, run: str, stage: str, message: str, details: dict[str, Any] | None = None, level: str = "info", event_id: str | None = None) -> None:
     """Adds one event to the log of a run: a new JSON file in its folder, masked before it is written."""
     import json
@@ -50,7 +55,7 @@ def append(spark: SparkSession, path: str, run: str, stage: str, message: str, d
     flat = {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in mask(details or {}).items()}
     row = (run, event_id or uuid.uuid4().hex, level, stage, message, flat)
     one = spark.createDataFrame([row], "run string, event_id string, level string, stage string, message string, details map<string,string>")
-    one.withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
+    write(one.withColumn("ts", F.current_timestamp()).coalesce(1), path)
 
 
 def clean(events: DataFrame) -> DataFrame:
