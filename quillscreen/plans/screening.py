@@ -55,8 +55,8 @@ def components(d: DataFrame, now_year: int, relevance_col: str = "hybrid_relevan
     return d.withColumns({"relevance": rel, "evidence": sc.evidence(F.col("supported"), F.col("confidence"), F.col("keyword_overlap")), "recency": sc.recency(F.col("year"), now_year), "quality": sc.quality(F.col("citation_count"), F.col("venue"))})
 
 
-def screen(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
-    """Ranked papers with all assessments; switches turn the guardrail or the aspects off for ablations."""
+def assess(papers: DataFrame, contract: Contract, now_year: int, use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
+    """The papers with all that is said about each on its own: evidence, aspects, guardrail and score parts, without a shuffle."""
     d = with_evidence(papers, contract.question)
     if use_aspects:
         d = aspects.coverage(d, contract.aspects, keep=True)
@@ -64,15 +64,28 @@ def screen(papers: DataFrame, contract: Contract, now_year: int, profile: str =
         d = d.withColumns({"covered_aspects": F.array().cast("array<string>"), "missing_aspects": F.array().cast("array<string>"), "aspect_coverage_score": F.lit(0.0)})
     if use_guardrail:
         d = guardrail.assess(d, contract, keep=True).withColumns({"centrality": F.col("intent_centrality_score"), "multiplier": sc.domain_multiplier(F.col("domain_decision"))})
-    d = components(relevance(d, contract), now_year)
-    return ranking.rank(d, contract.weights or sc.weights(profile))
+    return components(relevance(d, contract), now_year)
+
+
+def screen(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
+    """Ranked papers with all assessments; switches turn the guardrail or the aspects off for ablations."""
+    return ranking.rank(assess(papers, contract, now_year, use_guardrail, use_aspects), contract.weights or sc.weights(profile))
+
+
+def classified(papers: DataFrame, role_rules) -> DataFrame:
+    """The papers with their roles and primary role."""
+    return roles.classify(papers, role_rules, into="__role").withColumns({c: F.col(f"__role.{c}") for c in ("roles", "primary_role")}).drop("__role")
+
+
+def decide_ranked(ranked: DataFrame, contract: Contract) -> DataFrame:
+    """The research adjustments and the decisions of ranked papers with their roles."""
+    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True)
 
 
 def screen_and_decide(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> DataFrame:
     """screen(), the research adjustments, and the decisions, in one row per paper."""
-    d = roles.classify(papers, role_rules, into="__role").withColumns({c: F.col(f"__role.{c}") for c in ("roles", "primary_role")}).drop("__role")
-    ranked = screen(roles.mark_overbroad(d).drop("overbroad_roles"), contract, now_year, profile)
-    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True)
+    ranked = screen(roles.mark_overbroad(classified(papers, role_rules)).drop("overbroad_roles"), contract, now_year, profile)
+    return decide_ranked(ranked, contract)
 
 
 def flagship(papers: DataFrame, question: str, now_year: int, k: int = 20) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
 from quillscreen.operators import anchors, glossary
+from quillscreen.operators.store import checkpoint_dir
+from quillscreen.plans import incremental
 from quillscreen.plans import oracle as o
 from quillscreen.plans import queries as q
 from quillscreen.plans.contract import Group
-from quillscreen.plans.papers import quoted, sql_collapsed, sql_sentences, sql_tokens
+from quillscreen.plans.papers import CONTRACT, NOW_YEAR, ROLE_RULES, papers, quoted, sql_collapsed, sql_sentences, sql_tokens
 
 query, table, lit = q.query, q.table, o.lit
 
@@ -218,3 +222,16 @@ def acronym_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = table(spark, sf_dir, "documents").select("doc_id", text.alias("q"))
     return d.select("doc_id", anchors.lone_word("q").alias("lone_word"), anchors.lone_acronym("q").alias("lone_acronym"), anchors.listed_acronym("q").alias("listed_acronym"))
+
+
+# ---- screening after an expansion ---------------------------------------------------------------------------------------
+
+
+@query(q.SQL["screening_decision"])
+def expanded_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All papers screened after a run over four fifths of them; only the contents that are new are assessed."""
+    folder = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
+    p = papers(spark, sf_dir)
+    incremental.assess_missing(p.filter("input_ord % 5 <> 0"), CONTRACT, NOW_YEAR, folder, ROLE_RULES)
+    d, _ = incremental.screen_again(p, CONTRACT, NOW_YEAR, folder, role_rules=ROLE_RULES)
+    return d.select("paper_id", "decision", "primary_reason", F.array_join("exclusion_reasons", ";").alias("reasons"), F.round("decision_confidence", 6).alias("decision_confidence"), "reading_priority", "suggested_action")
