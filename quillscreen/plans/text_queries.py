@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
-from quillscreen.operators import anchors, glossary
+from quillscreen.operators import anchors, glossary, run_metrics
 from quillscreen.operators.store import checkpoint_dir
 from quillscreen.plans import incremental
 from quillscreen.plans import oracle as o
@@ -235,3 +235,41 @@ def expanded_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     incremental.assess_missing(p.filter("input_ord % 5 <> 0"), CONTRACT, NOW_YEAR, folder, ROLE_RULES)
     d, _ = incremental.screen_again(p, CONTRACT, NOW_YEAR, folder, role_rules=ROLE_RULES)
     return d.select("paper_id", "decision", "primary_reason", F.array_join("exclusion_reasons", ";").alias("reasons"), F.round("decision_confidence", 6).alias("decision_confidence"), "reading_priority", "suggested_action")
+
+
+# ---- run evaluation -----------------------------------------------------------------------------------------------------
+
+RUN_PATTERNS = ("public license", "de-la", "42")
+METRICS = [*run_metrics.standard_metrics(), *run_metrics.grid()]
+
+
+def _metrics_sql() -> str:
+    e = "title || ' ' || abstract"
+    for name, char in tx.ENTITIES.items():
+        e = f"replace({e}, {lit(name)}, {lit(char)})"
+    e = f"translate(regexp_replace({e}, '<[^>]+>', ' ', 'g'), '{tx.DASHES}\u00a0', '{'-' * len(tx.DASHES)} ')"
+    one = lambda w, f: f"regexp_matches({w}, '(^|[^a-z0-9]){f}($|[^a-z0-9])')" if len(f) <= 3 else f"contains({w}, '{f}')"
+    found = " OR ".join(one(w, f) for p in RUN_PATTERNS for f in {p, p.replace("-", " ")} for w in ("f", "g"))
+    holds = run_metrics.HOLDS | {"negative_term": "negative_matches <> ''", run_metrics.TEXT: found}
+    parts = []
+    for m in METRICS:
+        at = f"({run_metrics.SETS[m.of]})" + (f" AND rank <= {m.top}" if m.top else "")
+        hit = at + (f" AND {'NOT ' if m.but_not else ''}coalesce(({holds[m.where]}), false)" if m.where else "")
+        if m.measure == run_metrics.MEAN:
+            value = f"avg({m.column}) FILTER ({at})"
+        elif m.measure == run_metrics.SHARE:
+            value = f"count(*) FILTER ({hit}) / nullif(count(*) FILTER ({at}), 0)"
+        else:
+            value = f"count(*) FILTER ({hit})"
+        listed = f"coalesce(string_agg(rank, ',' ORDER BY rank) FILTER ({hit}), '')" if m.measure == run_metrics.RANKS else "NULL"
+        parts.append(f"{{'metric': {lit(m.name)}, 'value': CAST(round({value}, 6) AS DOUBLE), 'listed': CAST({listed} AS VARCHAR)}}")
+    return o.DECISIONS + f""", t0 AS (SELECT *, {sql_collapsed(f'lower({e})')} AS f FROM decided), t1 AS (SELECT *, replace(f, '-', ' ') AS g FROM t0),
+m AS (SELECT question_id, unnest([{', '.join(parts)}]) AS m FROM t1 GROUP BY question_id)
+SELECT question_id, m.metric AS metric, m.value AS value, m.listed AS listed FROM m"""
+
+
+@query(_metrics_sql())
+def run_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named metrics of a run and the grid of counts and means, from one pass over the ranked papers."""
+    d = run_metrics.evaluate(q.decided(spark, sf_dir), METRICS, RUN_PATTERNS, ("title", "abstract"))
+    return run_metrics.long(d).withColumn("value", F.round("value", 6))
