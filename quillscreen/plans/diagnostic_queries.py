@@ -15,7 +15,7 @@ from quillscreen.plans import papers as pp
 from quillscreen.plans import queries as q
 from quillscreen.plans import screening
 from quillscreen.plans.papers import papers, quoted, sql_collapsed, sql_title_key, sql_tokens
-from quillscreen.sources import importers, providers, retrieval, rows, sinks
+from quillscreen.sources import feeds, importers, providers, retrieval, rows, sinks
 from quillscreen.streaming import run_log
 
 FROM_PAPERS, query, table = q.FROM_PAPERS, q.query, q.table
@@ -338,3 +338,32 @@ def retrieval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = papers_.groupBy("cache_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("k"), "paper_id"))), lambda x: x["paper_id"]), ";").alias("ids"), F.max(stamped).alias("stamped"))
     out = told.filter("query <> ''").join(ids, "cache_key", "left")
     return out.select("provider", F.col("retrieval_stage").alias("stage"), "query", "cached", "error", "n_papers", "n_missing_abstract", "ids", "stamped")
+
+
+_ENTRY = "lpad(CAST(doc_id AS VARCHAR), 9, '0')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:4] AS w, lang, md5(coalesce(text, '')) AS m FROM documents)
+SELECT 'arxiv:2401.' || {_ENTRY} AS paper_id, array_to_string(w, ' ') AS title, m AS abstract, 'First & Author;Second <' || doc_id || '>' AS authors, CASE WHEN doc_id % 13 <> 0 THEN 2000 + doc_id % 27 END AS year, CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || doc_id % 200 ELSE '' END AS doi,
+       'cs.' || coalesce(upper(lang), 'NONE') || ';math' AS fields, '' AS defect FROM d WHERE doc_id % 37 <> 5 AND len(w) > 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'malformed:' || {_ENTRY} FROM d WHERE doc_id % 37 = 5 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no title:' || {_ENTRY} FROM d WHERE doc_id % 37 <> 5 AND len(w) = 0""")
+def arxiv_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An Atom feed written from documents and read back, with its namespaces; entries with crossed tags and without a title are kept aside."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.regexp_extract_all(tx.text("text"), F.lit("[A-Za-z]+"), F.lit(0)), 1, 4).alias("w"), "lang", F.md5(tx.text("text")).alias("m"))
+    i, number = F.col("doc_id"), F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name.split()[0]}>"))
+    author = lambda v: tag("author", tag("name", v))
+    broken = F.when(i % 37 == 5, "<title>crossed</summary>").otherwise("")
+    entry = tag("entry", F.concat(
+        tag("id", F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v2"))), broken, tag("title", F.concat(F.lit("  "), F.array_join("w", "\n   "))), tag("summary", F.col("m")),
+        tag("published", F.when(i % 13 != 0, F.concat((2000 + i % 27).cast("string"), F.lit("-05-01T10:00:00Z"))).otherwise("unknown")), author(F.lit("First &amp; Author")), author(F.concat(F.lit("Second &lt;"), i.cast("string"), F.lit("&gt;"))),
+        F.when(i % 3 == 0, tag('arxiv:doi xmlns:arxiv="http://arxiv.org/schemas/atom"', F.concat(F.lit("10.1000/"), (i % 200).cast("string")))).otherwise(""),
+        F.lit('<category term="cs.'), F.coalesce(F.upper("lang"), F.lit("NONE")), F.lit('"/><category term="math"/>'),
+    ))
+    path = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
+    d.select(F.regexp_replace(entry, "\n", " ").alias("value")).write.text(path)
+    good, bad = feeds.read(spark, path)
+    none = F.lit(None).cast("string")
+    shown = good.select("paper_id", "title", "abstract", F.array_join("authors", ";").alias("authors"), "year", "doi", F.array_join("fields_of_study", ";").alias("fields"), F.lit("").alias("defect"))
+    aside = bad.select(*[none.alias(c) for c in ("paper_id", "title", "abstract", "authors")], F.lit(None).cast("int").alias("year"), none.alias("doi"), none.alias("fields"), F.concat_ws(":", "defect", F.regexp_extract("entry", r"2401\.([0-9]{9})", 1)).alias("defect"))
+    return shown.unionByName(aside)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
-from quillscreen.operators import anchors, glossary, run_metrics
+from quillscreen.operators import anchors, glossary, run_metrics, term_groups
 from quillscreen.operators.store import checkpoint_dir
 from quillscreen.plans import incremental
 from quillscreen.plans import oracle as o
@@ -273,3 +273,24 @@ def run_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named metrics of a run and the grid of counts and means, from one pass over the ranked papers."""
     d = run_metrics.evaluate(q.decided(spark, sf_dir), METRICS, RUN_PATTERNS, ("title", "abstract"))
     return run_metrics.long(d).withColumn("value", F.round("value", 6))
+
+
+# ---- groups of terms ------------------------------------------------------------------------------------------------------
+
+_MINED = """w AS (SELECT regexp_extract_all(lower(text), '[a-z]{2,}') AS w, lang FROM documents WHERE text IS NOT NULL), mined AS (SELECT array_to_string(w[1:2], ' ') AS term, lang = 'en' AS core FROM w WHERE len(w) >= 3
+UNION ALL SELECT array_to_string(w[1:3], ' '), false FROM w WHERE len(w) >= 3 UNION ALL SELECT w[1][1] || w[2][1] || w[3][1], false FROM w WHERE len(w) >= 3),
+t AS (SELECT term, coalesce(bool_or(core), false) AS required FROM mined GROUP BY term), i AS (SELECT term, array_to_string(list_transform(string_split(term, ' '), lambda x: x[1]), '') AS short FROM t WHERE contains(term, ' ')),
+e0 AS (SELECT a.term AS a, b.term AS b FROM t a, t b WHERE a.term <> b.term AND contains(b.term, a.term) UNION SELECT short, term FROM i WHERE short IN (SELECT term FROM t)), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), l0 AS (SELECT term, term AS l FROM t)"""
+_ROUNDS = ", ".join(f"l{k} AS (SELECT l.term, least(l.l, coalesce(min(n.l), l.l)) AS l FROM l{k - 1} l LEFT JOIN e ON e.a = l.term LEFT JOIN l{k - 1} n ON n.term = e.b GROUP BY l.term, l.l)" for k in range(1, 25))
+
+
+@query(f"WITH {_MINED}, {_ROUNDS} SELECT l AS label, count(*) AS n_terms, bool_or(required) AS required, md5(string_agg(term, ';' ORDER BY term)) AS terms_md5 FROM l24 JOIN t USING (term) GROUP BY l")
+def alias_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms mined from the beginnings of documents, two and three words and their initials, in groups of aliases."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select(w.alias("w"), (F.col("lang") == "en").alias("core")).filter(F.size("w") >= 3)
+    first = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    short = F.array_join(F.transform(F.slice("w", 1, 3), lambda x: F.substring(x, 1, 1)), "")
+    mined = d.select(F.explode(F.array(F.struct(first(2).alias("term"), "core"), F.struct(first(3).alias("term"), F.lit(False).alias("core")), F.struct(short.alias("term"), F.lit(False).alias("core")))).alias("m")).select("m.*")
+    g = term_groups.alias_groups(mined, "term", "core")
+    return g.groupBy("label").agg(F.count("*").alias("n_terms"), F.bool_or("group_required").alias("required"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), ";")).alias("terms_md5"))

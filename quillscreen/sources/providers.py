@@ -82,12 +82,12 @@ def crossref(bronze: DataFrame, payload: str = "payload", keep: tuple[str, ...]
     ).filter("title <> ''")
 
 
-def arxiv(entries: DataFrame) -> DataFrame:
-    """``entries`` as Spark's XML reader gives them with rowTag ``entry``: id, title, summary, published, author, category."""
+def arxiv(entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``entries`` as Spark's XML reader gives them with rowTag ``entry``: id, title, summary, published, author, category; ``keep`` can name ``doi``."""
     kinds = dict(entries.dtypes)
     people = F.transform("author", lambda a: a["name"]) if kinds["author"].startswith("array") else F.array(F.col("author.name"))
     terms = F.transform("category", lambda a: a["_term"]) if kinds["category"].startswith("array") else F.array(F.col("category._term"))
     return entries.select(
         F.concat(F.lit("arxiv:"), F.regexp_extract("id", r"([^/]+?)(v[0-9]+)?$", 1)).alias("paper_id"), tx.collapsed("title").alias("title"), tx.collapsed("summary").alias("abstract"), people.alias("authors"), F.substring(F.col("published").cast("string"), 1, 4).try_cast("int").alias("year"),
-        F.lit("arXiv").alias("venue"), F.lit("").alias("doi"), F.col("id").alias("url"), F.lit("arxiv").alias("source_provider"), F.substring(F.col("published").cast("string"), 1, 10).alias("publication_date"), terms.alias("fields_of_study"),
+        F.lit("arXiv").alias("venue"), (tx.doi_key("doi") if "doi" in keep else F.lit("")).alias("doi"), F.col("id").alias("url"), F.lit("arxiv").alias("source_provider"), F.substring(F.col("published").cast("string"), 1, 10).alias("publication_date"), terms.alias("fields_of_study"),
     ).filter("title <> ''")
