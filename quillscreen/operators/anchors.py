@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
-from quillscreen.operators.store import join_aggregate, small
+from quillscreen.operators.store import exploded, join_aggregate, small
 from quillscreen.plans.contract import Group
 
 Terms = tuple[str, ...]
@@ -143,11 +143,10 @@ def anchor_hits(texts: DataFrame, terms: Sequence[str], text_col: str = "text")
     cleaned = [plain(t) for t in terms]
     token_sets = [sorted(set(tx.py_tokens(t))) for t in cleaned]
     index = spark.createDataFrame([(w, i, len(ws)) for i, ws in enumerate(token_sets) for w in ws], "token string, anchor int, n int")
-    # The outer form, as explode() would infer a filter on the array and push it down, where all of it is computed a second time.
-    tokens = texts.select(F.col(text_col).alias("text"), F.explode_outer(F.array_distinct(tx.tokens(text_col))).alias("token")).filter("token IS NOT NULL")
+    tokens = exploded(texts.select(F.col(text_col).alias("text")), F.array_distinct(tx.tokens("text")), "token", "text")
     counted = tokens.join(small(index), "token").groupBy("text", "anchor", "n").agg(F.count("*").cast("int").alias("shared"))
     enough = counted.filter((F.col("shared") == F.col("n")) | ((F.col("n") > 2) & (F.col("shared") >= 2)))
-    inside = texts.select(F.col(text_col).alias("text"), matcher.first_hits(F.col(text_col), cleaned).alias("h")).select("text", F.explode_outer("h.term").alias("anchor")).filter("anchor IS NOT NULL")
+    inside = exploded(texts.select(F.col(text_col).alias("text"), matcher.first_hits(F.col(text_col), cleaned).alias("h")), "h.term", "anchor", "text")
     both = enough.select("text", "anchor", "shared", (F.col("shared") == F.col("n")).alias("full")).unionByName(inside.select("text", "anchor", F.lit(0).alias("shared"), F.lit(True).alias("full")))
     return both.groupBy("text", "anchor").agg(F.max("shared").alias("shared"), F.bool_or("full").alias("full"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
 from quillscreen.operators.guardrail import is_user_seed, priority_limited
+from quillscreen.operators.store import exploded
 
 WEAK = ("missing_evidence", "unverified", "weak_support", "llm_invalid_evidence")
 TOP_RANK, TOP_SCORE, TOP_COVERAGE, TOP_CENTRALITY, TOP_FOCUS = 12, 0.72, 0.85, 0.78, 0.65
@@ -98,7 +99,7 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
 
 def top_reasons(decisions: DataFrame, k: int = 12) -> DataFrame:
     """The k most common exclusion reasons, ties by name."""
-    n = decisions.select(F.explode("exclusion_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_papers"))
+    n = exploded(decisions, "exclusion_reasons", "reason").groupBy("reason").agg(F.count("*").alias("n_papers"))
     return n.orderBy(F.col("n_papers").desc(), "reason").limit(k)
 
 

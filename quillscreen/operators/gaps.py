@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
-from quillscreen.operators.store import small
+from quillscreen.operators.store import exploded, small
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def tensions(papers: DataFrame, rules: tuple[TensionRule, ...]) -> DataFrame:
     """``tension_key, n_papers, confidence`` of every rule that a paper supports; one pass over the papers for all rules."""
     low = papers.select("paper_id", folded(F.concat_ws(" ", tx.text("title"), tx.text("abstract"))).alias("x"))
     hits = [F.struct(F.lit(r.key).alias("tension_key"), F.lit(bool(r.side_a and r.side_b)).alias("sided"), _any(F.col("x"), r.side_a).alias("a"), _any(F.col("x"), r.side_b).alias("b"), _any(F.col("x"), (*r.markers, *r.side_a, *r.side_b)).alias("any")) for r in rules]
-    d = low.select("paper_id", F.explode(F.filter(F.array(*hits), lambda h: h["any"])).alias("h")).select("paper_id", "h.*")
+    d = exploded(low, F.filter(F.array(*hits), lambda h: h["any"]), "h", "paper_id").select("paper_id", "h.*")
     n = F.count_distinct("paper_id")
     sure = F.when(F.first("sided"), F.when(F.bool_or("a") & F.bool_or("b"), 0.82).otherwise(0.56)).otherwise(F.least(F.lit(0.9), 0.5 + 0.1 * n))
     return d.groupBy("tension_key").agg(n.alias("n_papers"), F.round(sure, 2).alias("confidence"))
@@ -58,7 +58,7 @@ def gap_matrix(aspects: DataFrame, reasons: DataFrame, required: DataFrame, keys
     Signals are missing aspects (one each), exclusion reasons (their counts, unless general) and required aspects without a supporting
     paper (one). ``keys`` maps a phrase to its gap; unknown phrases are general.
     """
-    a = aspects.select(F.explode("missing_aspects").alias("phrase"), F.lit(1).cast("long").alias("n"), F.lit("aspect").alias("kind"))
+    a = exploded(aspects, "missing_aspects", "phrase").select("phrase", F.lit(1).cast("long").alias("n"), F.lit("aspect").alias("kind"))
     r = reasons.select(F.col("reason").alias("phrase"), F.col("n_papers").alias("n"), F.lit("reason").alias("kind"))
     q = required.select(F.col("aspect").alias("phrase"), F.when(F.col("supported"), 0).otherwise(1).cast("long").alias("n"), F.lit("required").alias("kind"))
     d = a.union(r).union(q).join(small(keys), "phrase", "left").withColumn("gap_key", F.coalesce("gap_key", F.lit("general_relevance")))
@@ -70,6 +70,6 @@ def supporting_titles(items: DataFrame, gap_terms: dict[str, tuple[str, ...]], k
     """``gap_key, pos, paper_id``: for each gap the first k papers by rank that mention one of its terms."""
     low = F.lower(F.concat_ws(" ", tx.text("title"), tx.text("abstract")))
     flags = F.array(*[F.struct(F.lit(g).alias("gap_key"), _any(F.col("__x"), terms).alias("hit")) for g, terms in gap_terms.items()])
-    d = items.withColumn("__x", low).select("paper_id", "rank", F.explode(F.filter(flags, lambda f: f["hit"])).alias("f")).select("paper_id", "rank", "f.gap_key")
+    d = exploded(items.withColumn("__x", low), F.filter(flags, lambda f: f["hit"]), "f", "paper_id", "rank").select("paper_id", "rank", "f.gap_key")
     w = Window.partitionBy("gap_key").orderBy("rank")
     return d.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
 from quillscreen.operators.guardrail import is_user_seed
+from quillscreen.operators.store import exploded
 
 #: Section, groups it draws on (none: all ranked papers), priorities it accepts, and its size; an empty section with a
 #: fallback takes the first ranked papers with those priorities.
@@ -96,7 +97,7 @@ def auto_seeds(items: DataFrame, n: int = 5) -> DataFrame:
 
 def keywords(items: DataFrame, k: int = 6) -> DataFrame:
     """The k most frequent tokens of the titles and abstracts of included papers, ties by token."""
-    t = items.filter(F.col("decision") == "include").select(F.explode(F.concat(tx.tokens("title"), tx.tokens("abstract"))).alias("token"))
+    t = exploded(items.filter(F.col("decision") == "include"), F.concat(tx.tokens("title"), tx.tokens("abstract")), "token")
     return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
+from quillscreen.operators.store import exploded
 
 #: Roles in order of precedence.
 PRIORITY = (
@@ -64,9 +65,7 @@ def classify(papers: DataFrame, rules=GENERIC_RULES, links: DataFrame | None = N
 
 
 def role_counts(roles: DataFrame) -> DataFrame:
-    # explode() would infer a filter on the array's size and push it to the scan, with all rules evaluated there a second time.
-    each = roles.select(F.explode_outer("roles").alias("role")).filter("role IS NOT NULL")
-    return each.groupBy("role").agg(F.count("*").alias("n_papers"))
+    return exploded(roles, "roles", "role").groupBy("role").agg(F.count("*").alias("n_papers"))
 
 
 def mark_overbroad(roles: DataFrame) -> DataFrame:

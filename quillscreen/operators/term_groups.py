@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
 from quillscreen.operators.anchors import Frame
-from quillscreen.operators.store import checkpointed, join_aggregate
+from quillscreen.operators.store import checkpointed, exploded, join_aggregate
 from quillscreen.plans.contract import BESIDE_CONTEXT, TARGET_CONTEXT, Group
 
 #: Terms are phrases of a few words; longer texts are no terms.
@@ -108,7 +108,7 @@ def alias_links(terms: DataFrame) -> DataFrame:
     starts = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("term"), i, F.lit(n)))
     none = F.array().cast("array<string>")
     parts = [F.when(size > n, starts(n)).otherwise(none) for n in lengths]
-    held = one.filter(size <= LONGEST).select(F.col("term").alias("b"), F.explode_outer(F.array_distinct(F.concat(*parts)) if parts else none).alias("a")).filter("a IS NOT NULL")
+    held = exploded(one.filter(size <= LONGEST).withColumnRenamed("term", "b").withColumn("term", F.col("b")), F.array_distinct(F.concat(*parts)) if parts else none, "a", "b")
     words = F.filter(F.split(F.replace("term", F.lit("-"), F.lit(" ")), " "), lambda w: w != "")
     short = one.select(F.col("term").alias("b"), F.when(F.size(words) > 1, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")).alias("a")).filter("a IS NOT NULL AND a <> b")
     both = held.unionByName(short, allowMissingColumns=False)
