@@ -71,7 +71,7 @@ def test_inverted_index_keeps_the_last_word_of_a_position(spark):
 
 
 def test_spellings_and_plurals():
-    assert tx.variants("Li-ion battery") == ["li-ion battery", "li ion battery", "li-ion-battery", "li-ion batteries", "li-ionbattery"]
+    assert sorted(tx.variants("Li-ion battery")) == sorted(["li-ion battery", "li ion battery", "li-ion-battery", "li-ion batteries", "li-ionbattery"])
     assert tx.py_folded("batteries dies gas glass cats") == ["batteries", "battery", "cat", "cats", "die", "dies", "gas", "glas", "glass"]
     assert tx.forms("battery") == ["battery", "batteries", "batterys"] and tx.forms("die") == ["die", "dies"] and "movies" not in tx.forms("movie")
 
