@@ -133,32 +133,39 @@ def listed_acronym(query: str | Column) -> Column:
 # ---- hits ------------------------------------------------------------------------------------------------------------
 
 
+def text_key(text: str | Column) -> Column:
+    """What stands for a text in all rows about it, so that no shuffle repeats the text itself."""
+    return F.md5(tx.text(text))
+
+
 def anchor_hits(texts: DataFrame, terms: Sequence[str], text_col: str = "text") -> DataFrame:
-    """``text, anchor, shared, full``: one row per pair of a text and a term that meet, with the tokens they share.
+    """``key, anchor, shared, full``: one row per pair of a distinct plain text and a term that meet, with the tokens they share.
 
-    ``texts`` holds distinct plain texts; ``anchor`` is the number of the term. ``full`` says that the text holds the term or all its tokens;
-    other rows share at least two tokens with a term of more.
+    ``key`` is the text's ``text_key`` and ``anchor`` the number of the term. ``full`` says that the text holds the term or all its tokens; other rows
+    share at least two tokens with a term of more. The texts are shuffled once, to find the distinct ones, and the pairs are counted where they lie.
     """
-    spark = texts.sparkSession
     cleaned = [plain(t) for t in terms]
     token_sets = [sorted(set(tx.py_tokens(t))) for t in cleaned]
-    index = spark.createDataFrame([(w, i, len(ws)) for i, ws in enumerate(token_sets) for w in ws], "token string, anchor int, n int")
-    tokens = exploded(texts.select(F.col(text_col).alias("text")), F.array_distinct(tx.tokens("text")), "token", "text")
-    counted = tokens.join(small(index), "token").groupBy("text", "anchor", "n").agg(F.count("*").cast("int").alias("shared"))
-    enough = counted.filter((F.col("shared") == F.col("n")) | ((F.col("n") > 2) & (F.col("shared") >= 2)))
-    inside = exploded(texts.select(F.col(text_col).alias("text"), matcher.first_hits(F.col(text_col), cleaned).alias("h")), "h.term", "anchor", "text")
-    both = enough.select("text", "anchor", "shared", (F.col("shared") == F.col("n")).alias("full")).unionByName(inside.select("text", "anchor", F.lit(0).alias("shared"), F.lit(True).alias("full")))
-    return both.groupBy("text", "anchor").agg(F.max("shared").alias("shared"), F.bool_or("full").alias("full"))
+    index = texts.sparkSession.createDataFrame([(w, i, len(ws)) for i, ws in enumerate(token_sets) for w in ws], "token string, indexed int, n int")
+    d = texts.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+    d = d.withColumn("h", matcher.first_hits(F.col("text"), cleaned))
+    shared = F.transform(F.array_distinct(tx.tokens("text")), lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("inside")))
+    inside = F.transform("h", lambda h: F.struct(F.lit(None).cast("string").alias("token"), h["term"].alias("inside")))
+    met = exploded(d, F.concat(shared, inside), "m", "key").select("key", "m.token", "m.inside").join(small(index), "token", "left")
+    met = met.withColumn("anchor", F.coalesce("inside", "indexed")).filter("anchor IS NOT NULL")
+    counted = met.groupBy("key", "anchor").agg(F.count("indexed").cast("int").alias("shared"), F.max("n").alias("n"), F.count_if(F.col("inside").isNotNull()).alias("inside"))
+    full = (F.col("inside") > 0) | F.coalesce(F.col("shared") == F.col("n"), F.lit(False))
+    return counted.select("key", "anchor", "shared", full.alias("full"), "n").filter(F.col("full") | ((F.col("n") > 2) & (F.col("shared") >= 2))).drop("n")
 
 
 def hit_counts(texts: DataFrame, anchors: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """One row per text with any hit: ``any_<kind>`` and ``full_<kind>``, the numbers of distinct terms of each kind with a hit and with a full one."""
+    """One row per ``key`` of a text with any hit: ``any_<kind>`` and ``full_<kind>``, the numbers of distinct terms of each kind with a hit and with a full one."""
     terms = [(kind, t) for kind, ts in anchors.items() for t in {plain(t): t for t in ts}.values() if plain(t)]
     found = anchor_hits(texts, [t for _, t in terms], text_col)
     of = {kind: [i for i, (k, _) in enumerate(terms) if k == kind] for kind in anchors}
     within = lambda kind: F.col("anchor").isin(of[kind]) if of[kind] else F.lit(False)
     each = [c for kind in anchors for c in (F.count_if(within(kind)).alias(f"any_{kind}"), F.count_if(within(kind) & F.col("full")).alias(f"full_{kind}"))]
-    return found.groupBy("text").agg(*each)
+    return found.groupBy("key").agg(*each)
 
 
 # ---- the gate --------------------------------------------------------------------------------------------------------
@@ -239,9 +246,9 @@ def gate(queries: DataFrame, frame: Frame | None, groups: Sequence[Group] = (),
     required = required_anchor_groups(groups)
     anchors = frame.anchors() | {f"{GROUP}{i}": terms for i, (_, terms) in enumerate(required)}
     low = F.col("__plain")
-    d = queries.withColumn("__plain", plain_column(query_col))
-    found = hit_counts(d.select("__plain").distinct(), anchors, "__plain").withColumnRenamed("text", "__plain")
-    d = join_aggregate(d, found.withColumnsRenamed({c: f"__{c}" for c in found.columns if c != "__plain"}), ["__plain"], "left")
+    d = queries.withColumn("__plain", plain_column(query_col)).withColumn("__key", text_key("__plain"))
+    found = hit_counts(d.select("__plain"), anchors, "__plain")
+    d = join_aggregate(d, found.withColumnsRenamed({c: f"__{c}" for c in found.columns}), ["__key"], "left")
     n = lambda kind, how="any": F.coalesce(F.col(f"__{how}_{kind}"), F.lit(0))
     missing = F.filter(F.array(*[F.when(n(f"{GROUP}{i}") == 0, F.lit(name)) for i, (name, _) in enumerate(required)]), lambda v: v.isNotNull()) if required else none
     core, second = bool(anchors[CORE]), bool(anchors[SECONDARY])

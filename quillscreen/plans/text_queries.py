@@ -199,10 +199,10 @@ SELECT doc_id, count(*) AS n_hits, count(*) FILTER (WHERE is_full) AS n_full, md
 def anchor_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hits of all benchmark terms in whole documents by the T-occurrence join."""
     d = table(spark, sf_dir, "documents").select("doc_id", anchors.plain_column("text").alias("low"))
-    h = anchors.anchor_hits(d.select("low").distinct(), benchmark_terms(spark, sf_dir), "low").withColumnRenamed("text", "low")
+    h = anchors.anchor_hits(d.select("low"), benchmark_terms(spark, sf_dir), "low")
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("anchor", "full"))), lambda x: F.concat(x["anchor"].cast("string"), F.when(x["full"], "+").otherwise("-"))), ",")
-    per = h.groupBy("low").agg(F.count("*").alias("n_hits"), F.count_if("full").alias("n_full"), F.md5(told).alias("hits_md5"))
-    return anchors.join_aggregate(d, per, ["low"]).drop("low")
+    per = h.groupBy("key").agg(F.count("*").alias("n_hits"), F.count_if("full").alias("n_full"), F.md5(told).alias("hits_md5"))
+    return anchors.join_aggregate(d.select("doc_id", anchors.text_key("low").alias("key")), per, ["key"]).drop("key")
 
 
 _VARIANTS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN w WHEN 1 THEN upper(substr(w, 1, 4)) WHEN 2 THEN '+\"' || upper(w) || '\"' WHEN 3 THEN w || ' and ' || w WHEN 4 THEN '(' || w || ') OR ' ELSE ['sei', 'LLM', 'Review', '+\"MOF\"', 'AND CO2', '+ai'][doc_id % 6 + 1 + (doc_id // 6) % 6 - 5] END AS q FROM (SELECT doc_id, coalesce(regexp_extract(text, '[A-Za-z]+', 0), '') AS w FROM documents)"
