@@ -3,7 +3,7 @@
 Anchors are found by a T-occurrence join: the tokens of the distinct query texts meet an inverted index from tokens to anchors, and the shared
 tokens of each (text, anchor) pair are counted. All tokens of an anchor make a full hit, two a loose one if the anchor has more than two.
 Anchors inside words or across them, which share no token, come from one automaton pass over the text (``functions.matcher``) and are full hits.
-Only texts that differ are matched, so a query that many rows repeat is looked at once.
+Only texts that differ are counted, so a query that many rows repeat is joined once.
 
 Defined cases: a null query is the empty one; repeated rows and repeated ids each get their verdict; an empty table gives no rows; other columns are kept.
 """
@@ -142,15 +142,18 @@ def anchor_hits(texts: DataFrame, terms: Sequence[str], text_col: str = "text")
     """``key, anchor, shared, full``: one row per pair of a distinct plain text and a term that meet, with the tokens they share.
 
     ``key`` is the text's ``text_key`` and ``anchor`` the number of the term. ``full`` says that the text holds the term or all its tokens; other rows
-    share at least two tokens with a term of more. The texts are shuffled once, to find the distinct ones, and the pairs are counted where they lie.
+    share at least two tokens with a term of more. One shuffle finds the distinct texts by their keys, and the pairs are counted where they lie.
     """
     cleaned = [plain(t) for t in terms]
     token_sets = [sorted(set(tx.py_tokens(t))) for t in cleaned]
     index = texts.sparkSession.createDataFrame([(w, i, len(ws)) for i, ws in enumerate(token_sets) for w in ws], "token string, indexed int, n int")
-    d = texts.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    d = d.withColumn("h", matcher.first_hits(F.col("text"), cleaned))
-    shared = F.transform(F.array_distinct(tx.tokens("text")), lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("inside")))
-    inside = F.transform("h", lambda h: F.struct(F.lit(None).cast("string").alias("token"), h["term"].alias("inside")))
+    known = sorted({w for ws in token_sets for w in ws})
+    # Only what can meet a term is shuffled to find the distinct texts, not the texts.
+    own = F.array_intersect(tx.tokens("text"), F.array(*[F.lit(w) for w in known])) if known else F.array().cast("array<string>")
+    d = texts.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).withColumn("h", matcher.first_hits(F.col("text"), cleaned))
+    d = d.select("key", own.alias("own"), F.col("h.term").alias("h")).dropDuplicates(["key"])
+    shared = F.transform("own", lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("inside")))
+    inside = F.transform("h", lambda t: F.struct(F.lit(None).cast("string").alias("token"), t.alias("inside")))
     met = exploded(d, F.concat(shared, inside), "m", "key").select("key", "m.token", "m.inside").join(small(index), "token", "left")
     met = met.withColumn("anchor", F.coalesce("inside", "indexed")).filter("anchor IS NOT NULL")
     counted = met.groupBy("key", "anchor").agg(F.count("indexed").cast("int").alias("shared"), F.max("n").alias("n"), F.count_if(F.col("inside").isNotNull()).alias("inside"))
