@@ -26,6 +26,8 @@ HITS = "array<struct<term:int,start:int>>"
 STANDING = "struct<found:array<int>,clear:array<int>,words:array<int>>"
 #: What makes a neighbour part of the same token.
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: Needles up to which each is looked for on its own, by the string search of the language; it stops at the first hit that tells all.
+FEW = 64
 #: Automata of this process by their terms; a worker meets few lists.
 _built: dict[tuple[str, ...], ahocorasick.Automaton | None] = {}
 
@@ -136,29 +138,40 @@ def standing(text: Column, needles: Sequence[str]) -> Column:
     """``found``: the needles that occur; ``clear``: those with an occurrence that no word before or after it negates; ``words``: those that
     occur between characters that are no lower-case ASCII letters or digits, as tokens do.
 
-    The words of negation are looked for around hits only.
+    The words of negation are looked for around hits only, and a needle is left as soon as all three are known of it. Beyond ``FEW`` needles the
+    automaton tells which ones a text holds.
     """
     listed = tuple(needles)
-    sizes = [len(n) for n in listed]
+    before, after, room, rest = tx.NEGATED_BEFORE, tx.NEGATED_AFTER, tx.BEFORE_CHARS, tx.AFTER_CHARS
+    sought = [n for n, needle in enumerate(listed) if needle.strip()]
 
     def negated(t: str, start: int, end: int) -> bool:
-        before, after = t[max(0, start - tx.BEFORE_CHARS) : start], t[end : end + tx.AFTER_CHARS]
-        return any(m in before for m in tx.NEGATED_BEFORE) or any(m in after for m in tx.NEGATED_AFTER)
+        left, right = t[max(0, start - room) : start], t[end : end + rest]
+        return any(m in left for m in before) or any(m in right for m in after)
 
     @F.arrow_udf(STANDING)
     def run(texts: pa.Array) -> pa.Array:
         parts: list[list[list[int]]] = [[], [], []]
         for t in texts:
-            t, found, clear, words = t.as_py() or "", set(), set(), set()
-            for n, start in occurrences(t, listed):
-                found.add(n)
-                end = start + sizes[n]
-                if n not in clear and not negated(t, start, end):
-                    clear.add(n)
-                if n not in words and t[start - 1 : start] not in ALNUM and t[end : end + 1] not in ALNUM:
-                    words.add(n)
+            t, found, clear, words = t.as_py() or "", [], [], []
+            for n in sought if len(sought) <= FEW else sorted({n for n, _ in occurrences(t, listed)}):
+                needle = listed[n]
+                start = t.find(needle)
+                if start < 0:
+                    continue
+                found.append(n)
+                stands = whole = False
+                while start >= 0 and not (stands and whole):
+                    end = start + len(needle)
+                    stands = stands or not negated(t, start, end)
+                    whole = whole or (t[start - 1 : start] not in ALNUM and t[end : end + 1] not in ALNUM)
+                    start = t.find(needle, start + 1)
+                if stands:
+                    clear.append(n)
+                if whole:
+                    words.append(n)
             for part, numbers in zip(parts, (found, clear, words), strict=True):
-                part.append(sorted(numbers))
+                part.append(numbers)
         return pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int32())) for p in parts], ["found", "clear", "words"])
 
     return run(text)

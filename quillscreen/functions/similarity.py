@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Smooth idf over two documents: a term of only one of them.
 LONE_IDF = math.log(1.5) + 1
 
@@ -47,7 +54,7 @@ def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), sq
 
     With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored array of the text's
     lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter. ``squares`` is
-    their stored square_sum() and ``counts`` their stored counts of the query's words, as a formula names each several times.
+    their stored square_sum() and ``counts`` their stored counts of the query's words, both of with_counts(), as a formula names each several times.
     """
     q = Counter(query_words(query, stop_words))
     if not q:
@@ -62,10 +69,10 @@ def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), sq
 
 
 def words(c: str | Column, stop_words: tuple[str, ...] = ()) -> Column:
-    """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped, sorted."""
+    """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped, in order."""
     # Whole runs need no word boundaries, which cost most of the search; so the stop words are dropped afterwards.
     found = F.regexp_extract_all(F.lower(tx.text(c)), F.lit(r"(?U)\w{2,}+"), F.lit(0))
-    return F.sort_array(F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found)
+    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
 def query_words(query: str, stop_words: tuple[str, ...] = ()) -> list[str]:
@@ -73,8 +80,42 @@ def query_words(query: str, stop_words: tuple[str, ...] = ()) -> list[str]:
     return [w for w in re.findall(r"\b\w\w+\b", query.lower()) if w not in stop_words]
 
 
-def with_counts(d: DataFrame, words: str, queries: list[str], stop_words: tuple[str, ...], to: str) -> tuple[DataFrame, dict[str, Column]]:
-    """``d`` with the counts of all words of the queries as columns named after ``to``, and these columns by word."""
+STATS = "struct<squares:double,counts:array<int>>"
+
+
+def word_stats(words: Column, wanted: Sequence[str]) -> Column:
+    """``squares``, the square_sum() of an array of words, and ``counts``, how often each wanted word is in it, from one pass over a batch.
+
+    The words of a batch become numbers once, and the equal (row, number) pairs are counted together; an expression would walk the array
+    once for every wanted word.
+    """
+    listed = list(wanted)
+
+    @F.arrow_udf(STATS)
+    def run(arrays: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        rows, k = len(arrays), len(listed)
+        coded = arrays.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        at = pc.list_parent_indices(arrays).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, n = np.unique(at * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, number = pairs // size, pairs % size
+        squares = np.bincount(row, weights=n.astype(np.float64) ** 2, minlength=rows)
+        place = np.full(size, -1, np.int64)
+        for i, w in enumerate(listed):
+            found = pc.index(coded.dictionary, w).as_py()
+            if found >= 0:
+                place[found] = i
+        counts, hit = np.zeros((rows, k), np.int32), place[number] >= 0
+        counts[row[hit], place[number[hit]]] = n[hit]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * k), pa.array(counts.reshape(-1)))
+        return pa.StructArray.from_arrays([pa.array(squares), lists], ["squares", "counts"])
+
+    return run(words)
+
+
+def with_counts(d: DataFrame, words: str, queries: list[str], stop_words: tuple[str, ...], to: str) -> tuple[DataFrame, Column, dict[str, Column]]:
+    """``d`` with the word_stats() of a stored array as the column ``to``, its square_sum(), and the counts of all words of the queries by word."""
     every = sorted({w for q in queries for w in query_words(q, stop_words)})
-    names = {w: f"{to}{i}" for i, w in enumerate(every)}
-    return d.withColumns({n: _count(F.col(words), w) for w, n in names.items()}), {w: F.col(n) for w, n in names.items()}
+    return d.withColumn(to, word_stats(F.col(words), every)), F.col(f"{to}.squares"), {w: F.get(F.col(f"{to}.counts"), F.lit(i)) for i, w in enumerate(every)}

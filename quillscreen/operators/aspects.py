@@ -31,14 +31,14 @@ def coverage(papers: DataFrame, aspects: tuple[str, ...], stop_words: tuple[str,
     """
     wanted = [a for a in aspects if a]
     d = papers.withColumn("__x", joined_text(papers, ("title", "abstract", "tldr", "fields_of_study", "claim", "evidence_sentence")))
-    d = d.withColumns({"__low": F.lower("__x"), "__tok": tx.tokens("__x"), "__words": sim.words("__x", stop_words)}).withColumn("__sq", sim.square_sum(F.col("__words")))
+    d = d.withColumns({"__low": F.lower("__x"), "__tok": tx.runs("__x"), "__words": sim.words("__x", stop_words)})
     flags = {}
-    d, counts = sim.with_counts(d, "__words", [t for a in wanted for t in parse(a)[1] or [parse(a)[0]]], stop_words, "__n")
+    d, squares, counts = sim.with_counts(d, "__words", [t for a in wanted for t in parse(a)[1] or [parse(a)[0]]], stop_words, "__n")
     for i, a in enumerate(wanted):
         label, terms = parse(a)
         hit = F.lit(False)
         for t in terms or [label]:
-            hit = hit | tx.has_term(F.col("__low"), F.col("__tok"), t) | (sim.tfidf_cosine(t, F.col("__words"), stop_words, F.col("__sq"), counts) >= SIMILAR)
+            hit = hit | tx.has_term(F.col("__low"), F.col("__tok"), t) | (sim.tfidf_cosine(t, F.col("__words"), stop_words, squares, counts) >= SIMILAR)
         flags[f"__a{i}"] = hit
     d = d.withColumns(flags) if flags else d
     pick = lambda want: F.filter(F.array(*[F.when(F.col(f"__a{i}") == want, F.lit(parse(a)[0])) for i, a in enumerate(wanted)]), lambda v: v.isNotNull()) if wanted else F.array().cast("array<string>")

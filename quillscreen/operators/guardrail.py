@@ -105,7 +105,7 @@ def _broad_overview(title: Column) -> Column:
 def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFrame:
     """The assessment of every paper, with all scores at four decimals; ``keep`` adds it to the paper's own columns."""
     base = papers.select(
-        *([F.struct(*[F.col(c) for c in papers.columns]).alias("__row")] if keep else []),
+        *([F.col(c).alias(f"__own_{c}") for c in papers.columns] if keep else []),
         "paper_id", is_user_seed(papers).alias("is_seed"), tx.domain_text(joined_text(papers, TEXT_FIELDS)).alias("x"), tx.domain_text(joined_text(papers, ("title",))).alias("xt"),
         tx.domain_text(joined_text(papers, ("abstract", "tldr"))).alias("xa"),
     )
@@ -204,7 +204,7 @@ def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFra
         "negative_context_match": (F.col("beside"), nothing), "topic_focus_score": (four("focus"), F.lit(1.0)), "aspect_match_score": (four("aspects"), F.lit(1.0)), "target_context_score": (four("context"), F.lit(1.0)),
         "negative_context_penalty": (four("penalty"), F.lit(0.0)), "peripheral_context_reason": (F.col("peripheral"), F.lit("")),
     }
-    return d.select("__row.*" if keep else "paper_id", *[F.when(F.col("is_seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items()])
+    return d.select(*([F.col(f"__own_{c}").alias(c) for c in papers.columns] if keep else ["paper_id"]), *[F.when(F.col("is_seed"), s).otherwise(v).alias(k) for k, (v, s) in own.items()])
 
 
 def neutral(papers: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ranking: preliminary score, venue diversity, final score, seed floor, research adjustments and re-ranks.
 
-All ranks are stable: ties keep the order of the step before. Windows are partitioned by question, and diversity by question
-and venue; the venue window ranks inside a venue, so no step needs all papers of all questions in one place. A question with
-a very large number of papers is ranked in two steps (``rank_in_blocks``) whose sort is a range shuffle.
+All ranks are stable: ties keep the order of the step before. What is ranked are narrow rows of keys and scores, read from the stored papers; whole papers
+are never sorted. Up to ``ALONE`` keys go through a window by question, or question and venue; more are ranked in blocks, whose sort is a range shuffle,
+so that no task holds a question or a venue. The ranks meet the papers again in one hash join on a number of the stored row.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from quillscreen.functions import scoring as sc
 from quillscreen.functions import text as tx
 from quillscreen.operators.guardrail import is_user_seed
-from quillscreen.operators.store import checkpointed
+from quillscreen.operators.store import checkpointed, small, written
 
+ROW = "__row"
+#: Keys that one task may sort; a key with its scores takes about a hundred bytes.
+ALONE = 500_000
 EXACT_FLOOR, MANUAL_FLOOR = 0.995, 0.985
 #: Additions by role, for questions without a domain of their own.
 ROLE_VALUES = {
@@ -31,22 +34,47 @@ FERROELECTRIC_FALSE = ("drug screening", "clinical screening", "cognitive screen
 FERROELECTRIC = "ferroelectric_polarization"
 
 
-def stable_rank(d: DataFrame, score: Column | str, tie: Column | str, to: str = "rank", by: str = "question_id") -> DataFrame:
-    """1-based rank by descending score, ties by the earlier order."""
-    return d.withColumn(to, F.row_number().over(Window.partitionBy(by).orderBy(tx.col(score).desc(), tx.col(tie).asc())))
+def numbered(keys: DataFrame, by: list[str], order: list[Column], to: str = "rank") -> DataFrame:
+    """``keys``, a stored table of narrow rows, with the 1-based number of each row among those that agree in ``by``."""
+    if keys.count() <= ALONE:
+        return keys.withColumn(to, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered_in_blocks(keys, by, order, to)
+
+
+def numbered_in_blocks(d: DataFrame, by: list[str], order: list[Column], to: str) -> DataFrame:
+    """numbered() for groups that may hold most rows: a range shuffle by group and order, a row number inside each range, and the sizes of the earlier
+    ranges of the group, one row per range, added to it."""
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, as the bounds of a range shuffle are sampled and two evaluations need not agree.
+    dealt = written(d.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = small(written(before.filter("__before > 0").select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__p").alias("__at"), "__before")))
+    inner = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order))
+    met = F.col("__p") == F.col("__at")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    # Only groups that began in an earlier range have rows in ``before``; their number is at most that of the ranges.
+    total = (F.coalesce("__before", F.lit(0)) + F.col("__in")).cast("int")
+    return dealt.withColumn("__in", inner).join(before, met, "left").withColumn(to, total).select(*d.columns, to)
+
+
+def stable_rank(d: DataFrame, score: str, tie: str, to: str = "rank") -> DataFrame:
+    """1-based rank by descending score, ties by the earlier order. Rows that rank() numbered are ranked by their keys alone, others are stored first."""
+    if ROW not in d.columns:
+        d = stored(d)
+    keys = numbered(written(d.select(ROW, "question_id", score, tie)), ["question_id"], [F.col(score).desc(), F.col(tie).asc()], to)
+    return d.join(keys.select(ROW, to), ROW)
 
 
 def rank_in_blocks(d: DataFrame, score: str, tie: str, to: str = "rank") -> DataFrame:
-    """stable_rank() for a question that may hold most rows: a range shuffle by (question, score, tie), a row number inside each range,
-    and the sizes of the earlier ranges of the question, one row per range, added to it."""
-    spark = d.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A checkpoint, as the bounds of a range shuffle are sampled and two evaluations need not agree.
-    dealt = checkpointed(d.repartitionByRange(n, F.col("question_id"), F.col(score).desc(), F.col(tie)).withColumn("__p", F.spark_partition_id()))
-    sizes = dealt.groupBy("question_id", "__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("question_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inner = F.row_number().over(Window.partitionBy("question_id", "__p").orderBy(F.col(score).desc(), F.col(tie)))
-    return dealt.withColumn("__in", inner).join(before, ["question_id", "__p"]).withColumn(to, (F.col("__before") + F.col("__in")).cast("int")).drop("__p", "__in", "__before")
+    """stable_rank() for a question that may hold most rows, in blocks whatever their number."""
+    return numbered_in_blocks(d, ["question_id"], [F.col(score).desc(), F.col(tie)], to)
+
+
+def stored(d: DataFrame) -> DataFrame:
+    """``d`` evaluated once, with a number for each row."""
+    return written(d.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def _floored(d: DataFrame, score: Column) -> Column:
@@ -61,6 +89,11 @@ def rank(scored: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     Pass one scores with diversity 0.5; a paper's diversity is then 1 / (number of papers of its venue so far), the venue's
     normalised name blank for unknown; pass two scores again and ranks, ties by the order of pass one.
     """
+    return rank_stored(stored(scored), weights).drop(ROW)
+
+
+def rank_stored(scored: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """rank() of stored() papers, which keep the numbers of their rows."""
     w = weights or sc.weights()
     cols = set(scored.columns)
     opt = lambda c: F.col(c) if c in cols else None
@@ -68,11 +101,15 @@ def rank(scored: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     d = scored.withColumn("final0", _floored(scored, sc.final_score(inputs(F.lit(0.5)))))
     key = tx.title_key("venue")
     d = d.withColumn("venue_key", F.when(key == "", "unknown").otherwise(key))
-    in_venue = Window.partitionBy("question_id", "venue_key").orderBy(F.col("final0").desc(), "input_ord")
-    d = d.withColumn("diversity", F.lit(1.0) / F.row_number().over(in_venue))
-    d = d.withColumn("final", _floored(d, sc.final_score(inputs(F.col("diversity")))))
-    window = Window.partitionBy("question_id").orderBy(F.col("final").desc(), F.col("final0").desc(), "input_ord")
-    return d.withColumn("rank", F.row_number().over(window))
+    parts = [c for c in ("relevance", "evidence", "recency", "quality", "centrality", "multiplier", "source_stage", "seed_relation") if c in cols]
+    keys = written(d.select(ROW, "question_id", "venue_key", "final0", "input_ord", *parts))
+    keys = numbered(keys, ["question_id", "venue_key"], [F.col("final0").desc(), F.col("input_ord").asc()], "__n")
+    keys = keys.withColumn("diversity", F.lit(1.0) / F.col("__n"))
+    keys = keys.withColumn("final", _floored(keys, sc.final_score(inputs(F.col("diversity")))))
+    own = ["final0", "venue_key", "diversity", "final"]
+    keys = written(keys.select(ROW, "question_id", "input_ord", *own))
+    keys = numbered(keys, ["question_id"], [F.col("final").desc(), F.col("final0").desc(), F.col("input_ord").asc()])
+    return scored.join(keys.select(ROW, *own, "rank"), ROW)
 
 
 def role_adjustment(roles: Column, primary: Column, overbroad: Column, domain: str = "") -> Column:

@@ -35,7 +35,8 @@ def classify(papers: DataFrame, rules=GENERIC_RULES, links: DataFrame | None = N
     All rules are one projection; the links, if any, are one left join. With ``into`` the papers keep their own columns, and their roles,
     primary role and the rest become a struct of that name.
     """
-    d = papers.withColumn("__row", F.struct(*[F.col(c) for c in papers.columns])) if into else papers
+    d = papers.withColumns({f"__own_{c}": F.col(c) for c in papers.columns}) if into else papers
+    kept = [f"__own_{c}" for c in papers.columns] if into else []
     d = d.withColumn("__low", F.lower(F.concat_ws(" ", tx.text("title"), tx.text("abstract"))))
     hits = {}
     for i, (_, markers) in enumerate(rules):
@@ -51,17 +52,18 @@ def classify(papers: DataFrame, rules=GENERIC_RULES, links: DataFrame | None = N
         d = d.join(links, "paper_id", "left").withColumns({c: F.coalesce(c, none) for c in ("linked_lenses", "linked_query_families")})
     else:
         d = d.withColumns({"linked_lenses": none, "linked_query_families": none})
-    d = d.select(*(["__row"] if into else []), "paper_id", "title", roles.alias("roles"), reasons.alias("reasons"), "linked_lenses", "linked_query_families")
+    d = d.select(*kept, "paper_id", "title", roles.alias("roles"), reasons.alias("reasons"), "linked_lenses", "linked_query_families")
     linked = (F.size("linked_lenses") > 0) | (F.size("linked_query_families") > 0)
     d = d.withColumn("reasons", F.when(linked, F.concat("reasons", F.array(F.lit("retrieval_lane: linked query family/lens recorded as provenance only")))).otherwise(F.col("reasons")))
     score = 0.42 + 0.08 * F.least(F.size("roles"), F.lit(4)) + 0.04 * F.least(F.size("reasons"), F.lit(5))
     score = score + F.when(F.size("linked_lenses") > 0, 0.02).otherwise(0.0) + F.when(F.size("linked_query_families") > 0, 0.02).otherwise(0.0)
     d = d.select(
-        *(["__row"] if into else []), "paper_id", "title", "roles", F.when(F.size("roles") > 0, F.get("roles", F.lit(0))).otherwise("unclassified").alias("primary_role"),
+        *kept, "paper_id", "title", "roles", F.when(F.size("roles") > 0, F.get("roles", F.lit(0))).otherwise("unclassified").alias("primary_role"),
         F.when(F.size("roles") == 0, 0.1).otherwise(F.round(F.least(score, F.lit(0.95)), 3)).alias("confidence"), "reasons", "linked_lenses", "linked_query_families",
         F.array_distinct(F.concat("linked_query_families", "linked_lenses")).alias("retrieval_lanes"),
     )
-    return d.select("__row.*", F.struct(*[c for c in d.columns if c not in ("__row", "paper_id", "title")]).alias(into)) if into else d
+    told = [c for c in d.columns if c not in ("paper_id", "title", *kept)]
+    return d.select(*[F.col(f"__own_{c}").alias(c) for c in papers.columns], F.struct(*told).alias(into)) if into else d
 
 
 def role_counts(roles: DataFrame) -> DataFrame:

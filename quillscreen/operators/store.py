@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def written(table: DataFrame) -> DataFrame:
+    """``table`` evaluated once into Parquet files of the shared folder, so that each later use reads only the columns it needs."""
+    spark = table.sparkSession
+    path = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def small(table: DataFrame) -> DataFrame:
     """``table`` with a broadcast hint if it is within both bounds; beyond them the join shuffles. The table must be cheap to count."""
     rows = min(BROADCAST_ROWS, BROADCAST_BYTES // table._jdf.schema().defaultSize())

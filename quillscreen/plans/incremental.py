@@ -17,7 +17,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscreen.functions import scoring as sc
 from quillscreen.operators import dedup, ranking, roles
 from quillscreen.operators.store import checkpointed, join_aggregate, small
 from quillscreen.plans import screening
@@ -69,8 +68,7 @@ def assess_missing(papers: DataFrame, contract: Contract, now_year: int, folder:
 def screen_again(papers: DataFrame, contract: Contract, now_year: int, folder: str, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> tuple[DataFrame, int]:
     """The decisions of ``screening.screen_and_decide`` over the papers, and how many contents were assessed for them."""
     d, n = assess_missing(papers, contract, now_year, folder, role_rules)
-    ranked = ranking.rank(roles.mark_overbroad(d).drop("overbroad_roles"), contract.weights or sc.weights(profile))
-    return screening.decide_ranked(ranked, contract), n
+    return screening.decide_stored(ranking.stored(d), contract, profile), n
 
 
 def expand(merged: DataFrame, found: DataFrame, contract: Contract, now_year: int, folder: str, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> tuple[DataFrame, int]:

@@ -1,7 +1,8 @@
-"""The screening plan: from papers and a contract to ranked, explained decisions, as one lazy DataFrame.
+"""The screening plan: from papers and a contract to ranked, explained decisions.
 
-Every per-paper step adds columns to the same row, so a paper is read and assessed once; the shuffles are the ranks' windows. Only the shares
-of the roles are counted over all papers first, from a narrow pass of their own.
+Every per-paper step adds columns to the same row, so a paper is read and assessed once; the assessed papers are stored, and the shares of the roles
+and the ranks are found from the few columns they need. The whole papers are shuffled once, by the number of their row, to meet their ranks, with the columns
+that a query asks for.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from quillscreen.plans.contract import Contract
 def with_evidence(papers: DataFrame, question: str) -> DataFrame:
     """The papers with their best sentence, its overlap and its support; evidence of rule mode is a sentence of the abstract, so no join is needed."""
     d = papers.withColumn("__s", tx.sentences("abstract"))
-    best = F.array_max(F.transform("__s", lambda x, i: F.struct(tx.overlap(tx.tokens(x), question).alias("ov"), (-i).alias("neg"), x.alias("s"))))
+    best = F.array_max(F.transform("__s", lambda x, i: F.struct(tx.overlap(tx.runs(x), question).alias("ov"), (-i).alias("neg"), x.alias("s"))))
     d = d.withColumn("__b", best)
     level = F.when(tx.text("abstract") == "", "missing_abstract").when(F.size("__s") == 0, "missing_evidence").otherwise("strict_support")
     return d.withColumns({
@@ -31,12 +32,12 @@ def with_evidence(papers: DataFrame, question: str) -> DataFrame:
 def relevance(d: DataFrame, contract: Contract, stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
     """Adds the parts of hybrid relevance and ``hybrid_relevance``."""
     q = contract.question
-    d = d.withColumns({"__wt": sim.words("title", stop_words), "__wa": sim.words("abstract", stop_words), "__we": sim.words(F.concat_ws(" ", "claim", "evidence_sentence"), stop_words), "__wf": sim.words(F.array_join("fields_of_study", " "), stop_words), "__tok": tx.tokens(F.concat_ws(" ", "title", "abstract", "claim", "evidence_sentence"))})
+    d = d.withColumns({"__wt": sim.words("title", stop_words), "__wa": sim.words("abstract", stop_words), "__we": sim.words(F.concat_ws(" ", "claim", "evidence_sentence"), stop_words), "__wf": sim.words(F.array_join("fields_of_study", " "), stop_words), "__tok": tx.runs(F.concat_ws(" ", "title", "abstract", "claim", "evidence_sentence"))})
     field = " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
     cosine = {}
     for name, words, query in (("title_similarity", "__wt", q), ("abstract_similarity", "__wa", q), ("evidence_similarity", "__we", q), ("field_match", "__wf", field)):
-        d, counts = sim.with_counts(d, words, [query], stop_words, f"{words}_n")
-        cosine[name] = sim.tfidf_cosine(query, F.col(words), stop_words, None, counts)
+        d, squares, counts = sim.with_counts(d, words, [query], stop_words, f"{words}_n")
+        cosine[name] = sim.tfidf_cosine(query, F.col(words), stop_words, squares, counts)
     own = d.columns
     groups = list(contract.must_term_groups) or [(t,) for t in contract.must_terms]
     hits = [F.lit(False) for _ in groups]
@@ -62,9 +63,11 @@ def assess(papers: DataFrame, contract: Contract, now_year: int, use_guardrail:
         d = aspects.coverage(d, contract.aspects, keep=True)
     else:
         d = d.withColumns({"covered_aspects": F.array().cast("array<string>"), "missing_aspects": F.array().cast("array<string>"), "aspect_coverage_score": F.lit(0.0)})
+    d = components(relevance(d, contract), now_year)
+    # The guardrail comes last: its columns are many and large, and the planner would write them out again in every step on top of them.
     if use_guardrail:
         d = guardrail.assess(d, contract, keep=True).withColumns({"centrality": F.col("intent_centrality_score"), "multiplier": sc.domain_multiplier(F.col("domain_decision"))})
-    return components(relevance(d, contract), now_year)
+    return d
 
 
 def screen(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
@@ -79,13 +82,18 @@ def classified(papers: DataFrame, role_rules) -> DataFrame:
 
 def decide_ranked(ranked: DataFrame, contract: Contract) -> DataFrame:
     """The research adjustments and the decisions of ranked papers with their roles."""
-    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True)
+    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True).drop(ranking.ROW)
+
+
+def decide_stored(assessed: DataFrame, contract: Contract, profile: str = "balanced") -> DataFrame:
+    """Shares of roles, ranks and decisions of papers that ``ranking.stored`` keeps."""
+    marked = roles.mark_overbroad(assessed).drop("overbroad_roles")
+    return decide_ranked(ranking.rank_stored(marked, contract.weights or sc.weights(profile)), contract)
 
 
 def screen_and_decide(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> DataFrame:
     """screen(), the research adjustments, and the decisions, in one row per paper."""
-    ranked = screen(roles.mark_overbroad(classified(papers, role_rules)).drop("overbroad_roles"), contract, now_year, profile)
-    return decide_ranked(ranked, contract)
+    return decide_stored(ranking.stored(assess(classified(papers, role_rules), contract, now_year)), contract, profile)
 
 
 def flagship(papers: DataFrame, question: str, now_year: int, k: int = 20) -> DataFrame:
