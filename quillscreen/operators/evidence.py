@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillscreen.functions import blocks
 from quillscreen.functions import text as tx
 
 FUZZY = 0.92
+#: Papers whose sentences are compared at once.
+ROWS = 4000
 #: First match wins.
 EVIDENCE_FUNCTIONS = (
     ("review_background", ("review", "overview")),
@@ -54,18 +57,42 @@ def py_span_text(value: str) -> str:
 
 
 def best_ratio(evidence: str, abstract: str) -> tuple[float, str]:
-    """The best similarity of the evidence to a sentence, below the threshold too; only pairs whose lengths cannot beat the best so far are passed over."""
-    wanted, best, at = py_span_text(evidence), 0.0, ""
-    for s in re.split(r"(?<=[.!?])\s+", " ".join((abstract or "").split())):
-        if s.strip():
-            text = py_span_text(s)
-            both = len(wanted) + len(text)
-            if both and 2.0 * min(len(wanted), len(text)) / both <= best:
-                continue
-            score = difflib.SequenceMatcher(None, wanted, text).ratio()
-            if score > best:
-                best, at = score, s
-    return best, at
+    """The best similarity of the evidence to a sentence, the earliest on ties, below the threshold too."""
+    return best_ratios([evidence], [abstract])[0]
+
+
+def best_ratios(evidence: Sequence[str], abstracts: Sequence[str]) -> list[tuple[float, str]]:
+    """best_ratio() of many rows.
+
+    A row's sentences are compared in the order of the similarity that their lengths allow, one, then four more and so on by fours while any could
+    still reach the best; the pairs of all rows are compared together (``functions.blocks``).
+    """
+    wanted, kept, texts, row = [py_span_text(e) for e in evidence], [], [], []
+    for r, abstract in enumerate(abstracts):
+        # Neither collapsing nor lower case moves a sentence's end, so both are done once for all sentences.
+        flat = " ".join((abstract or "").split())
+        if flat:
+            kept += (own := re.split(r"(?<=[.!?])\s+", flat))
+            texts += re.split(r"(?<=[.!?])\s+", py_span_text(flat))
+            row += [r] * len(own)
+    row, n = np.array(row, np.int64), np.array([len(t) for t in texts], np.int64)
+    m = np.array([len(w) for w in wanted], np.int64)[row]
+    bound = np.where(m + n > 0, 2.0 * np.minimum(m, n) / np.maximum(m + n, 1), 1.0)
+    order = np.lexsort((np.arange(len(row)), -bound, row))
+    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    best, at = np.zeros(len(wanted)), np.full(len(wanted), -1, np.int64)
+    wave = 1
+    while len(order):
+        now = order[place < wave]
+        now = now[(bound[now] > 0) & (bound[now] >= best[row[now]])]
+        if len(now):
+            got = blocks.matched([(wanted[row[k]], texts[k]) for k in now], row[now], best)
+            for k, score in zip(now, got, strict=True):
+                r = row[k]
+                if score > best[r] or score == best[r] and score > 0 and k < at[r]:
+                    best[r], at[r] = score, k
+        order, place, wave = order[place >= wave], place[place >= wave], 4 * wave + 1
+    return [(float(b), kept[k] if k >= 0 else "") for b, k in zip(best, at, strict=True)]
 
 
 def verify(evidence: DataFrame, papers: DataFrame) -> DataFrame:
@@ -88,7 +115,9 @@ def verify(evidence: DataFrame, papers: DataFrame) -> DataFrame:
 
     def fuzzy(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
-            got = [best_ratio(e, a) for e, a in zip(part["evidence_sentence"], part["abstract"], strict=True)]
+            got = []
+            for k in range(0, len(part), ROWS):
+                got += best_ratios(part["evidence_sentence"].iloc[k : k + ROWS], part["abstract"].iloc[k : k + ROWS])
             yield part.assign(ratio=[g[0] for g in got], best=[g[1] for g in got])
 
     schema = "paper_id string, evidence_sentence string, abstract string, llm_used boolean, __share double, __back double, ratio double, best string"

@@ -174,6 +174,27 @@ def test_best_ratio_agrees_with_a_full_search():
         assert evidence.best_ratio(e, a) == (best, at)
 
 
+def test_best_ratios_of_many_papers_agree_with_difflib():
+    import difflib
+    import random
+
+    rng = random.Random(7)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [("", "x."), ("a", ""), ("abc", "xabc. abcx."), ("ab" * 150, f"{'ab' * 150}. x. {'ba' * 120}"), ("a", "𐐀İ. Σ A")]
+    for letters in ("ab ", "abcdefgh ", "abcdefghijklmnopqrst  éİ😀"):
+        for _ in range(60):
+            top = rng.choice((10, 60, 199, 420))  # 200 characters are where frequent ones stop starting a block
+            rows.append((text(letters, rng.randint(0, top)), ". ".join(text(letters, rng.randint(0, top)) for _ in range(rng.randint(0, 9)))))
+    want = []
+    for e, a in rows:
+        best, at = 0.0, ""
+        for s in re.split(r"(?<=[.!?])\s+", " ".join(a.split())):
+            r = difflib.SequenceMatcher(None, evidence.py_span_text(e), evidence.py_span_text(s)).ratio() if s.strip() else 0.0
+            best, at = (r, s) if r > best else (best, at)
+        want.append((best, at))
+    assert evidence.best_ratios(*zip(*rows, strict=True)) == want
+
+
 def test_lithium_contract(spark):
     c = Contract("q", groups=(Group("core_topic", ("SEI",)), Group("lithium_context", ("lithium-ion battery",))))
     rows = [("a", "SEI growth in lithium-ion batteries", "The solid electrolyte interphase of a lithium-ion battery with a graphite anode.", "keyword"), ("b", "SEI in sodium-ion batteries", "SEI in a sodium-ion battery, unlike lithium-ion battery cells.", "keyword"), ("c", "Cooking", "Soup.", "keyword"), ("d", "Cooking", "", "seed_exact")]
