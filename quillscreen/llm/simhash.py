@@ -9,9 +9,9 @@ in a list if and only if their tally is four or more. The tally and then the Ham
 Only connectivity is needed, so a list with many members is never expanded into its pairs. Every member is first compared
 with the smallest one of its list; after the components of those links are known, only members outside the component of
 that smallest one are compared with the rest of the list. A pair that is skipped is connected already, so no link between
-components is lost. A list of more than ``LIST`` members is searched by the same counting once more for that: two members that differ in at most
-four bits share at least four of the eight half-bytes outside the list's bytes, so the list is split under its 70 sets of four half-bytes,
-and a sublist holds at most 2^16 fingerprints however many the list has.
+components is lost. With at most ``LIST`` members outside, that is at most ``LIST`` comparisons a member. A list with more of them is searched by the same counting
+once more: two members that differ in at most four bits share at least four of the eight half-bytes outside the list's bytes, so the list is
+split under its 70 sets of four half-bytes, and a sublist holds at most 2^16 fingerprints however many the list has.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any other; fewer than four words are one shingle;
 repeated rows and equal ids each get a row; a null id never becomes a component id unless no member has an id; an empty table
@@ -36,8 +36,10 @@ from quillscreen.llm.graph import components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS, SEED, BYTES = 4, 42, 8
-#: Members of a list beyond which the comparison with the rest of the list goes by sublists.
+#: Members outside the component of a list's smallest one beyond which the comparison with the rest of the list goes by sublists.
 LIST = 64
+#: Members of a list that one task compares; those outside meet each such part of it.
+PART = 4096
 #: Hashes whose bits are unpacked at once.
 CHUNK = 1 << 15
 
@@ -85,7 +87,8 @@ def postings(fps: DataFrame, least: int) -> DataFrame:
 
 
 def sublists(table: DataFrame, least: int) -> DataFrame:
-    """``table`` with a column ``sub``: 0 in lists of up to LIST members, else one row per set of half-bytes outside the list's bytes.
+    """``table`` with a column ``sub``: the member's part of the list where at most LIST members are ``outside``, else one row per set of half-bytes
+    outside the list's bytes.
 
     A list of ``least`` equal bytes leaves 8 - least of them, that is twice as many half-bytes; as ``8 - least`` bits at most may differ,
     as many half-bytes at least agree.
@@ -94,12 +97,17 @@ def sublists(table: DataFrame, least: int) -> DataFrame:
     outside = F.lit([[i for i in range(BYTES) if i not in at] for at in itertools.combinations(range(BYTES), least)])
     picks = F.lit([list(p) for p in itertools.combinations(range(2 * rest), rest)])
     number = F.shiftright("key", 8 * least).cast("int")
-    sets = F.when(F.col("n") > LIST, F.sequence(F.lit(1), F.size(picks))).otherwise(F.array(F.lit(0)))
+    sets = F.when(F.col("outside") > LIST, F.sequence(F.lit(1), F.size(picks))).otherwise(F.array(F.lit(0)))
     # One row per set before its key is made, so that the key is one small expression and not seventy.
     rows = table.withColumn("__set", F.explode(sets))
     half = lambda i: F.call_function("shiftrightunsigned", F.col("fp"), F.get(F.get(outside, number), F.floor(i / 2).cast("int")) * 8 + F.pmod(i, F.lit(2)) * 4).bitwiseAND(F.lit(15))
     key = F.aggregate(F.get(picks, F.col("__set") - 1), F.col("__set").cast("long"), lambda acc, i: F.shiftleft(acc, 4).bitwiseOR(half(i)))
-    return rows.withColumn("sub", F.when(F.col("__set") > 0, key).otherwise(F.lit(0).cast("long"))).drop("__set")
+    return rows.withColumn("sub", F.when(F.col("__set") > 0, key).otherwise(F.pmod(F.xxhash64("fp"), parts(F.col("n"))))).drop("__set")
+
+
+def parts(n: Column) -> Column:
+    """The number of parts of a list of n members."""
+    return F.ceil(n / PART).cast("long")
 
 
 def near(a: Column, b: Column, max_bits: int, least: int) -> Column:
@@ -125,9 +133,10 @@ def link_classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     told = cut(told.select("key", "n", "fp", F.coalesce("own", "fp").alias("own"), F.coalesce("head", "first").alias("head")))
     discard(member)
     # Only lists with a member outside the head's component have anything left to compare.
-    open_ = cut(told.filter("own <> head").select("key").distinct())
-    told = sublists(told.join(small(open_), "key", "left_semi"), least)
-    out = told.filter("own <> head").select(F.col("key").alias("k"), F.col("sub").alias("s"), F.col("fp").alias("x"), F.col("own").alias("x_own"))
+    open_ = cut(told.filter("own <> head").groupBy("key").agg(F.count("*").alias("outside")))
+    told = sublists(told.join(small(open_), "key"), least)
+    meets = F.when(F.col("outside") > LIST, F.array("sub")).otherwise(F.sequence(F.lit(0).cast("long"), parts(F.col("n")) - 1))
+    out = told.filter("own <> head").select(F.col("key").alias("k"), F.explode(meets).alias("s"), F.col("fp").alias("x"), F.col("own").alias("x_own"))
     met = (F.col("k") == F.col("key")) & (F.col("s") == F.col("sub"))
     late = out.join(told, met & (F.col("own") != F.col("x_own")) & near(F.col("x"), F.col("fp"), max_bits, least))
     late = late.select(F.col("x_own").alias("a"), F.col("own").alias("b")).distinct()

@@ -401,6 +401,24 @@ def test_simhash_components(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(linked(pairs(docs))[1]))
 
 
+def test_long_lists_with_few_members_outside_are_not_expanded(spark, monkeypatch):
+    rows = spark.createDataFrame([(0x01020304, i, 200, few) for few in (1, 64) for i in range(200)], "key long, fp long, n long, outside long")
+    assert simhash.sublists(rows, 4).count() == 400
+    rng = random.Random(4)
+    # Two families under the same four bytes, further than four bits apart, and some in between.
+    fps = [0x1234 << 40 | sum(1 << b for b in rng.sample(range(12), 2)) for _ in range(40)] + [0x1234 << 40 | 0xFFF << 20 | sum(1 << b for b in rng.sample(range(12), 2)) for _ in range(3)]
+    fps += [0x1234 << 40 | 0x7 << 20 | 3, 0x1234 << 40 | 0x7F << 20 | 3, 0x1234 << 40 | 0x7FF << 20 | 3]
+    monkeypatch.setattr(simhash, "PART", 5)
+    got = {r.print: r.label for r in simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    group = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4 and group[a] != group[b]:
+                old, new = sorted((group[a], group[b]), reverse=True)
+                group = {f: new if g == old else g for f, g in group.items()}
+    assert {(a, b) for a in got for b in got if got[a] == got[b]} == {(a, b) for a in group for b in group if group[a] == group[b]}
+
+
 def test_long_posting_lists_are_split_without_losing_a_link(spark, monkeypatch):
     rng = random.Random(9)
     fps = [sum(1 << b for b in rng.sample(range(32), 6)) | 0x1234 << 40 for _ in range(150)]
