@@ -9,6 +9,7 @@ each is found in ``hits``; an empty list of terms finds nothing.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -28,6 +29,9 @@ STANDING = "struct<found:array<int>,clear:array<int>,words:array<int>>"
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: Needles up to which each is looked for on its own, by the string search of the language; it stops at the first hit that tells all.
 FEW = 64
+#: What tx.domain_text() does, for a string in a worker.
+_ENTITIES = tuple(tx.ENTITIES.items())
+_REWRITES = tuple((re.compile(pattern, re.ASCII), to.replace("$", "\\"), tuple(needs)) for (pattern, to), needs in zip(tx.REWRITES, tx.NEEDS, strict=True))
 #: Automata of this process by their terms; a worker meets few lists.
 _built: dict[tuple[str, ...], ahocorasick.Automaton | None] = {}
 
@@ -65,6 +69,18 @@ def leftmost_longest(text: str, terms: tuple[str, ...]) -> Iterator[tuple[int, i
             yield n, start
 
 
+def comparable(value: str) -> str:
+    """tx.domain_text() of a string, where looking for what a rewrite needs costs next to nothing. Classes and case are those of the engine's patterns,
+    which know ASCII alone."""
+    if "&" in value:
+        for name, char in _ENTITIES:
+            value = value.replace(name, char)
+    for pattern, to, needs in _REWRITES:
+        if any(n in value for n in needs):
+            value = pattern.sub(to, value)
+    return value.lower()
+
+
 def _listed(per_text: Callable[[str], list[tuple[int, int]]], returns: str):
     @F.arrow_udf(returns)
     def run(texts: pa.Array) -> pa.Array:
@@ -134,12 +150,71 @@ def longest_first(text: Column, terms: Sequence[str]) -> Column:
     return _listed(lambda t: uncovered(t, listed), HITS)(text)
 
 
-def standing(text: Column, needles: Sequence[str]) -> Column:
+PRESENT = "struct<found:array<int>,words:array<int>>"
+
+
+def present(text: Column, needles: Sequence[str]) -> Column:
+    """``found``: the needles that occur; ``words``: those that occur between characters that are no lower-case ASCII letters or digits, as tokens do.
+
+    A needle is left at its first occurrence of the second kind, so a text is seldom read to its end, and the plan carries no array of tokens.
+    """
+    listed = tuple(needles)
+
+    @F.arrow_udf(PRESENT)
+    def run(texts: pa.Array) -> pa.Array:
+        parts: list[list[list[int]]] = [[], []]
+        for t in texts:
+            t, found, words = t.as_py() or "", [], []
+            for n in [n for n, needle in enumerate(listed) if needle] if len(listed) <= FEW else sorted({n for n, _ in occurrences(t, listed)}):
+                needle = listed[n]
+                start = t.find(needle)
+                if start >= 0:
+                    found.append(n)
+                while start >= 0:
+                    end = start + len(needle)
+                    if t[start - 1 : start] not in ALNUM and t[end : end + 1] not in ALNUM:
+                        words.append(n)
+                        break
+                    start = t.find(needle, start + 1)
+            parts[0].append(found)
+            parts[1].append(words)
+        return pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int32())) for p in parts], ["found", "words"])
+
+    return run(text)
+
+
+class Present:
+    """Needles of one text column: the tests name them, and ``column`` looks for all of them at once."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.numbers = name, {}
+
+    def _in(self, part: str, needle: str) -> Column:
+        return F.array_contains(F.col(f"{self.name}.{part}"), self.numbers.setdefault(needle, len(self.numbers)))
+
+    def has_tokens(self, term: str) -> Column:
+        """tx.has_tokens() of the column's tokens."""
+        found = F.lit(bool(tx.py_tokens(term)))
+        for w in sorted(set(tx.py_tokens(term))):
+            found = found & self._in("words", w)
+        return found
+
+    def has_term(self, term: str) -> Column:
+        """tx.has_term() of the column and its tokens."""
+        cleaned = " ".join(term.lower().split())
+        return F.lit(False) if not cleaned else self._in("found", cleaned) | self.has_tokens(cleaned)
+
+    def column(self, lowered: Column) -> Column:
+        """The hits, once all needles are known."""
+        return present(lowered, list(self.numbers))
+
+
+def standing(text: Column, needles: Sequence[str], raw: bool = False) -> Column:
     """``found``: the needles that occur; ``clear``: those with an occurrence that no word before or after it negates; ``words``: those that
     occur between characters that are no lower-case ASCII letters or digits, as tokens do.
 
     The words of negation are looked for around hits only, and a needle is left as soon as all three are known of it. Beyond ``FEW`` needles the
-    automaton tells which ones a text holds.
+    automaton tells which ones a text holds. A ``raw`` text is made comparable first, as tx.domain_text() does.
     """
     listed = tuple(needles)
     before, after, room, rest = tx.NEGATED_BEFORE, tx.NEGATED_AFTER, tx.BEFORE_CHARS, tx.AFTER_CHARS
@@ -154,6 +229,8 @@ def standing(text: Column, needles: Sequence[str]) -> Column:
         parts: list[list[list[int]]] = [[], [], []]
         for t in texts:
             t, found, clear, words = t.as_py() or "", [], [], []
+            if raw:
+                t = comparable(t)
             for n in sought if len(sought) <= FEW else sorted({n for n, _ in occurrences(t, listed)}):
                 needle = listed[n]
                 start = t.find(needle)

@@ -65,13 +65,19 @@ def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), sq
     in_query = sum((F.when(count[t] > 0, float(q[t] ** 2)).otherwise(q[t] ** 2 * LONE_IDF**2) for t in terms), F.lit(0.0))
     shared_sq = sum((count[t] * count[t] for t in terms), F.lit(0.0))
     in_text = shared_sq + LONE_IDF**2 * ((square_sum(words) if squares is None else squares) - shared_sq)
-    return F.when(F.size(words) == 0, 0.0).otherwise(tx.clamp(dot / (F.sqrt(in_query) * F.sqrt(in_text))))
+    empty = F.size(words) == 0 if squares is None else squares == 0
+    return F.when(empty, 0.0).otherwise(tx.clamp(dot / (F.sqrt(in_query) * F.sqrt(in_text))))
+
+
+def words_of(lowered: Column) -> Column:
+    """The runs of two or more word characters of a lower-cased text, in order, stop words included: with_counts() leaves those out where it counts."""
+    return F.regexp_extract_all(lowered, F.lit(r"(?U)\w{2,}+"), F.lit(0))
 
 
 def words(c: str | Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Words for tfidf_cosine(): runs of two or more word characters, lower-cased, stop words dropped, in order."""
     # Whole runs need no word boundaries, which cost most of the search; so the stop words are dropped afterwards.
-    found = F.regexp_extract_all(F.lower(tx.text(c)), F.lit(r"(?U)\w{2,}+"), F.lit(0))
+    found = words_of(F.lower(tx.text(c)))
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
@@ -83,13 +89,13 @@ def query_words(query: str, stop_words: tuple[str, ...] = ()) -> list[str]:
 STATS = "struct<squares:double,counts:array<int>>"
 
 
-def word_stats(words: Column, wanted: Sequence[str]) -> Column:
-    """``squares``, the square_sum() of an array of words, and ``counts``, how often each wanted word is in it, from one pass over a batch.
+def word_stats(words: Column, wanted: Sequence[str], stop_words: Sequence[str] = ()) -> Column:
+    """``squares``, the square_sum() of an array of words without the stop words, and ``counts``, how often each wanted word is in it, from one pass over a batch.
 
     The words of a batch become numbers once, and the equal (row, number) pairs are counted together; an expression would walk the array
     once for every wanted word.
     """
-    listed = list(wanted)
+    listed, dropped = list(wanted), list(stop_words)
 
     @F.arrow_udf(STATS)
     def run(arrays: pa.Array) -> pa.Array:
@@ -101,6 +107,10 @@ def word_stats(words: Column, wanted: Sequence[str]) -> Column:
         at = pc.list_parent_indices(arrays).to_numpy(zero_copy_only=False).astype(np.int64)
         pairs, n = np.unique(at * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
         row, number = pairs // size, pairs % size
+        if dropped:
+            kept = ~pc.is_in(coded.dictionary, value_set=pa.array(dropped, coded.dictionary.type)).to_numpy(zero_copy_only=False)
+            kept = kept[number] if len(kept) else np.zeros(len(number), bool)
+            row, number, n = row[kept], number[kept], n[kept]
         squares = np.bincount(row, weights=n.astype(np.float64) ** 2, minlength=rows)
         place = np.full(size, -1, np.int64)
         for i, w in enumerate(listed):
@@ -116,6 +126,6 @@ def word_stats(words: Column, wanted: Sequence[str]) -> Column:
 
 
 def with_counts(d: DataFrame, words: str, queries: list[str], stop_words: tuple[str, ...], to: str) -> tuple[DataFrame, Column, dict[str, Column]]:
-    """``d`` with the word_stats() of a stored array as the column ``to``, its square_sum(), and the counts of all words of the queries by word."""
+    """``d`` with the word_stats() of a stored array, which may still hold the stop words, as the column ``to``, its square_sum(), and the counts of all words of the queries by word."""
     every = sorted({w for q in queries for w in query_words(q, stop_words)})
-    return d.withColumn(to, word_stats(F.col(words), every)), F.col(f"{to}.squares"), {w: F.get(F.col(f"{to}.counts"), F.lit(i)) for i, w in enumerate(every)}
+    return d.withColumn(to, word_stats(F.col(words), every, stop_words)), F.col(f"{to}.squares"), {w: F.get(F.col(f"{to}.counts"), F.lit(i)) for i, w in enumerate(every)}

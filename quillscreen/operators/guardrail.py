@@ -91,8 +91,8 @@ class Spellings:
         return self.concept(cleaned) if cleaned in ct.ELEMENTS else self.strict(cleaned)
 
     def column(self) -> Column:
-        """The hits, once all needles are known."""
-        return matcher.standing(F.col(self.where), list(self.numbers))
+        """The hits, once all needles are known; the text is made comparable where it is searched."""
+        return matcher.standing(F.col(f"{self.where}_raw"), list(self.numbers), raw=True)
 
 
 def _broad_overview(title: Column) -> Column:
@@ -104,10 +104,11 @@ def _broad_overview(title: Column) -> Column:
 
 def assess(papers: DataFrame, contract: Contract, keep: bool = False) -> DataFrame:
     """The assessment of every paper, with all scores at four decimals; ``keep`` adds it to the paper's own columns."""
+    # Fields that do not exist would only add white space, which a comparable text has evened out.
+    raw = {c: F.make_valid_utf8(joined_text(papers, tuple(f for f in fields if f in papers.columns))) for c, fields in (("x", TEXT_FIELDS), ("xt", ("title",)), ("xa", ("abstract", "tldr")))}
     base = papers.select(
         *([F.col(c).alias(f"__own_{c}") for c in papers.columns] if keep else []),
-        "paper_id", is_user_seed(papers).alias("is_seed"), tx.domain_text(joined_text(papers, TEXT_FIELDS)).alias("x"), tx.domain_text(joined_text(papers, ("title",))).alias("xt"),
-        tx.domain_text(joined_text(papers, ("abstract", "tldr"))).alias("xa"),
+        "paper_id", is_user_seed(papers).alias("is_seed"), *[v.alias(f"{c}_raw") for c, v in raw.items()], *[tx.domain_text(raw[c]).alias(c) for c in ("x", "xt")],
     )
     asked: dict[tuple[str, str], str] = {}
     spelled = {c: Spellings(c) for c in ("x", "xt", "xa")}

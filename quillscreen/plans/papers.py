@@ -34,10 +34,12 @@ ROLE_RULES = (
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
-    i, whole = F.col("doc_id"), tx.collapsed("text")
+    # Collapsed once, as a column that the title and the abstract name.
+    d = d.withColumn("__whole", tx.collapsed("text"))
+    i, whole = F.col("doc_id"), F.col("__whole")
     other = F.lit("")
     return d.select(
-        F.lit("q1").alias("question_id"), i.alias("input_ord"), F.concat(F.lit("p"), i.cast("string")).alias("paper_id"), tx.first_sentence("text").alias("title"),
+        F.lit("q1").alias("question_id"), i.alias("input_ord"), F.concat(F.lit("p"), i.cast("string")).alias("paper_id"), tx.first_sentence(whole, True).alias("title"),
         F.when(i % 10 == 7, other).otherwise(whole).alias("abstract"), F.when(i % 13 != 0, (2000 + i % 27).cast("int")).alias("year"), F.when(i % 11 == 0, other).otherwise(tx.text("source")).alias("venue"),
         F.when(i % 3 == 0, F.concat(F.lit("10.1000/"), (i % 200).cast("string"))).otherwise(other).alias("doi"), (F.col("n_chars") % 500).cast("int").alias("citation_count"), ((i % 7) / 5.0).alias("api_relevance_score"),
         F.when(i % 97 == 5, "seed_exact").when(i % 97 == 6, "manual_seed").otherwise("keyword").alias("source_stage"), F.array("lang").alias("fields_of_study"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillscreen.functions import best, matcher
 from quillscreen.functions import scoring as sc
 from quillscreen.functions import similarity as sim
 from quillscreen.functions import text as tx
@@ -19,35 +20,48 @@ from quillscreen.plans.contract import Contract
 
 def with_evidence(papers: DataFrame, question: str) -> DataFrame:
     """The papers with their best sentence, its overlap and its support; evidence of rule mode is a sentence of the abstract, so no join is needed."""
-    d = papers.withColumn("__s", tx.sentences("abstract"))
-    best = F.array_max(F.transform("__s", lambda x, i: F.struct(tx.overlap(tx.runs(x), question).alias("ov"), (-i).alias("neg"), x.alias("s"))))
-    d = d.withColumn("__b", best)
-    level = F.when(tx.text("abstract") == "", "missing_abstract").when(F.size("__s") == 0, "missing_evidence").otherwise("strict_support")
+    d = papers.withColumn("__b", best.best_sentence(F.col("abstract"), question))
+    words = len(set(tx.py_tokens(question)))
+    overlap = F.coalesce(F.col("__b.hits") / F.lit(float(words)), F.lit(0.0)) if words else F.lit(0.0)
+    level = F.when(tx.text("abstract") == "", "missing_abstract").when(F.col("__b.n") == 0, "missing_evidence").otherwise("strict_support")
     return d.withColumns({
-        "evidence_sentence": F.coalesce("__b.s", F.lit("")), "claim": F.coalesce("__b.s", F.lit("")), "keyword_overlap": F.coalesce("__b.ov", F.lit(0.0)), "sentence_no": -F.col("__b.neg"), "support_level": level,
+        "evidence_sentence": F.coalesce("__b.sentence", F.lit("")), "claim": F.coalesce("__b.sentence", F.lit("")), "keyword_overlap": overlap, "sentence_no": F.col("__b.at"), "support_level": level,
         "supported": level == "strict_support", "no_abstract": tx.text("abstract") == "", "confidence": (level == "strict_support").cast("double"),
-    }).drop("__s", "__b")
+    }).drop("__b")
+
+
+def with_words(d: DataFrame) -> DataFrame:
+    """The papers with the lowered texts and the words of title, abstract, evidence and fields, which relevance and aspects share: each text is lowered and
+    split once. A space parts the texts where they are joined, so the words of the whole are those of its parts."""
+    whole = F.concat_ws(" ", tx.text("claim"), tx.text("evidence_sentence"))
+    d = d.withColumns({"__wlt": F.lower(tx.text("title")), "__wla": F.lower(tx.text("abstract")), "__wle": F.lower(whole), "__wlf": F.lower(tx.text(F.array_join("fields_of_study", " ")))})
+    return d.withColumns({f"__w{p}": sim.words_of(F.col(f"__wl{p}")) for p in "taef"})
 
 
 def relevance(d: DataFrame, contract: Contract, stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
-    """Adds the parts of hybrid relevance and ``hybrid_relevance``."""
+    """Adds the parts of hybrid relevance and ``hybrid_relevance``. Columns of with_words() are used if there are any, and dropped."""
     q = contract.question
-    d = d.withColumns({"__wt": sim.words("title", stop_words), "__wa": sim.words("abstract", stop_words), "__we": sim.words(F.concat_ws(" ", "claim", "evidence_sentence"), stop_words), "__wf": sim.words(F.array_join("fields_of_study", " "), stop_words), "__tok": tx.runs(F.concat_ws(" ", "title", "abstract", "claim", "evidence_sentence"))})
+    if "__wt" not in d.columns:
+        d = with_words(d)
+    d = d.withColumn("__wlow", F.concat_ws(" ", "__wlt", "__wla", "__wle"))
     field = " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
-    cosine = {}
+    cosine, own = {}, [c for c in d.columns if c.startswith("__w")]
     for name, words, query in (("title_similarity", "__wt", q), ("abstract_similarity", "__wa", q), ("evidence_similarity", "__we", q), ("field_match", "__wf", field)):
         d, squares, counts = sim.with_counts(d, words, [query], stop_words, f"{words}_n")
         cosine[name] = sim.tfidf_cosine(query, F.col(words), stop_words, squares, counts)
-    own = d.columns
+        own.append(f"{words}_n")
     groups = list(contract.must_term_groups) or [(t,) for t in contract.must_terms]
-    hits = [F.lit(False) for _ in groups]
+    hits, there = [F.lit(False) for _ in groups], matcher.Present("__wlow_p")
     for i, terms in enumerate(groups):
         for t in terms:
-            hits[i] = hits[i] | tx.has_tokens(F.col("__tok"), t)
+            hits[i] = hits[i] | there.has_tokens(t)
+    if there.numbers:
+        d = d.withColumn("__wlow_p", there.column(F.col("__wlow")))
+        own.append("__wlow_p")
     must = sum((h.cast("int") for h in hits), F.lit(0)) / F.lit(float(len(groups))) if groups else F.lit(1.0)
     d = d.withColumns({**cosine, "api_relevance": sc.api_relevance(F.col("api_relevance_score")), "must_term_coverage": must})
     d = d.withColumn("hybrid_relevance", sc.hybrid({k: F.col(k) for k in sc.HYBRID}))
-    return d.drop(*[c for c in own if c == "__tok" or c.startswith("__w")])
+    return d.drop(*own)
 
 
 def components(d: DataFrame, now_year: int, relevance_col: str = "hybrid_relevance") -> DataFrame:
@@ -58,9 +72,12 @@ def components(d: DataFrame, now_year: int, relevance_col: str = "hybrid_relevan
 
 def assess(papers: DataFrame, contract: Contract, now_year: int, use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
     """The papers with all that is said about each on its own: evidence, aspects, guardrail and score parts, without a shuffle."""
-    d = with_evidence(papers, contract.question)
+    d = with_words(with_evidence(papers, contract.question))
     if use_aspects:
-        d = aspects.coverage(d, contract.aspects, keep=True)
+        tldr = F.lower(tx.text("tldr") if "tldr" in papers.columns else F.lit(""))
+        lowered = F.concat_ws(" ", "__wlt", "__wla", tldr, "__wlf", "__wle")
+        words = [F.col(f"__w{p}") for p in "tafe"] + ([sim.words_of(tldr)] if "tldr" in papers.columns else [])
+        d = aspects.coverage(d, contract.aspects, keep=True, lowered=lowered, words=F.concat(*words))
     else:
         d = d.withColumns({"covered_aspects": F.array().cast("array<string>"), "missing_aspects": F.array().cast("array<string>"), "aspect_coverage_score": F.lit(0.0)})
     d = components(relevance(d, contract), now_year)
