@@ -20,9 +20,10 @@ BEST = "struct<n:int,at:int,hits:int,sentence:string>"
 def best_sentence(text: Column, question: str) -> Column:
     """``n`` sentences, as tx.sentences() splits them; ``at``, ``hits`` and ``sentence``: the place, the number of distinct question words and the text of the
     one with most of them, the first of equal ones; null without a sentence. An expression would keep all tokens of all sentences."""
-    wanted = frozenset(tx.py_tokens(question))
+    wanted = frozenset(w.encode() for w in tx.py_tokens(question))
     uneven, parts = re.compile(tx.UNEVEN), tx.UNEVEN_PARTS
-    end, token = re.compile(" (?<=[.!?] )"), re.compile("[a-z0-9]{2,}")
+    # What is no part of a token becomes a space; line breaks, which no collapsed text holds, part the sentences.
+    spaced = bytes(b if b == 10 or chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
     @F.arrow_udf(BEST)
     def run(texts: pa.Array) -> pa.Array:
@@ -31,10 +32,12 @@ def best_sentence(text: Column, question: str) -> Column:
             t = t.as_py() or ""
             if any(p in t for p in parts):
                 t = uneven.sub(" ", t)
-            found = [s for s in end.split(t.strip(" ")) if s]
+            marked = t.strip(" ").replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")
+            found = [s for s in marked.split("\n") if s]
             most, at = -1, None
-            for i, s in enumerate(found):
-                hits = len(wanted.intersection(token.findall(s.lower())))
+            # Lower case keeps spaces and ends of sentences, so it is taken of the whole text.
+            for i, s in enumerate(s for s in marked.lower().encode().translate(spaced).split(b"\n") if s):
+                hits = len(wanted.intersection(s.split()))
                 if hits > most:
                     most, at = hits, i
             out.append((len(found), at, most if found else None, found[at] if found else None))

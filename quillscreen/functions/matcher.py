@@ -9,6 +9,7 @@ each is found in ``hits``; an empty list of terms finds nothing.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
@@ -252,3 +253,63 @@ def standing(text: Column, needles: Sequence[str], raw: bool = False) -> Column:
         return pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int32())) for p in parts], ["found", "clear", "words"])
 
     return run(text)
+
+
+#: Spellings of a concept, and what stands for them where none occurs: words with the forms of which one must stand as a token; empty for spellings alone.
+Concept = tuple[tuple[str, ...], tuple[tuple[str, tuple[str, ...]], ...]]
+
+
+def held(text: Column, concepts: Sequence[Concept]) -> Column:
+    """The numbers of the concepts that a text holds, once it is made comparable as tx.domain_text() does.
+
+    A spelling that stands without a negation around it holds; where no spelling occurs at all, every word must have a form that stands as a token, and must
+    itself stand without negation if it occurs. Each needle is looked for once in a text, only when a concept comes to it, and no further than its first
+    telling occurrence, so common words are not listed and most spellings of an absent concept are settled by the letters they begin with.
+    """
+    before, after, room, rest = tx.NEGATED_BEFORE, tx.NEGATED_AFTER, tx.BEFORE_CHARS, tx.AFTER_CHARS
+    listed = [(os.path.commonprefix(spelled) if len(spelled) > 1 else "", spelled, loose) for spelled, loose in concepts]
+
+    def clear(t: str, needle: str, start: int) -> bool:
+        while start >= 0:
+            end = start + len(needle)
+            left, right = t[max(0, start - room) : start], t[end : end + rest]
+            if not (any(m in left for m in before) or any(m in right for m in after)):
+                return True
+            start = t.find(needle, start + 1)
+        return False
+
+    def whole(t: str, needle: str, start: int) -> bool:
+        while start >= 0:
+            end = start + len(needle)
+            if t[start - 1 : start] not in ALNUM and t[end : end + 1] not in ALNUM:
+                return True
+            start = t.find(needle, start + 1)
+        return False
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        sizes, numbers = [0], []
+        for t in texts:
+            t = comparable(t.as_py() or "")
+            # Where each needle first stands, and whether it does so clear of negation or as a token, as far as anything asked.
+            places: dict[str, int] = {}
+            known: dict[tuple[str, Callable], bool] = {}
+
+            def place(needle: str) -> int:
+                if needle not in places:
+                    places[needle] = t.find(needle)
+                return places[needle]
+
+            def asked(test: Callable, needle: str) -> bool:
+                if (needle, test) not in known:
+                    known[needle, test] = place(needle) >= 0 and test(t, needle, place(needle))
+                return known[needle, test]
+
+            for i, (start, spelled, loose) in enumerate(listed):
+                found = [n for n in spelled if place(n) >= 0] if not start.strip() or place(start) >= 0 else []
+                if any(asked(clear, n) for n in found) if found else loose and all(any(asked(whole, f) for f in forms) and (place(w) < 0 or asked(clear, w)) for w, forms in loose):
+                    numbers.append(i)
+            sizes.append(len(numbers))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()))
+
+    return run(text)

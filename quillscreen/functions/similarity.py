@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import operator
 import re
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 
@@ -49,12 +51,13 @@ def square_sum(words: Column) -> Column:
     return F.size(words) + more
 
 
-def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), squares: Column | None = None, counts: dict[str, Column] | None = None) -> Column:
+def tfidf_cosine(query: str, words: Column | None, stop_words: tuple[str, ...] = (), squares: Column | None = None, counts: dict[str, Column] | None = None) -> Column:
     """TF-IDF cosine fitted on just the query and the text, in closed form.
 
     With smooth idf over two documents a shared term weighs 1 and any other ln(1.5) + 1. ``words`` is a stored array of the text's
     lower-cased words of two or more word characters without the stop words; the list of stop words is a parameter. ``squares`` is
-    their stored square_sum() and ``counts`` their stored counts of the query's words, both of with_counts(), as a formula names each several times.
+    their stored square_sum() and ``counts`` their stored counts of the query's words, both of text_stats(), as a formula names each several times;
+    ``words`` is not read then.
     """
     q = Counter(query_words(query, stop_words))
     if not q:
@@ -69,8 +72,25 @@ def tfidf_cosine(query: str, words: Column, stop_words: tuple[str, ...] = (), sq
     return F.when(empty, 0.0).otherwise(tx.clamp(dot / (F.sqrt(in_query) * F.sqrt(in_text))))
 
 
+#: What words_of() takes for a word character beyond ASCII, as categories and further ranges. Letters that are newer than the engine's tables but
+#: not the worker's are word characters here alone.
+WORD_KINDS = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Nd", "Mn", "Mc", "Me", "Pc"))
+WORD_RANGES = ((0x200C, 0x200D), (0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+#: Texts of ASCII and Latin letters hold no other characters that part words beyond ASCII.
+LATIN = re.compile("[\\x00-\\x7f\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]*")
+
+
+class Spaces(dict):
+    """A table for str.translate that makes a space of each character beyond ASCII that is no word character, filled as characters come."""
+
+    def __missing__(self, c: int) -> int:
+        word = c < 128 or unicodedata.category(chr(c)) in WORD_KINDS or any(a <= c <= b for a, b in WORD_RANGES)
+        self[c] = c if word else 32
+        return self[c]
+
+
 def words_of(lowered: Column) -> Column:
-    """The runs of two or more word characters of a lower-cased text, in order, stop words included: with_counts() leaves those out where it counts."""
+    """The runs of two or more word characters of a lower-cased text, in order, stop words included."""
     return F.regexp_extract_all(lowered, F.lit(r"(?U)\w{2,}+"), F.lit(0))
 
 
@@ -125,7 +145,52 @@ def word_stats(words: Column, wanted: Sequence[str], stop_words: Sequence[str] =
     return run(words)
 
 
-def with_counts(d: DataFrame, words: str, queries: list[str], stop_words: tuple[str, ...], to: str) -> tuple[DataFrame, Column, dict[str, Column]]:
-    """``d`` with the word_stats() of a stored array, which may still hold the stop words, as the column ``to``, its square_sum(), and the counts of all words of the queries by word."""
-    every = sorted({w for q in queries for w in query_words(q, stop_words)})
-    return d.withColumn(to, word_stats(F.col(words), every, stop_words)), F.col(f"{to}.squares"), {w: F.get(F.col(f"{to}.counts"), F.lit(i)) for i, w in enumerate(every)}
+def text_stats(texts: Sequence[Column], groups: Sequence[Sequence[int]], wanted: Sequence[str], stop_words: Sequence[str] = ()) -> Column:
+    """An array of what word_stats() gives for the words_of() lowered texts, one entry per group of them; a text may be in several groups.
+
+    Only the texts go to the worker, which splits each once: no array of all words becomes part of a row.
+    """
+    listed, dropped, parts = list(wanted), list(stop_words), [list(g) for g in groups]
+    # Words are bytes: all bytes of characters beyond ASCII are kept, as Spaces has taken out those that part words.
+    spaced = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+    sought, stop = [w.encode() for w in listed], [w.encode() for w in dropped]
+
+    @F.arrow_udf(f"array<{STATS}>")
+    def run(rows: pa.Array) -> pa.Array:
+        table = Spaces()
+        columns = [rows.field(i).to_pylist() for i in range(rows.type.num_fields)]
+        squares, counts = [], []
+        for row in zip(*columns, strict=True):
+            split = [Counter((t if t.isascii() or LATIN.fullmatch(t) else t.translate(table)).encode().translate(spaced).split()) for t in (t or "" for t in row)]
+            for group in parts:
+                first, *others = sorted((split[i] for i in group), key=len, reverse=True)
+                n = Counter(first)
+                for other in others:
+                    n.update(other)
+                for w in [w for w in n if len(w) < 5 and len(w.decode()) == 1] + [w for w in stop if w in n]:
+                    del n[w]
+                squares.append(float(sum(map(operator.mul, n.values(), n.values()))))
+                counts.extend([n.get(w, 0) for w in sought])
+        k, size = len(parts), len(squares)
+        told = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * len(listed)), pa.array(counts, pa.int32()))
+        flat = pa.StructArray.from_arrays([pa.array(squares, pa.float64()), told], ["squares", "counts"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), flat)
+
+    return run(F.struct(*[F.make_valid_utf8(t).alias(f"t{i}") for i, t in enumerate(texts)]))
+
+
+class Stats:
+    """The square sums and counts in a column of text_stats(), by the number of the group."""
+
+    def __init__(self, name: str, wanted: Sequence[str]) -> None:
+        self.name, self.wanted = name, list(wanted)
+
+    def of(self, group: int) -> tuple[Column, dict[str, Column]]:
+        """What tfidf_cosine() takes as ``squares`` and ``counts``."""
+        own = F.get(F.col(self.name), F.lit(group))
+        return own["squares"], {w: F.get(own["counts"], F.lit(i)) for i, w in enumerate(self.wanted)}
+
+
+def wanted_words(queries: Sequence[str], stop_words: Sequence[str] = ()) -> list[str]:
+    """All words of the queries, once each."""
+    return sorted({w for q in queries for w in query_words(q, tuple(stop_words))})

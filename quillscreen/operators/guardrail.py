@@ -1,6 +1,6 @@
 """Domain guardrail: whether a paper is in scope of a contract, with the reasons, as one projection over the papers.
 
-All spellings of all terms are found in one automaton pass over each text (``functions.matcher``), and negation is looked for around the hits
+The concepts that a text holds are found in batches of texts (``functions.matcher``), and negation is looked for around the hits
 only; the conditions then test small arrays of numbers. The projection is narrow: it never shuffles, whatever the number of papers.
 """
 
@@ -54,34 +54,27 @@ def _share(flags: list[Column], empty: Column | float) -> Column:
 
 
 class Spellings:
-    """What the guardrail looks for in one text column: every needle gets a number, and one pass of an automaton finds them all."""
+    """The concepts that the guardrail looks for in one text column: every one gets a number, and one function finds those that a text holds."""
 
     def __init__(self, where: str) -> None:
         self.where, self.numbers = where, {}
 
-    def _hit(self, part: str, needles: list[str]) -> Column:
-        ids = [self.numbers.setdefault(n, len(self.numbers)) for n in needles]
-        return F.arrays_overlap(F.col(f"{self.where}_s.{part}"), F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
-
-    def clear(self, needles: list[str]) -> Column:
-        """A needle stands somewhere without a negation around it."""
-        return self._hit("clear", needles)
+    def _held(self, spelled: list[str], loose: tuple = ()) -> Column:
+        needles = tuple(n for n in spelled if n.strip())
+        if not needles:
+            return F.lit(False)
+        return F.array_contains(F.col(f"{self.where}_s"), self.numbers.setdefault((needles, loose), len(self.numbers)))
 
     def concept(self, term: str) -> Column:
-        """tx.has_concept() on the numbers of the hits."""
+        """tx.has_concept() of the column."""
         cleaned = " ".join(term.lower().split())
-        if not cleaned:
-            return F.lit(False)
-        spelled, words = tx.variants(cleaned), sorted(set(tx.py_tokens(cleaned)))
-        if not words:
-            return self.clear(spelled)
-        loose = F.lit(True)
-        for w in words if len(words) == 1 else tx.py_folded(cleaned):
-            loose = loose & self._hit("words", tx.forms(w)) & (self.clear([w]) | ~self._hit("found", [w]))
-        return F.when(self._hit("found", spelled), self.clear(spelled)).otherwise(loose)
+        words = sorted(set(tx.py_tokens(cleaned)))
+        need = words if len(words) < 2 else tx.py_folded(cleaned)
+        return self._held(tx.variants(cleaned), tuple((w, tuple(tx.forms(w))) for w in need))
 
     def strict(self, marker: str) -> Column:
-        return self.clear([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4])
+        """A spelling of four characters or more stands somewhere without a negation around it."""
+        return self._held([v for v in tx.variants(tx.py_domain_text(marker)) if len(v) >= 4])
 
     def chemistry(self, marker: str) -> Column:
         """Element symbols need boundaries, element names are concepts, other markers need one of their spellings."""
@@ -91,8 +84,8 @@ class Spellings:
         return self.concept(cleaned) if cleaned in ct.ELEMENTS else self.strict(cleaned)
 
     def column(self) -> Column:
-        """The hits, once all needles are known; the text is made comparable where it is searched."""
-        return matcher.standing(F.col(f"{self.where}_raw"), list(self.numbers), raw=True)
+        """The concepts held, once all are known; the text is made comparable where it is searched."""
+        return matcher.held(F.col(f"{self.where}_raw"), list(self.numbers))
 
 
 def _broad_overview(title: Column) -> Column:

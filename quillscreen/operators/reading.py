@@ -97,12 +97,14 @@ def auto_seeds(items: DataFrame, n: int = 5) -> DataFrame:
 
 def keywords(items: DataFrame, k: int = 6) -> DataFrame:
     """The k most frequent tokens of the titles and abstracts of included papers, ties by token."""
-    t = exploded(items.filter(F.col("decision") == "include"), F.concat(tx.tokens("title"), tx.tokens("abstract")), "token")
-    return t.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(k)
+    t = exploded(items.filter(F.col("decision") == "include"), F.concat(tx.runs("title"), tx.runs("abstract")), "token")
+    # Stop words are left out of the tokens, as a pattern that leaves them out of a text costs more than all else.
+    n = t.groupBy("token").agg(F.count("*").alias("n")).filter(~F.col("token").isin(*tx.STOPWORDS))
+    return n.orderBy(F.col("n").desc(), "token").limit(k)
 
 
 def value_counts(d: DataFrame, column: str) -> DataFrame:
     """Counts of the values of a column, arrays exploded, blanks dropped; most frequent first, ties by value."""
     array = dict(d.dtypes)[column].startswith("array")
-    v = d.select((F.explode(column) if array else F.col(column)).alias("value")).select(F.col("value").cast("string").alias("value")).filter(F.trim(F.coalesce("value", F.lit(""))) != "")
+    v = (exploded(d, column, "value") if array else d.select(F.col(column).alias("value"))).select(F.col("value").cast("string").alias("value")).filter(F.trim(F.coalesce("value", F.lit(""))) != "")
     return v.groupBy("value").agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "value")

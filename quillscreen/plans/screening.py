@@ -30,26 +30,36 @@ def with_evidence(papers: DataFrame, question: str) -> DataFrame:
     }).drop("__b")
 
 
-def with_words(d: DataFrame) -> DataFrame:
-    """The papers with the lowered texts and the words of title, abstract, evidence and fields, which relevance and aspects share: each text is lowered and
-    split once. A space parts the texts where they are joined, so the words of the whole are those of its parts."""
+#: The texts of a paper whose words are counted, by the letter of their columns, and all of them together; a summary is part of the whole alone.
+TEXTS, WHOLE = "taef", 4
+
+
+def with_words(d: DataFrame, contract: Contract, stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
+    """The papers with the lowered title, abstract, evidence and fields, and the counts of their words that relevance and aspects ask for: each text is lowered
+    and split once. A space parts the texts where they are joined, so the words of the whole are those of its parts."""
     whole = F.concat_ws(" ", tx.text("claim"), tx.text("evidence_sentence"))
-    d = d.withColumns({"__wlt": F.lower(tx.text("title")), "__wla": F.lower(tx.text("abstract")), "__wle": F.lower(whole), "__wlf": F.lower(tx.text(F.array_join("fields_of_study", " ")))})
-    return d.withColumns({f"__w{p}": sim.words_of(F.col(f"__wl{p}")) for p in "taef"})
+    d = d.withColumns({"__wlt": F.lower(tx.text("title")), "__wla": F.lower(tx.text("abstract")), "__wle": F.lower(whole), "__wlf": F.lower(tx.text(F.array_join("fields_of_study", " "))), "__wls": F.lower(tx.text("tldr") if "tldr" in d.columns else F.lit(""))})
+    texts = [F.col(f"__wl{p}") for p in TEXTS] + ([F.col("__wls")] if "tldr" in d.columns else [])
+    return d.withColumn("__w", sim.text_stats(texts, [*([i] for i in range(WHOLE)), list(range(len(texts)))], asked_words(contract, stop_words), stop_words))
+
+
+def asked_words(contract: Contract, stop_words: tuple[str, ...]) -> list[str]:
+    return sim.wanted_words([contract.question, fields_query(contract), *aspects.queries(contract.aspects)], stop_words)
+
+
+def fields_query(contract: Contract) -> str:
+    return " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
 
 
 def relevance(d: DataFrame, contract: Contract, stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
     """Adds the parts of hybrid relevance and ``hybrid_relevance``. Columns of with_words() are used if there are any, and dropped."""
     q = contract.question
-    if "__wt" not in d.columns:
-        d = with_words(d)
+    if "__w" not in d.columns:
+        d = with_words(d, contract, stop_words)
     d = d.withColumn("__wlow", F.concat_ws(" ", "__wlt", "__wla", "__wle"))
-    field = " ".join([*contract.core_terms, *contract.must_terms, *contract.optional_terms])
-    cosine, own = {}, [c for c in d.columns if c.startswith("__w")]
-    for name, words, query in (("title_similarity", "__wt", q), ("abstract_similarity", "__wa", q), ("evidence_similarity", "__we", q), ("field_match", "__wf", field)):
-        d, squares, counts = sim.with_counts(d, words, [query], stop_words, f"{words}_n")
-        cosine[name] = sim.tfidf_cosine(query, F.col(words), stop_words, squares, counts)
-        own.append(f"{words}_n")
+    own, stats = [c for c in d.columns if c.startswith("__w")], sim.Stats("__w", asked_words(contract, stop_words))
+    names = {"title_similarity": ("t", q), "abstract_similarity": ("a", q), "evidence_similarity": ("e", q), "field_match": ("f", fields_query(contract))}
+    cosine = {name: sim.tfidf_cosine(query, None, stop_words, *stats.of(TEXTS.index(p))) for name, (p, query) in names.items()}
     groups = list(contract.must_term_groups) or [(t,) for t in contract.must_terms]
     hits, there = [F.lit(False) for _ in groups], matcher.Present("__wlow_p")
     for i, terms in enumerate(groups):
@@ -72,12 +82,10 @@ def components(d: DataFrame, now_year: int, relevance_col: str = "hybrid_relevan
 
 def assess(papers: DataFrame, contract: Contract, now_year: int, use_guardrail: bool = True, use_aspects: bool = True) -> DataFrame:
     """The papers with all that is said about each on its own: evidence, aspects, guardrail and score parts, without a shuffle."""
-    d = with_words(with_evidence(papers, contract.question))
+    d = with_words(with_evidence(papers, contract.question), contract)
     if use_aspects:
-        tldr = F.lower(tx.text("tldr") if "tldr" in papers.columns else F.lit(""))
-        lowered = F.concat_ws(" ", "__wlt", "__wla", tldr, "__wlf", "__wle")
-        words = [F.col(f"__w{p}") for p in "tafe"] + ([sim.words_of(tldr)] if "tldr" in papers.columns else [])
-        d = aspects.coverage(d, contract.aspects, keep=True, lowered=lowered, words=F.concat(*words))
+        lowered = F.concat_ws(" ", "__wlt", "__wla", "__wls", "__wlf", "__wle")
+        d = aspects.coverage(d, contract.aspects, keep=True, lowered=lowered, stats=sim.Stats("__w", asked_words(contract, tx.STOPWORDS)).of(WHOLE))
     else:
         d = d.withColumns({"covered_aspects": F.array().cast("array<string>"), "missing_aspects": F.array().cast("array<string>"), "aspect_coverage_score": F.lit(0.0)})
     d = components(relevance(d, contract), now_year)
