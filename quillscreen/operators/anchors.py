@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from quillscreen.functions import matcher
 from quillscreen.functions import text as tx
-from quillscreen.operators.store import exploded, join_aggregate, small
+from quillscreen.operators.store import exploded, join_aggregate, small, written
 from quillscreen.plans.contract import Group
 
 Terms = tuple[str, ...]
 CORE, SECONDARY, NEED, GROUP = "core", "secondary", "need", "group"
+#: Tokens and hits of distinct texts whose pairs with the terms one task counts.
+TOKENS = 100_000
 
 #: Terms that are a need or an aspect as a whole, what marks a term as one, and what makes it an object again.
 NEEDS = (
@@ -142,7 +144,8 @@ def anchor_hits(texts: DataFrame, terms: Sequence[str], text_col: str = "text")
     """``key, anchor, shared, full``: one row per pair of a distinct plain text and a term that meet, with the tokens they share.
 
     ``key`` is the text's ``text_key`` and ``anchor`` the number of the term. ``full`` says that the text holds the term or all its tokens; other rows
-    share at least two tokens with a term of more. One shuffle finds the distinct texts by their keys, and the pairs are counted where they lie.
+    share at least two tokens with a term of more. One shuffle finds the distinct texts by their keys, whose tokens and hits are stored; another deals them out so
+    that no task holds the pairs of more than about ``TOKENS`` of them, and the pairs are counted where they lie.
     """
     cleaned = [plain(t) for t in terms]
     token_sets = [sorted(set(tx.py_tokens(t))) for t in cleaned]
@@ -151,7 +154,10 @@ def anchor_hits(texts: DataFrame, terms: Sequence[str], text_col: str = "text")
     # Only what can meet a term is shuffled to find the distinct texts, not the texts.
     own = F.array_intersect(tx.tokens("text"), F.array(*[F.lit(w) for w in known])) if known else F.array().cast("array<string>")
     d = texts.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).withColumn("h", matcher.first_hits(F.col("text"), cleaned))
-    d = d.select("key", own.alias("own"), F.col("h.term").alias("h")).dropDuplicates(["key"])
+    d = written(d.select("key", own.alias("own"), F.col("h.term").alias("h")).dropDuplicates(["key"]))
+    # A task counts the pairs of so many tokens, however long the table: fixed shares of the texts would grow with it.
+    n = d.agg(F.sum((F.size("own") + F.size("h")).cast("long"))).first()[0] or 0
+    d = d.repartition(max(1, -(-n // TOKENS)), "key")
     shared = F.transform("own", lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("inside")))
     inside = F.transform("h", lambda t: F.struct(F.lit(None).cast("string").alias("token"), t.alias("inside")))
     met = exploded(d, F.concat(shared, inside), "m", "key").select("key", "m.token", "m.inside").join(small(index), "token", "left")

@@ -146,6 +146,17 @@ def test_anchor_hits_equal_token_sets(spark):
                 assert r.shared == len(set(tx.py_tokens(v)) & set(tx.py_tokens(t)))
 
 
+def test_tasks_that_count_pairs_grow_in_number_not_in_size(spark, monkeypatch):
+    terms = ["solid oxide film", "oxide", "film cell", "so"]
+    values = [f"solid oxide film {i}" for i in range(200)] * 2 + ["", None, "cell film", "nothing"]
+    want = sorted(anchors.anchor_hits(texts(spark, values).select("text"), terms).collect())
+    monkeypatch.setattr(anchors, "TOKENS", 50)
+    found = anchors.anchor_hits(texts(spark, values).select("text"), terms)
+    # 200 texts of three tokens and three hits at least, at 50 for each task.
+    assert found.rdd.getNumPartitions() >= 20 and sorted(found.collect()) == want
+    assert len(want) == 200 * 3 + 1
+
+
 def test_gate_outcomes_in_order(spark):
     cases = [
         ("", "x", "empty_query"), (None, "seed_context", "empty_query"), ("anything at all", "seed_context", "seed_context"), ('"SEI"', None, "single_acronym_only_query"), ("graphite OR", "", "single_acronym_only_query"),
