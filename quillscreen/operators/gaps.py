@@ -66,10 +66,15 @@ def gap_matrix(aspects: DataFrame, reasons: DataFrame, required: DataFrame, keys
     return d.filter("signals > 0").orderBy(F.col("signals").desc(), "gap_key").limit(k)
 
 
-def supporting_titles(items: DataFrame, gap_terms: dict[str, tuple[str, ...]], k: int = 3) -> DataFrame:
-    """``gap_key, pos, paper_id``: for each gap the first k papers by rank that mention one of its terms."""
+def mentioned(gap_terms: dict[str, tuple[str, ...]]) -> Column:
+    """The gaps whose terms a paper's title or abstract mentions."""
     low = F.lower(F.concat_ws(" ", tx.text("title"), tx.text("abstract")))
-    flags = F.array(*[F.struct(F.lit(g).alias("gap_key"), _any(F.col("__x"), terms).alias("hit")) for g, terms in gap_terms.items()])
-    d = exploded(items.withColumn("__x", low), F.filter(flags, lambda f: f["hit"]), "f", "paper_id", "rank").select("paper_id", "rank", "f.gap_key")
+    return F.filter(F.array(*[F.when(_any(low, terms), F.lit(g)) for g, terms in gap_terms.items()]), lambda g: g.isNotNull())
+
+
+def supporting_titles(items: DataFrame, gap_terms: dict[str, tuple[str, ...]], k: int = 3) -> DataFrame:
+    """``gap_key, pos, paper_id``: for each gap the first k papers by rank that mention one of its terms. ``gap_keys`` of mentioned() stand for the texts where they exist."""
+    keys = F.col("gap_keys") if "gap_keys" in items.columns else mentioned(gap_terms)
+    d = exploded(items, keys, "gap_key", "paper_id", "rank").select("paper_id", "rank", "gap_key")
     w = Window.partitionBy("gap_key").orderBy("rank")
     return d.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

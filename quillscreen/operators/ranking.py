@@ -172,19 +172,24 @@ def false_positive_penalty(d: DataFrame, domain: str = "") -> Column:
     return out.when(F.col("domain_decision") == "out_of_scope", 0.05).when(F.col("domain_decision") == "borderline", 0.015).otherwise(0.0)
 
 
+def boosted(d: DataFrame, seed_titles: tuple[str, ...] = (), domain: str = "") -> DataFrame:
+    """Adds what the texts and the scope of a paper change in its score, so that adjust() needs no text."""
+    return d.withColumns({"seed_boost": title_boost(d, seed_titles), "false_positive_penalty": false_positive_penalty(d, domain)})
+
+
 def adjust(ranked: DataFrame, roles: DataFrame | None = None, seed_titles: tuple[str, ...] = (), domain: str = "") -> DataFrame:
     """Adds the role, lane, seed and false-positive adjustments, clamps, and ranks again, ties by the rank before.
 
-    Without ``roles`` the papers carry their own ``roles, primary_role, overbroad_role_warning``.
+    Without ``roles`` the papers carry their own ``roles, primary_role, overbroad_role_warning``. Columns of boosted() are used if there are any.
     """
     broad = F.coalesce(F.col("overbroad_role_warning") != "", F.lit(False))
     if roles is not None:
         ranked = ranked.join(roles.select("paper_id", "roles", "primary_role", "overbroad_role_warning"), "paper_id", "left")
     d = ranked.withColumn("__broad", broad).drop("overbroad_role_warning")
     d = d.withColumn("lane", lane(d))
+    d = d if "seed_boost" in d.columns else boosted(d, seed_titles, domain)
     d = d.withColumns({
-        "role_adjustment": role_adjustment(F.col("roles"), F.col("primary_role"), F.col("__broad"), domain), "lane_adjustment": lane_adjustment(F.col("lane"), domain),
-        "seed_boost": title_boost(d, seed_titles), "false_positive_penalty": false_positive_penalty(d, domain), "rank_before": F.col("rank"),
+        "role_adjustment": role_adjustment(F.col("roles"), F.col("primary_role"), F.col("__broad"), domain), "lane_adjustment": lane_adjustment(F.col("lane"), domain), "rank_before": F.col("rank"),
     })
     d = d.withColumn("final", tx.clamp(F.col("final") + F.col("role_adjustment") + F.col("lane_adjustment") + F.col("seed_boost") - F.col("false_positive_penalty")))
     return stable_rank(d.drop("rank", "__broad"), "final", "rank_before")

@@ -78,12 +78,21 @@ def _any(parts: Sequence[Column]) -> Column:
     return out
 
 
+def marked(papers: DataFrame, patterns: Sequence[str], fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Adds ``forbidden``: whether a text of the paper has one of the patterns, so that the texts need not be kept until the run is ranked."""
+    whole = F.concat_ws(" ", *[tx.text(f) for f in fields if f in papers.columns])
+    return matched_patterns(papers.withColumn("__text", whole), "__text", tuple(patterns), "__found").withColumn(TEXT, F.size("__found") > 0).drop("__text", "__found")
+
+
 def evaluate(ranked: DataFrame, metrics: Sequence[Metric], patterns: Sequence[str] = (), fields: Sequence[str] = FIELDS, sets: Mapping[str, str] = SETS, holds: Mapping[str, str] = HOLDS, by: str = "question_id") -> DataFrame:
     """One row per question with a column per metric.
 
     ``ranked`` has ``rank`` and the columns that the sets, predicates and means name. ``patterns`` make the predicate ``forbidden``, which
-    holds if a text of the paper has one of them; without patterns its metrics are null.
+    holds if a text of the paper has one of them; without patterns its metrics are null. Where the papers carry a column ``forbidden`` of marked(), it stands for
+    their texts, and ``no_abstract`` stands for the abstract.
     """
+    if "no_abstract" in ranked.columns and "abstract" not in ranked.columns:
+        holds = dict(holds) | {"missing_abstract": "no_abstract"}
     unknown = {m.of for m in metrics} - set(sets) | {m.where for m in metrics} - set(holds) - {None, TEXT}
     if unknown:
         raise ValueError(f"no such set or predicate: {', '.join(sorted(map(str, unknown)))}")
@@ -94,13 +103,15 @@ def evaluate(ranked: DataFrame, metrics: Sequence[Metric], patterns: Sequence[st
         return F.col(f"__in_{m.of}") if m.top is None else F.col(f"__in_{m.of}") & (F.col("rank") <= m.top)
 
     searched = [within(m) for m in metrics if m.where == TEXT]
-    if searched and patterns:
+    if TEXT in ranked.columns:
+        d = d.withColumn(f"__is_{TEXT}", F.col(TEXT))
+    elif searched and patterns:
         # Blank where no metric looks, so only the texts of those rows are searched.
         whole = F.when(_any(searched), F.concat_ws(" ", *[tx.text(f) for f in fields if f in ranked.columns])).otherwise("")
         d = matched_patterns(d.withColumn("__text", whole), "__text", tuple(patterns), "__found").withColumn(f"__is_{TEXT}", F.size("__found") > 0)
     total = []
     for m in metrics:
-        if m.where == TEXT and not patterns:
+        if m.where == TEXT and not patterns and TEXT not in ranked.columns:
             total.append(F.lit(None).cast({COUNT: "bigint", RANKS: "array<int>"}.get(m.measure, "double")).alias(m.name))
             continue
         at = within(m)

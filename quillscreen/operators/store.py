@@ -31,7 +31,7 @@ def written(table: DataFrame) -> DataFrame:
     """``table`` evaluated once into Parquet files of the shared folder, so that each later use reads only the columns it needs."""
     spark = table.sparkSession
     path = f"{checkpoint_dir(spark)}/quillscreen-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    table.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 
@@ -67,9 +67,16 @@ ROW_GROUP_BYTES = 128 << 20
 def dealt(table: DataFrame) -> DataFrame:
     """A table read from fewer files than there are cores, and of at most a row group for each, with its rows dealt over all cores.
 
-    A row group is read by one task, so the work on a small file would be serial. Larger tables have enough of them and are left as they are.
+    A row group is read by one task, so the work on a small file would be serial. Larger tables have enough of them and are left as they are, as are files whose
+    row groups already give no core over twice its share: dealing writes every row to disk.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     few = int(str(size)) <= cores * ROW_GROUP_BYTES and len(table.inputFiles()) < cores
-    return table.repartition(cores) if few else table
+    return table.repartition(cores) if few and not spread(table, cores) else table
+
+
+def spread(table: DataFrame, cores: int) -> bool:
+    """Whether no task that reads ``table`` gets over twice a core's share of its rows; only the row counts of the files are read."""
+    rows = [r["count"] for r in table.groupBy(F.spark_partition_id().alias("__p")).count().collect()]
+    return bool(rows) and max(rows) * cores <= 2 * sum(rows)

@@ -159,7 +159,7 @@ def resolution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(o.DECISIONS + "SELECT rank, paper_id, CAST(round(final, 3) AS DOUBLE) AS score, decision, reading_priority, CASE WHEN support_level = 'missing_abstract' THEN 'uncertain' WHEN final >= 0.5 AND aspect_coverage_score >= 0.4 THEN 'include' WHEN final < 0.2 THEN 'exclude' ELSE 'uncertain' END AS card_action FROM decided WHERE rank <= 12")
 def paper_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: evidence cards of the first papers."""
-    return diagnostics.paper_cards(q.decided(spark, sf_dir)).select("rank", "paper_id", "score", "decision", "reading_priority", "card_action")
+    return diagnostics.paper_cards(q.decided(spark, sf_dir, "title")).select("rank", "paper_id", "score", "decision", "reading_priority", "card_action")
 
 
 @query("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN '  ' || props || ' ' WHEN 2 THEN '[' || props || ']' ELSE 'Sure: ' || props END AS a FROM events),

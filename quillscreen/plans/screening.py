@@ -15,6 +15,7 @@ from quillscreen.functions import scoring as sc
 from quillscreen.functions import similarity as sim
 from quillscreen.functions import text as tx
 from quillscreen.operators import aspects, decisions, evidence, guardrail, ranking, roles
+from quillscreen.operators.store import small, written
 from quillscreen.plans.contract import Contract
 
 
@@ -107,18 +108,39 @@ def classified(papers: DataFrame, role_rules) -> DataFrame:
 
 def decide_ranked(ranked: DataFrame, contract: Contract) -> DataFrame:
     """The research adjustments and the decisions of ranked papers with their roles."""
-    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True).drop(ranking.ROW)
+    return decisions.decide(ranking.adjust(ranked, None, contract.seed_titles, contract.domain), keep=True)
 
 
 def decide_stored(assessed: DataFrame, contract: Contract, profile: str = "balanced") -> DataFrame:
     """Shares of roles, ranks and decisions of papers that ``ranking.stored`` keeps."""
     marked = roles.mark_overbroad(assessed).drop("overbroad_roles")
-    return decide_ranked(ranking.rank_stored(marked, contract.weights or sc.weights(profile)), contract)
+    return decide_ranked(ranking.rank_stored(marked, contract.weights or sc.weights(profile)), contract).drop(ranking.ROW)
 
 
-def screen_and_decide(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> DataFrame:
-    """screen(), the research adjustments, and the decisions, in one row per paper."""
-    return decide_stored(ranking.stored(assess(classified(papers, role_rules), contract, now_year)), contract, profile)
+#: The texts of a paper. All else that is said about one takes a small part of their room.
+LONG = ("title", "abstract", "claim", "evidence_sentence", "tldr")
+
+
+def assessed_without_texts(papers: DataFrame, contract: Contract, now_year: int, role_rules=roles.GENERIC_RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The stored assessments of the papers, with no more of their texts than ``keep`` names; what ranks and decisions ask of a text is a column by then."""
+    d = ranking.boosted(assess(classified(papers, role_rules), contract, now_year), contract.seed_titles, contract.domain)
+    return ranking.stored(d.drop(*[c for c in LONG if c not in keep]))
+
+
+def screen_and_decide(papers: DataFrame, contract: Contract, now_year: int, profile: str = "balanced", role_rules=roles.GENERIC_RULES, texts: tuple[str, ...] | None = None) -> DataFrame:
+    """screen(), the research adjustments, and the decisions, in one row per paper. With ``texts`` the rows have only these of a paper's texts, and no other is stored."""
+    if texts is None:
+        return decide_stored(ranking.stored(assess(classified(papers, role_rules), contract, now_year)), contract, profile)
+    return decide_stored(assessed_without_texts(papers, contract, now_year, role_rules, texts), contract, profile)
+
+
+def decided_texts(papers: DataFrame, contract: Contract, now_year: int, decision: str, texts: tuple[str, ...], profile: str = "balanced", role_rules=roles.GENERIC_RULES) -> DataFrame:
+    """``decision`` and the texts of the papers that got it. The texts are read once the papers are known, so no others are shuffled or read again."""
+    kept = assessed_without_texts(papers, contract, now_year, role_rules, texts)
+    marked = roles.mark_overbroad(kept.drop(*texts)).drop("overbroad_roles")
+    d = decide_ranked(ranking.rank_stored(marked, contract.weights or sc.weights(profile)), contract)
+    found = written(d.filter(F.col("decision") == decision).select(ranking.ROW, "decision"))
+    return kept.select(ranking.ROW, *texts).join(small(found), ranking.ROW).drop(ranking.ROW)
 
 
 def flagship(papers: DataFrame, question: str, now_year: int, k: int = 20) -> DataFrame:

@@ -272,7 +272,8 @@ SELECT question_id, m.metric AS metric, m.value AS value, m.listed AS listed FRO
 def run_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named metrics of a run and the grid of counts and means, from one pass over the ranked papers."""
     # Means are summed in the order of the ranks, as their last digits depend on it.
-    d = run_metrics.evaluate(q.decided(spark, sf_dir).orderBy("rank"), METRICS, RUN_PATTERNS, ("title", "abstract"))
+    items = q.decided(spark, sf_dir, also=lambda p: run_metrics.marked(p, RUN_PATTERNS, ("title", "abstract")))
+    d = run_metrics.evaluate(items.orderBy("rank"), METRICS)
     return run_metrics.long(d).withColumn("value", F.round("value", 6))
 
 
