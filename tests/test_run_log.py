@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 
 from quillscreen.streaming import run_log
 
@@ -65,3 +66,57 @@ def test_events_are_masked_before_they_are_written(spark, tmp_path):
     (row,) = run_log.summarise(spark.read.schema(run_log.EVENT).json(log)).collect()
     assert row.n_events == 2 and row.stages == {"rank": 1, "retrieval": 1}
     assert run_log.mask(["x", {"k": ("a", {"secret": 1})}]) == ["x", {"k": ["a", {"secret": "[redacted]"}]}]
+
+
+def test_a_run_reads_and_writes_its_state_once_for_many_events(monkeypatch):
+    """Whatever the number of events in a batch, ids beyond those kept together excepted; these are known again, too, and forgotten by the same timer."""
+    calls, kept, seen, timers = [], [], {}, []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return kept[-1] if kept else None
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            calls.append("update")
+            kept.append(value)
+
+        def containsKey(self, k):  # noqa: N802
+            return k in seen
+
+        def updateValue(self, k, v):  # noqa: N802
+            seen[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            del seen[k]
+
+        def iterator(self):
+            return iter(list(seen.items()))
+
+    class Handle:
+        getValueState = getMapState = lambda self, name, *a: State(name)
+        registerTimer = lambda self, at: timers.append(at)
+
+    class Expired:
+        getExpiryTimeInMs = lambda self: timers[-1]
+
+    def rows(ids):
+        return iter([pd.DataFrame({"event_id": [f"e{i}" for i in ids], "us": [i * 1000 for i in ids], "level": "info", "stage": "s", "n_masked": 0, "details": "{}"})])
+
+    monkeypatch.setattr(run_log, "TOGETHER", 30)
+    run = run_log.RunSummary(10)
+    run.init(Handle())
+    (out,) = run.handleInputRows(("r",), rows([*range(30), *range(10)]), None)
+    assert calls == ["get", "update"] and not seen and out.n_events[0] == 30
+    (out,) = run.handleInputRows(("r",), rows(range(50)), None)
+    assert len(seen) == 20 and out.n_events[0] == 50 and out.stages[0] == {"s": 50}
+    (out,) = run.handleInputRows(("r",), rows(range(60)), None)
+    assert out.n_events[0] == 60 and len(calls) == 6
+    list(run.handleExpiredTimer(("r",), None, Expired()))
+    assert not seen and kept[-1][0] == 60 and kept[-1][-3:] == ([], [], False)
