@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscreen.functions import text as tx
-from quillscreen.operators.store import small
+from quillscreen.operators.store import exploded, small, written
 
 MIN_LABELS, TERMS, FEATURES = 4, 12, 500
 
@@ -49,6 +49,12 @@ def term_scores(texts: DataFrame, found: DataFrame) -> DataFrame:
     return d.select("paper_id", F.round(tx.clamp(0.5 + centred), 4).alias("preference_score"))
 
 
+def frequent(d: DataFrame, k: int = FEATURES) -> list[str]:
+    """The k most frequent grams of the array ``grams``, ties by gram, from an aggregate that spills: a vectorizer's own fit would hold every gram there is."""
+    n = exploded(d, "grams", "gram").groupBy("gram").count()
+    return [r["gram"] for r in n.orderBy(F.col("count").desc(), "gram").limit(k).collect()]
+
+
 def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str, ...] = tx.STOPWORDS) -> DataFrame:
     """``paper_id, preference_score`` of a logistic regression over TF-IDF of unigrams and bigrams, at most 500 of them.
 
@@ -56,7 +62,7 @@ def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str
     contrasted terms decide instead.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, Normalizer
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     known = labels.filter(F.col("label").isin("include", "exclude")).select("paper_id", "label")
@@ -65,23 +71,26 @@ def classifier_scores(texts: DataFrame, labels: DataFrame, stop_words: tuple[str
     n_pairs = F.greatest(F.size("__w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("__w", F.lit(1), n_pairs), F.slice("__w", F.lit(2), n_pairs), lambda a, b: F.concat_ws(" ", a, b))
     d = d.select("paper_id", F.concat("__w", pairs).alias("grams"))
-    train = d.join(small(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double")).persist()
-    n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    sides = known.join(texts.select("paper_id"), "paper_id").groupBy("label").count()
+    n = {r["label"]: r["count"] for r in sides.collect()}
     if sum(n.values()) < MIN_LABELS or len(n) < 2:
-        train.unpersist()
         return term_scores(texts, contrast(texts, labels))
     total = sum(n.values())
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=FEATURES, minDF=1.0).fit(train)
-    size = len(counts.vocabulary)
-    flagged = counts.transform(train).select(vector_to_array("tf").alias("a"))
+    train = d.join(small(known), "paper_id").withColumn("y", (F.col("label") == "include").cast("double"))
+    vocabulary = frequent(train)
+    if not vocabulary:
+        return term_scores(texts, contrast(texts, labels))
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="tf")
+    size = len(vocabulary)
+    # Stored as the counts of the vocabulary alone; the grams themselves take several times the room of the texts.
+    train = written(counts.transform(train).select("tf", "y"))
+    flagged = train.select(vector_to_array("tf").alias("a"))
     df = flagged.select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.count_if(F.col("v") > 0).alias("df"))
     idf = {r["i"]: r["idf"] for r in df.select("i", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()}
     weight = F.array(*[F.lit(float(idf.get(i, 0.0))) for i in range(size)])
     weighted = lambda x: x.withColumn("wv", array_to_vector(F.zip_with(vector_to_array("tf"), weight, lambda a, b: a * b)))
     unit = Normalizer(p=2.0, inputCol="wv", outputCol="x")
-    prepared = lambda x: unit.transform(weighted(counts.transform(x)))
-    ready = prepared(train).select("x", "y").persist()
+    prepared = lambda x: unit.transform(weighted(x))
+    ready = prepared(train).select("x", "y")
     model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=1000).fit(ready)
-    ready.unpersist()
-    train.unpersist()
-    return model.transform(prepared(d)).select("paper_id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 4).alias("preference_score"))
+    return model.transform(prepared(counts.transform(d))).select("paper_id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 4).alias("preference_score"))
